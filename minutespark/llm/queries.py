@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutespark.llm import jaccard_join, packing, quality
+from minutespark.llm import jaccard_join, packing, quality, sentence_spans, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.with_digest(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per removed run: where it is, and the documents where its runs stay."""
+    found = sentence_spans.remove_repeated_runs(_documents(spark, sf_dir), only_changed=True)
+    runs = found.select("doc_id", "n_sentences", "n_removed", F.explode("spans").alias("s"))
+    return runs.select("doc_id", "n_sentences", "n_removed", F.col("s.first").alias("first_sentence"), F.col("s.last").alias("last_sentence"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.first_docs").alias("first_docs"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(_documents(spark, sf_dir), k=4, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -31,5 +42,5 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_jaccard_join, op6_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing)}
 ORACLES: dict[str, str] = {}
