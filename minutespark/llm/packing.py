@@ -14,6 +14,7 @@ are packed as often as they come. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minutespark.llm.scratch import materialize
-from minutespark.llm.textkit import text_bytes
+from minutespark.llm.textkit import slices
 
 GROUP_PIECES = 50_000
-#: Entries of the word cache of a task; it is emptied when full, which changes no result.
-CACHE_WORDS = 400_000
+#: Entries of a worker's word cache; it is emptied when full, which changes no result.
+CACHE_WORDS = 1_000_000
 
 
 class ChunkTokenizer:
@@ -39,22 +40,29 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-            for c, e in zip(part, encoded, strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > CACHE_WORDS and self.known:
+            self.known.clear()
+            new = list(set().union(*split))
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
+            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+        find = self.known.__getitem__
+        return [b"".join(map(find, chunks)) for chunks in split]
+
+
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> ChunkTokenizer:
+    """One per worker process, so that its cache outlives a task."""
+    if path not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
 
 
 def _pieces(path: str, length: int, end_id: int, with_ids: bool):
@@ -62,17 +70,19 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = tokenizer_for(path)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * length
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            buf, offs = text_bytes(batch.column(1))
             rows = []
-            for i, key in enumerate(ids):
-                tokens = tokenizer.ids(buf[offs[i] : offs[i + 1]].tobytes()) + end
-                for piece, at in enumerate(range(0, len(tokens), step)):
-                    part = tokens[at : at + step]
-                    rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
+            for lo, hi, buf, offs in slices(batch.column(1)):
+                data = buf.tobytes()
+                texts = [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                for key, tokens in zip(ids[lo:hi], tokenizer.ids(texts), strict=True):
+                    tokens += end
+                    for piece, at in enumerate(range(0, len(tokens), step)):
+                        part = tokens[at : at + step]
+                        rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutespark.llm import jaccard_join, packing, quality, sentence_spans, suffix_dedup
+from minutespark.llm import chat_format, ctw, decontaminate, jaccard_join, packing, pii, quality, secret_scan, sentence_spans, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    windows = chat_format.format_windows(turns.union(chat_format.control_conversation(spark)))
+    return chat_format.with_digest(chat_format.read_back(windows))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_documents(spark, sf_dir))
 
@@ -42,5 +48,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing)}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds."""
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.with_digest(secret_scan.find_secrets(_documents(spark, sf_dir)))
+
+
+def op9_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(_documents(spark, sf_dir))
+
+
+def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_digest(pii.find_personal_data(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing, op7_benchmark_decontamination, op8_secret_scan, op9_ctw_scoring, op10_pii_weak_supervision)}
 ORACLES: dict[str, str] = {}
