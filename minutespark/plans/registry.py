@@ -1,7 +1,35 @@
-"""All queries over the driver tables, with their DuckDB counterparts."""
+"""Registration of queries over the driver tables, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
-FLAGSHIP = "txt12_snippet"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+FLAGSHIP = "flt1_list_pages"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read as they are asked for: ``t.documents``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Register a function of ``Tables`` under its name."""
+
+    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder))
+        if oracle:
+            ORACLES[build.__name__] = oracle
+        return build
+
+    return register
