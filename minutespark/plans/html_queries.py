@@ -1 +1,115 @@
-"""Queries."""
+"""Extraction from pages. Where the given pages lack a feature it is added to them by an expression, so
+that every page takes part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from minutespark.functions.urls import platform
+from minutespark.operators import html as h
+from minutespark.plans.registry import Tables, query
+
+
+def with_extra(t: Tables, *parts):
+    return t.pages.select("page_id", "url", F.concat("html", *parts).alias("html"))
+
+
+ID = F.col("page_id").cast("string")
+
+
+@query("SELECT page_id, [regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/v/' || page_id || '.mp4?a=1&b=2', 'https://cdn.example.org/' || page_id || '.m3u8'] AS urls FROM pages")
+def htm1_media_scan(t: Tables):
+    extra = F.concat(F.lit('<video src="/v/'), ID, F.lit('.mp4?a=1&amp;b=2"></video><a href="/ads/x.mp4">x</a><source src="https://cdn.example.org/'), ID, F.lit('.m3u8">'))
+    return with_extra(t, extra).select("page_id", h.media_urls(F.col("html"), F.col("url")).alias("urls"))
+
+
+@query("SELECT page_id, 'https://www.youtube.com/watch?v=abcdefg' || lpad(page_id::VARCHAR, 4, '0') AS link, 'youtube' AS platform FROM pages")
+def htm2_platform_link(t: Tables):
+    extra = F.concat(F.lit('<a href="https://www.youtube.com/watch?v=abcdefg'), F.lpad(ID, 4, "0"), F.lit('">watch</a>'))
+    return h.first_platform_link(with_extra(t, extra), "page_id", platform(F.col("url")))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]+)\"', 1)) AS links FROM pages")
+def htm2_links(t: Tables):
+    return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).cast("long").alias("links"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'abcdefg' || lpad(page_id::VARCHAR, 4, '0') WHEN 1 THEN 'xbcdefg' || lpad(page_id::VARCHAR, 4, '0') END AS video FROM pages")
+def htm3_single_video(t: Tables):
+    n = F.lpad(ID, 4, "0")
+    one = F.concat(F.lit('video_id="abcdefg'), n, F.lit('"'))
+    extra = F.when(F.col("page_id") % 3 == 0, one).when(F.col("page_id") % 3 == 1, F.concat(one, F.lit("youtu.be/xbcdefg"), n)).otherwise(F.concat(one, F.lit(' video_id="ybcdefg'), n, F.lit('"')))
+    return with_extra(t, extra).select("page_id", h.single_video_id(F.col("html")).alias("video"))
+
+
+@query("SELECT page_id, ['/t.vtt', '/my-captions.srt', '/o.ttml'] AS files FROM pages")
+def htm5_caption_candidates(t: Tables):
+    extra = F.lit('<a x="/o.ttml"><a x="/my-captions.srt"><track kind="x" src="/t.vtt"><a x="/p.vtt">')
+    return with_extra(t, extra).select("page_id", h.caption_candidates(F.col("html")).alias("files"))
+
+
+@query("SELECT page_id, '/docs/' || page_id AS link FROM pages")
+def htm6_agenda_link(t: Tables):
+    extra = F.concat(F.lit('<a href="/docs/'), ID, F.lit('">Full <b>Agenda</b></a>'))
+    return with_extra(t, extra).select("page_id", h.agenda_link(F.col("html")).alias("link"))
+
+
+@query("SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages")
+def htm7_metadata(t: Tables):
+    return t.pages.select("page_id", h.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, regexp_matches(lower(html), 'captcha|attention required|access denied|just a moment') AS blocked FROM pages")
+def htm8_challenge(t: Tables):
+    return t.pages.select("page_id", h.is_challenge(F.col("html")).alias("blocked"))
+
+
+_BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_TEXT = f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({_BARE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, length({_TEXT}) < 600 AS shell, length({_TEXT}) AS visible FROM pages")
+def htm9_empty_shell(t: Tables):
+    """Visible text and whether there is too little of it (htm10)."""
+    text = h.visible_text(F.col("html"))
+    return t.pages.select("page_id", h.is_empty_shell(F.col("html"), 600).alias("shell"), F.length(text).cast("long").alias("visible"))
+
+
+@query("SELECT page_id, [60, page_id + 60] AS seconds, 'Roll call' AS first_label FROM pages")
+def htm11_chapters(t: Tables):
+    extra = F.concat(F.lit('<li data-time="60"><b>Roll call</b></li><li class="x" data-seconds="'), (F.col("page_id") + 60).cast("string"), F.lit('">Budget</li>'))
+    found = with_extra(t, extra).select("page_id", h.chapters(F.regexp_replace("html", r"</b></li>", "</li>")).alias("c"))
+    return found.select("page_id", F.transform("c", lambda x: x["seconds"]).alias("seconds"), F.get("c", F.lit(0))["label"].alias("first_label"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]+)\"', 1)) AS link, generate_subscripts(regexp_extract_all(html, '<li><a href=\"([^\"]+)\"', 1), 1) - 1 AS pos FROM pages")
+def htm12_candidate_rows(t: Tables):
+    rows = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]+)"'), F.lit(1))).alias("pos", "link"))
+    return rows.select("page_id", "link", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'b.m3u8' ELSE 'a.mp4' END AS best FROM pages")
+def htm13_best_video(t: Tables):
+    urls = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("a.mp4"), F.lit("b.m3u8"))).otherwise(F.array(F.lit("x.html"), F.lit("a.mp4")))
+    return t.pages.select("page_id", h.best_video(urls).alias("best"))
+
+
+@query("SELECT page_id, page_id AS show FROM pages")
+def src19_embedded_json(t: Tables):
+    """An object inside a script, and in it the nearest object with a key (src20)."""
+    extra = F.concat(F.lit('<script>var settings = {"a": {"b": {"show": '), ID, F.lit("}}};</script>"))
+    return with_extra(t, extra).select("page_id", h.find_value(h.embedded_json(F.col("html"), "settings"), "show").cast("long").alias("show"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def src20_json_payload(t: Tables):
+    return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT item_id, 'Title ' || item_id AS title FROM benchmark")
+def src21_feed_item(t: Tables):
+    """An item of a feed found by its id."""
+    feed = F.concat(F.lit("<rss><item><guid>x</guid><title>No</title></item><item><guid>"), F.col("item_id"), F.lit("</guid><title>Title "), F.col("item_id"), F.lit("</title></item></rss>"))
+    rows = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(feed, F.lit("(?s)<item>(.*?)</item>"), F.lit(1))).alias("item"))
+    hit = rows.where(F.regexp_extract("item", "<guid>(.*?)</guid>", 1) == F.col("item_id").cast("string"))
+    return hit.select("item_id", F.regexp_extract("item", "<title>(.*?)</title>", 1).alias("title"))

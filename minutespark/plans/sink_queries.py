@@ -1 +1,78 @@
-"""Queries."""
+"""What the sinks write, as row sets; the writers themselves are in ``minutespark.sources.tables``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from minutespark.operators import relational as rel
+from minutespark.plans.registry import Tables, query
+from minutespark.sources import captions
+
+
+@query("""
+SELECT doc_id, coalesce(nullif(n.source, ''), o.source) AS source, coalesce(n.lang, o.lang) AS lang FROM (SELECT doc_id, source, lang FROM documents WHERE doc_id % 2 = 0) o
+FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'new' END AS source, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang FROM documents WHERE doc_id % 4 < 2) n USING (doc_id)""")
+def snk1_upsert(t: Tables):
+    old = t.documents.where("doc_id % 2 = 0").select("doc_id", "source", "lang")
+    new = t.documents.where("doc_id % 4 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise("new").alias("source"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"))
+    merged = rel.upsert(old, new, "doc_id")
+    # A row that is only new keeps an empty value as null.
+    return merged.select("doc_id", "source", "lang")
+
+
+@query("SELECT source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE lang = 'en') UNION SELECT DISTINCT source, lang FROM documents")
+def snk2_insert_absent(t: Tables):
+    """Vocabulary-like insert: what is there stays, what is new comes once (snk3)."""
+    old = t.documents.where("lang = 'en'").select("source", "lang").distinct()
+    return rel.insert_absent(old, t.documents.select("source", "lang"), ["source", "lang"])
+
+
+@query("SELECT user_id, event_type, min(event_id) AS winner FROM events GROUP BY 1, 2")
+def snk4_claim_once(t: Tables):
+    return t.events.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("event_id")).alias("winner"))
+
+
+@query("""
+SELECT 'documents' AS tbl, count(*) AS kept FROM documents WHERE source <> 'src3' UNION ALL
+SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')""")
+def snk6_cascade_delete(t: Tables):
+    gone = t.documents.where("source = 'src3'").select("doc_id")
+    docs = t.documents.join(gone, "doc_id", "left_anti").agg(F.lit("documents").alias("tbl"), F.count("*").alias("kept"))
+    return docs.unionByName(t.labels.join(gone, "doc_id", "left_anti").agg(F.lit("labels").alias("tbl"), F.count("*").alias("kept")))
+
+
+@query("SELECT count(*) FILTER (user_id <> 7) AS kept, count(*) FILTER (user_id = 7) AS removed FROM events")
+def snk7_account_delete(t: Tables):
+    return t.events.agg(F.count_if(F.col("user_id") != 7).alias("kept"), F.count_if(F.col("user_id") == 7).alias("removed"))
+
+
+@query("SELECT n_nationkey, n_name AS old, 'NATION-' || n_nationkey AS new FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_name FROM nation WHERE false")
+def snk8_bulk_update_diff(t: Tables):
+    """A dry run: only rows that an update would change."""
+    new = F.when(F.col("n_regionkey") == 1, F.concat(F.lit("NATION-"), F.col("n_nationkey"))).otherwise(F.col("n_name"))
+    return t.nation.select("n_nationkey", F.col("n_name").alias("old"), new.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+@query("""
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_default FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12""")
+def snk9_capped_store(t: Tables):
+    """At most 12 per page; the newest is the default."""
+    rows = rel.keep_latest(t.events.where("event_type = 'view'"), ["user_id"], F.desc("ts"), F.desc("event_id"), k=12)
+    newest = rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("d"))
+    return rows.join(newest, "user_id").select("user_id", "event_id", (F.col("event_id") == F.col("d")).alias("is_default"))
+
+
+@query("""
+SELECT conv_id, md5(string_agg((turn + 1)::VARCHAR || chr(10) || '00:' || lpad((turn * 10 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 60)::VARCHAR, 2, '0') || ',000 --> 00:' || lpad(((turn * 10 + 8) // 60)::VARCHAR, 2, '0') || ':' || lpad(((turn * 10 + 8) % 60)::VARCHAR, 2, '0') || ',000' || chr(10) || text || chr(10), chr(10) ORDER BY turn)) AS body_md5
+FROM conversations GROUP BY 1""")
+def snk10_srt_export(t: Tables):
+    s = F.col("turn") * 10.0
+    item = F.struct("turn", s.alias("start"), (s + 8).alias("end"), "text")
+    files = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("segments"))
+    return captions.to_srt(files, "segments", "body").select("conv_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("SELECT source, lang, max(doc_id) AS updated, count(*) AS pages FROM documents WHERE n_chars >= 200 GROUP BY 1, 2 HAVING count(*) >= 2")
+def snk13_sitemap(t: Tables):
+    """Indexable hubs by their latest update (top14)."""
+    return t.documents.where("n_chars >= 200").groupBy("source", "lang").agg(F.max("doc_id").alias("updated"), F.count("*").alias("pages")).where("pages >= 2").orderBy(F.desc("updated"))
