@@ -9,6 +9,7 @@ from minutespark.plans import (  # noqa: F401
     segment_queries,
     sink_queries,
     state_queries,
+    stream_queries,
 )
 from minutespark.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
