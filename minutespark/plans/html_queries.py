@@ -14,18 +14,19 @@ def with_extra(t: Tables, *parts):
     return t.pages.select("page_id", "url", F.concat("html", *parts).alias("html"))
 
 
-ID = F.col("page_id").cast("string")
+def number():
+    return F.col("page_id").cast("string")
 
 
 @query("SELECT page_id, [regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/v/' || page_id || '.mp4?a=1&b=2', 'https://cdn.example.org/' || page_id || '.m3u8'] AS urls FROM pages")
 def htm1_media_scan(t: Tables):
-    extra = F.concat(F.lit('<video src="/v/'), ID, F.lit('.mp4?a=1&amp;b=2"></video><a href="/ads/x.mp4">x</a><source src="https://cdn.example.org/'), ID, F.lit('.m3u8">'))
+    extra = F.concat(F.lit('<video src="/v/'), number(), F.lit('.mp4?a=1&amp;b=2"></video><a href="/ads/x.mp4">x</a><source src="https://cdn.example.org/'), number(), F.lit('.m3u8">'))
     return with_extra(t, extra).select("page_id", h.media_urls(F.col("html"), F.col("url")).alias("urls"))
 
 
 @query("SELECT page_id, 'https://www.youtube.com/watch?v=abcdefg' || lpad(page_id::VARCHAR, 4, '0') AS link, 'youtube' AS platform FROM pages")
 def htm2_platform_link(t: Tables):
-    extra = F.concat(F.lit('<a href="https://www.youtube.com/watch?v=abcdefg'), F.lpad(ID, 4, "0"), F.lit('">watch</a>'))
+    extra = F.concat(F.lit('<a href="https://www.youtube.com/watch?v=abcdefg'), F.lpad(number(), 4, "0"), F.lit('">watch</a>'))
     return h.first_platform_link(with_extra(t, extra), "page_id", platform(F.col("url")))
 
 
@@ -36,7 +37,7 @@ def htm2_links(t: Tables):
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'abcdefg' || lpad(page_id::VARCHAR, 4, '0') WHEN 1 THEN 'xbcdefg' || lpad(page_id::VARCHAR, 4, '0') END AS video FROM pages")
 def htm3_single_video(t: Tables):
-    n = F.lpad(ID, 4, "0")
+    n = F.lpad(number(), 4, "0")
     one = F.concat(F.lit('video_id="abcdefg'), n, F.lit('"'))
     extra = F.when(F.col("page_id") % 3 == 0, one).when(F.col("page_id") % 3 == 1, F.concat(one, F.lit("youtu.be/xbcdefg"), n)).otherwise(F.concat(one, F.lit(' video_id="ybcdefg'), n, F.lit('"')))
     return with_extra(t, extra).select("page_id", h.single_video_id(F.col("html")).alias("video"))
@@ -50,7 +51,7 @@ def htm5_caption_candidates(t: Tables):
 
 @query("SELECT page_id, '/docs/' || page_id AS link FROM pages")
 def htm6_agenda_link(t: Tables):
-    extra = F.concat(F.lit('<a href="/docs/'), ID, F.lit('">Full <b>Agenda</b></a>'))
+    extra = F.concat(F.lit('<a href="/docs/'), number(), F.lit('">Full <b>Agenda</b></a>'))
     return with_extra(t, extra).select("page_id", h.agenda_link(F.col("html")).alias("link"))
 
 
@@ -97,7 +98,7 @@ def htm13_best_video(t: Tables):
 @query("SELECT page_id, page_id AS show FROM pages")
 def src19_embedded_json(t: Tables):
     """An object inside a script, and in it the nearest object with a key (src20)."""
-    extra = F.concat(F.lit('<script>var settings = {"a": {"b": {"show": '), ID, F.lit("}}};</script>"))
+    extra = F.concat(F.lit('<script>var settings = {"a": {"b": {"show": '), number(), F.lit("}}};</script>"))
     return with_extra(t, extra).select("page_id", h.find_value(h.embedded_json(F.col("html"), "settings"), "show").cast("long").alias("show"))
 
 
