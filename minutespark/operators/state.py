@@ -103,4 +103,4 @@ def throttle(rows: DataFrame, key: str, time: str, order: str, seconds: float) -
         passes = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds)
         return F.struct(F.when(passes, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"), F.when(passes, x["t"]).otherwise(acc["last"]).alias("last"))
 
-    return lists.select(key, F.explode(F.aggregate("w", zero, step, lambda acc: acc["kept"])).alias("k")).select(key, F.col("k.o").alias(order))
+    return lists.select(key, F.explode(F.aggregate("w", zero, step, lambda acc: acc["kept"])).alias("_kept")).select(key, F.col("_kept.o").alias(order))

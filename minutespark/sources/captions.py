@@ -64,8 +64,11 @@ def format_of(url: Column) -> Column:
 
 
 def decode_bytes(raw: Column) -> Column:
-    """UTF-8, else Windows-1252."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "windows-1252"))
+    """UTF-8, else Windows-1252 (Latin-1 but for the bytes 80 to 9F, which are translated)."""
+    differ = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    latin = F.decode(raw, "iso-8859-1")
+    western = F.translate(latin, "".join(map(chr, differ)), bytes(differ).decode("cp1252"))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(western)
 
 
 def to_srt(files: DataFrame, segments: str, body: str) -> DataFrame:
