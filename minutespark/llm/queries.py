@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from minutespark.llm import chat_format, ctw, decontaminate, jaccard_join, packing, pii, quality, secret_scan, sentence_spans, suffix_dedup
+from minutespark.llm.oracles import ORACLES
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,6 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_digest(pii.find_personal_data(_documents(spark, sf_dir)))
 
 
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing, op7_benchmark_decontamination, op8_secret_scan, op9_ctw_scoring, op10_pii_weak_supervision)}
-ORACLES: dict[str, str] = {}
