@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutespark.llm.scratch import materialize, sized
+from minutespark.llm.scratch import materialize
 
 RUN_LENGTH = 2
 #: Runs with fewer words are too ordinary to count as copies.
@@ -122,6 +122,7 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hits = runs.join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "th", "pos") != F.col("first"))
     per_doc = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", F.col("first.doc_id").alias("first_doc"))).alias("hits"))
     per_doc = materialize(per_doc, "repeated-runs").withColumnsRenamed({"doc_id": "h_id", "th": "h_th"})
-    joined = slim.join(sized(per_doc, 500_000), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "inner" if only_changed else "left")
+    # Always a shuffle of both sides, so that cost follows the input at every size.
+    joined = slim.join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "inner" if only_changed else "left")
     span = "array<struct<first: long, last: long, start: long, end: long, first_docs: array<long>>>"
     return joined.select("doc_id", "text", "hits").mapInArrow(_remove(run_length), f"doc_id long, n_sentences long, n_removed long, spans {span}, text string")
