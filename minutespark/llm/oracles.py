@@ -38,3 +38,45 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS component FROM c GROUP BY 1) USING (doc_id)"""
 
 ORACLES = {"op1_chat_format": OP1, "op5_jaccard_join": OP5}
+
+
+def _kind(order: int, kind: str, pattern: str, group: int = 0, least: int = 0, length: int = 0, without: str = "") -> str:
+    """Matches of one pattern with their positions: pieces between the matches, and the matches."""
+    quoted = pattern.replace("'", "''")
+    keep = f" AND length(value) >= {least}" if least else ""
+    keep += f" AND length(found) = {length} AND NOT contains(found, '{without}')" if length else ""
+    return f"""
+  SELECT doc_id, {order} AS o, '{kind}' AS kind, begin, begin + length(found) AS finish, value FROM (
+    SELECT doc_id, found, value, sum(length(gap)) OVER p + sum(length(found)) OVER p - length(found) AS begin FROM (
+      SELECT doc_id, unnest(regexp_split_to_array(text, '{quoted}')[:len(regexp_extract_all(text, '{quoted}'))]) AS gap, unnest(regexp_extract_all(text, '{quoted}')) AS found,
+        unnest(regexp_extract_all(text, '{quoted}', {group})) AS value, generate_subscripts(regexp_extract_all(text, '{quoted}'), 1) AS i FROM d)
+    WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE true{keep}"""
+
+
+_NAMED = r"""["']?\x20*[:=]\x20*["']?"""
+_PARTS = " UNION ALL ".join(
+    [
+        _kind(0, "assign", rf"((?i:password|passwd|secret|token|api_?key)){_NAMED}([A-Za-z0-9+/_.=-]+)", 2, 6),
+        _kind(1, "access", "AKIA[A-Z0-9]+", 0, 18),
+        _kind(2, "hex", "[0-9a-f]+", 0, 16),
+        _kind(3, "id", rf"(?i:client_?id|account_?id|user_?name|user|login){_NAMED}([A-Za-z0-9._@-]{{3,}})"),
+        _kind(4, "weak", "[A-Za-z0-9+/=]+", 0, 0, 40, "="),
+        _kind(5, "endpoint", rf"""https?://[^\s"'<>]+|(?i:host|endpoint|server){_NAMED}[A-Za-z0-9.:-]+"""),
+    ]
+)
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({_PARTS}),
+part AS (SELECT doc_id, CASE WHEN kind = 'assign' AND length(value) < 12 THEN 4 ELSE o END AS o, CASE WHEN kind = 'assign' AND length(value) < 12 THEN 'weak' ELSE kind END AS kind, begin::BIGINT AS begin, finish::BIGINT AS finish FROM raw),
+near AS (SELECT *,
+  coalesce(begin - max(CASE WHEN kind IN ('id', 'access', 'endpoint') THEN finish END) OVER b <= 160, false) OR coalesce(min(CASE WHEN kind IN ('id', 'access', 'endpoint') THEN begin END) OVER a - finish <= 160, false) AS near_id,
+  coalesce(begin - max(CASE WHEN kind IN ('assign', 'hex', 'weak') THEN finish END) OVER b <= 160, false) OR coalesce(min(CASE WHEN kind IN ('assign', 'hex', 'weak') THEN begin END) OVER a - finish <= 160, false) AS near_secret
+  FROM part WINDOW b AS (PARTITION BY doc_id ORDER BY begin, finish, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id ORDER BY begin, finish, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+kept AS (SELECT * FROM near WHERE o < 3 OR (kind = 'weak' AND near_id) OR (kind = 'id' AND near_secret)),
+said AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+  string_agg(kind || ':' || begin || ':' || finish, ',' ORDER BY begin, o) FILTER (o < 3) AS base, string_agg(kind || ':' || begin || ':' || finish, ',' ORDER BY begin, o) AS spans FROM kept GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN said USING (doc_id)"""
+
+ORACLES["op8_secret_scan"] = OP8
