@@ -582,3 +582,60 @@ def set5_ledger(t: Tables):
 def set6_subset(t: Tables):
     wanted = F.array(F.lit("red"), F.lit("ring"))
     return t.part.where(F.size(F.array_except(wanted, F.split("p_name", " "))) == 0).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def jn7_set_based_lookup(t: Tables):
+    """What would be a lookup for each row, as one semi and one anti join."""
+    poor = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    returned = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t.orders.join(poor, "o_custkey", "left_semi").join(returned, "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT conv_id, u.turn, a.turn AS answer FROM conversations u JOIN conversations a USING (conv_id) WHERE u.role = 'user' AND a.role = 'assistant' AND a.turn = u.turn + 1")
+def jn16_items_to_points(t: Tables):
+    """Items of a page looked up in the map of the page's points; items without a point are dropped."""
+    assistant = F.col("role") == "assistant"
+    pages = t.conversations.groupBy("conv_id").agg(
+        F.map_from_entries(F.collect_set(F.when(assistant, F.struct((F.col("turn") - 1).alias("item"), F.col("turn"))))).alias("points"),
+        F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("items"),
+    )
+    rows = pages.select("conv_id", F.explode("items").alias("turn"), "points")
+    return rows.select("conv_id", "turn", F.try_element_at("points", F.col("turn")).alias("answer")).where("answer is not null")
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def top8_clamped_limit(t: Tables):
+    """A wished limit of 5000 is held within 1 to 1000."""
+    return t.events.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(1, min(1000, 5000))).select("event_id")
+
+
+@query("SELECT source, pages, row_number() OVER (ORDER BY pages DESC, source) AS place FROM (SELECT source, count(*) AS pages FROM documents WHERE lang = 'en' GROUP BY 1)")
+def top16_renumbered_table(t: Tables):
+    """A table of sources (few rows), filtered, sorted and numbered anew."""
+    table = t.documents.where("lang = 'en'").groupBy("source").agg(F.count("*").alias("pages"))
+    return table.select("source", "pages", long(F.row_number().over(Window.orderBy(F.desc("pages"), "source")), "place"))
+
+
+@query("SELECT doc_id, min(tab) AS first_tab FROM (SELECT doc_id, 0 AS tab FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1 FROM documents WHERE n_chars > 1000) GROUP BY 1")
+def src17_two_tabs(t: Tables):
+    """A listing over two tabs, the first mention of each id kept."""
+    one = t.documents.where("lang = 'en'").select("doc_id", F.lit(0).alias("first_tab"))
+    return one.unionByName(t.documents.where("n_chars > 1000").select("doc_id", F.lit(1).alias("first_tab"))).groupBy("doc_id").agg(F.min("first_tab").alias("first_tab"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'resolve_failed' WHEN event_type = 'signup' THEN 'calendar_page' WHEN value < 2 THEN 'no_video' WHEN value < 4 THEN 'blank_transcript' WHEN value < 5 THEN 'garbled_transcript' WHEN user_id % 10 = 0 THEN 'non_english_transcript' ELSE 'success' END AS outcome FROM events""")
+def str37_resolver_outcome(t: Tables):
+    """Statuses other than success pass through; then flags decide in order."""
+    kind, v = F.col("event_type"), F.col("value")
+    status = F.when(kind == "error", "resolve_failed").when(kind == "signup", "calendar_page")
+    flags = F.when(v < 2, "no_video").when(v < 4, "blank_transcript").when(v < 5, "garbled_transcript").when(F.col("user_id") % 10 == 0, "non_english_transcript").otherwise("success")
+    return t.events.select("event_id", F.coalesce(status, flags).alias("outcome"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+def set4_filter_unseen(t: Tables):
+    have = t.supplier.select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    seen = t.customer.where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
+    return t.nation.join(have, "n_nationkey", "left_semi").join(seen, "n_nationkey", "left_anti").select("n_nationkey", "n_name")

@@ -256,3 +256,30 @@ def win16_line_transcript(t: Tables):
     """One line per cue, '[m:ss] text'; the end comes from the next."""
     files = captions.to_txt(transcripts(t).select("conv_id", F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("x").alias("text"))).alias("segments")), "segments", "body")
     return captions.parse_lines(files.select("conv_id", "body"), "conv_id", "body").select("conv_id", "pos", "start", F.col("end").alias("finish"))
+
+
+@query()
+def seg15_language_samples(t: Tables):
+    """The detected language of evenly spaced samples, weighted by characters (agg27)."""
+    chunks = t.documents.select("doc_id", F.explode(seg.sample_chunks(F.col("text"))).alias("chunk"))
+    votes = chunks.groupBy("doc_id", seg.language_scores(F.col("chunk"), LANGUAGES).alias("lang")).agg(F.sum(F.length("chunk")).alias("w"))
+    return votes.where("lang is not null").groupBy("doc_id").agg(F.max_by("lang", F.struct("w", "lang")).alias("lang"))
+
+
+@query("SELECT conv_id, count(*) + 1 AS blocks FROM conversations GROUP BY 1")
+def seg22_transcript_blocks(t: Tables):
+    """Texts with a disclaimer before each, parsed into blocks."""
+    said = F.transform("segments", lambda s: F.concat(F.lit("DISCLAIMER: auto\n\n"), F.regexp_replace(s["text"], r"\s*\n\s*", " ")))
+    files = transcripts(t).select("conv_id", F.array_join(said, "\n\n").alias("body"))
+    return seg.transcript_blocks(files, "conv_id", "body", "^DISCLAIMER").groupBy("conv_id").agg(F.count("*").alias("blocks"))
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ') AS parts FROM part")
+def str19_word_segmentation(t: Tables):
+    """Part names without their space, taken apart by the words of part names (a short list)."""
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    if words.count() > 10_000:
+        raise ValueError("the list of known words must be short")
+    known = [r["w"] for r in words.collect()]
+    joined = t.part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("label"))
+    return seg.segment_words(joined, known, "label").select("p_partkey", "parts")
