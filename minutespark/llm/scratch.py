@@ -32,10 +32,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted rows are within ``limit``. Callers pass narrow
-    tables that are already materialized, so that the count is a metadata read."""
-    return F.broadcast(df) if df.count() <= limit else df
+def neutral(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... and the new names of ``used``, so that a table's own columns
+    cannot clash with an operator's; ``df.columns`` restores the names."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(u)}" for u in used]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows`` rows. The setting holds for the session; with the
+    default of ten times as many, the copies of a batch of long texts weigh on an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if its counted rows (with ``array``, the elements of that column) are
+    within ``limit``. Callers pass narrow tables that are already materialized, so that
+    counting is cheap."""
+    held = df.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0] if array else df.count()
+    return F.broadcast(df) if held <= limit else df
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

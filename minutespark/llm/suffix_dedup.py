@@ -46,6 +46,8 @@ PART = 1 << 22
 #: Cores with more distinct blocks than this are compared by a shuffle of their strings.
 LOCAL_BLOCKS = 2000
 POSITION_BITS = 24
+#: Spans of all texts together that are still broadcast; beyond it texts are shuffled to theirs.
+SPANS = 1_000_000
 _BYTES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -239,24 +241,34 @@ def _explode(length: int):
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching spans of a text as one."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict] = []
+            for s in sorted(spans, key=lambda s: s["start"]):
+                if merged and s["start"] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
+                else:
+                    merged.append(s)
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, kind)], names=["doc_id", "th", "spans"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = tk.text_bytes(batch.column("text"))
         out = []
         for i, spans in enumerate(batch.column("spans").to_pylist()):
             data = buf[offs[i] : offs[i + 1]].tobytes()
-            kept, at, removed, runs, end = [], 0, 0, 0, -1
-            for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                if s[0] > end:
-                    runs += 1
-                    kept.append(data[at : s[0]])
-                    removed += s[1] - s[0]
-                elif s[1] > end:
-                    removed += s[1] - end
-                end = max(end, s[1])
-                at = end
-            kept.append(data[at:])
-            out.append((len(data), removed, runs, b"".join(kept)))
+            kept, at = [], 0
+            for s in spans or ():
+                kept.append(data[at : s["start"]])
+                at = s["end"]
+            left = b"".join([*kept, data[at:]])
+            out.append((len(data), len(data) - len(left), len(spans or ()), left))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -265,7 +277,8 @@ def repeated_spans(slim: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, spans): byte spans to remove, for texts that have any."""
     key = ["core", "b1", "b2"]
     parsed = slim.mapInArrow(_parse(length), "doc_id long, th int, core long, b1 long, b2 long, place long")
-    cores = parsed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Written out, so that the join's two sides are plain exchanges, whose hot keys Spark can split.
+    cores = materialize(parsed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     repeated = materialize(parsed.join(cores, "core", "left_semi"), "repeated-cores")
     seen = repeated.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("at"))
     distinct = materialize(seen, "blocks")
@@ -273,7 +286,7 @@ def repeated_spans(slim: DataFrame, length: int) -> DataFrame:
     edges = distinct.join(sized(several), "core").select("blocks", "at", *key)
     asked = edges.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct(*key, "at.place", "blocks")).alias("asked"))
     asked = materialize(asked, "asked")
-    texts = slim.join(sized(asked.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"}), 200_000), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
+    texts = slim.join(sized(asked.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"}), SPANS, "asked"), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     cut = texts.select("text", "asked").mapInArrow(_cut(length), "core long, b1 long, b2 long, string binary")
     hot = materialize(several.where(F.col("blocks") > LOCAL_BLOCKS).select("core"), "hot-cores")
     cut = materialize(cut, "block-strings")
@@ -288,7 +301,8 @@ def repeated_spans(slim: DataFrame, length: int) -> DataFrame:
     spans = repeated.join(flagged, key).select(
         "doc_id", "th", (lo + F.col("begin")).alias("start"), (lo + F.least(F.col("finish"), more) + length).alias("end")
     )
-    return materialize(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return materialize(spans.mapInArrow(_merge, spans.schema), "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -297,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be at least {GRAM + WIDTH}")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = repeated_spans(slim, length).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
-    joined = slim.join(sized(spans, 500_000), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
+    joined = slim.join(sized(spans, SPANS, "spans"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
