@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import materialize, sized
+from minutespark.llm.scratch import materialize, neutral, sized
 
 RADIUS = 7
 ITEMS = 20_000
@@ -178,4 +178,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item. Rows with a null id are judged too."""
     gone = materialize(contaminated(docs, items, id_col, text_col, **options).select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", "_gone")
-    return docs.join(sized(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    rows, (key,) = neutral(docs, id_col)
+    return rows.join(sized(gone), F.col(key).cast("long").eqNullSafe(F.col("_gone")), "left_anti").toDF(*docs.columns)

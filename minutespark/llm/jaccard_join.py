@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import components, materialize, sized
+from minutespark.llm.scratch import components, materialize, neutral, sized
 
 U = np.uint64
 SKETCH_WORDS = 4
@@ -264,4 +264,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Keep the smallest id of each component (with null ids, and repeated ids, as they are)."""
     found = jaccard_components(docs, id_col, text_col, k, num, den)
     gone = materialize(found.where("component < id").select("id").distinct(), "jaccard-gone")
-    return docs.join(sized(gone.withColumnRenamed("id", id_col)), id_col, "left_anti").select(*docs.columns)
+    rows, (key,) = neutral(docs, id_col)
+    return rows.join(sized(gone), F.col(key) == F.col("id"), "left_anti").toDF(*docs.columns)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from minutespark.llm.scratch import materialize, neutral, sized
+
 #: Code points kept on either side of a match.
 CONTEXT = 40
 
@@ -70,12 +72,11 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, mask: str) -> DataFrame:
     """``docs`` with every span of ``found`` (doc_id, th, spans) replaced; overlaps are one."""
-    from minutespark.llm.scratch import materialize, sized
-
     some = found.where(F.size("spans") > 0).groupBy("doc_id", "th").agg(F.first("spans").alias("spans"))
     some = materialize(some.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_spans")), "redactions")
-    both = docs.join(sized(some, 200_000), F.col(id_col).eqNullSafe(F.col("_id")) & (F.hash(F.col(text_col)) == F.col("_th")), "left")
-    text, zero = F.col(text_col), F.lit(0).cast("long")
+    rows, (key, text_name) = neutral(docs, id_col, text_col)
+    both = rows.join(sized(some, 300_000, "_spans"), F.col(key).eqNullSafe(F.col("_id")) & (F.hash(F.col(text_name)) == F.col("_th")), "left")
+    text, zero = F.col(text_name), F.lit(0).cast("long")
     start = F.struct(F.lit("").alias("out"), zero.alias("at"))
     # Before each span what lies between, then one mask; a span within the last one adds nothing.
     step = F.aggregate(
@@ -90,4 +91,4 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, mask:
         ).otherwise(acc),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))),
     )
-    return both.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(step)).select(*docs.columns)
+    return both.withColumn(text_name, F.when(F.col("_spans").isNull(), text).otherwise(step)).select(*rows.columns).toDF(*docs.columns)

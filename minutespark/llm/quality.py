@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutespark.llm.scratch import materialize, sized
+from minutespark.llm.scratch import materialize, neutral, sized
 from minutespark.llm.textkit import text_bytes
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -244,7 +244,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows that pass, unchanged. The statistics are computed again for the filter, which costs
     less than moving the texts to their verdicts, and holds for repeated ids."""
-    names = docs.columns
-    stats = materialize(with_statistics(docs.select(text_col, lang, source), text_col, keep_text=False), "quality")
-    judged = judge(with_statistics(docs, text_col), *fit(stats, lang, source), lang, source)
-    return judged.where("kept").select(*names)
+    rows, (text, lang_, source_) = neutral(docs, text_col, lang, source)
+    stats = materialize(with_statistics(rows.select(text, lang_, source_), text, keep_text=False), "quality")
+    judged = judge(with_statistics(rows, text), *fit(stats, lang_, source_), lang_, source_)
+    return judged.where("kept").select(*rows.columns).toDF(*docs.columns)

@@ -57,3 +57,14 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     assert docs.count() > 0
 
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns named like those that the operators add come through unharmed."""
+    write(spark, tmp_path)
+    extra = ["kept", "base_failed", "distance2", "stat_n_words", "x0", "_key", "_gone", "_id", "_th", "_spans", "id", "n", "rep", "sig", "component", "row", "c0", "group"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *(f"'{e}' as `{e}`" for e in extra))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == COLUMNS + extra
+    assert docs.select(*extra).distinct().collect() == [tuple(extra)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
