@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import materialize, neutral, sized
+from minutespark.llm.scratch import materialize, neutral, sized, small_batches
 
 RADIUS = 7
 ITEMS = 20_000
@@ -159,6 +159,7 @@ def _scan(index: Index, threshold: float):
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row for each text and item that it holds: doc_id, item_id, similarity, first_word,
     n_words (the best window)."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     probes = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = probes.count()

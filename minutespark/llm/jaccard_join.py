@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import components, materialize, neutral, sized
+from minutespark.llm.scratch import components, materialize, neutral, sized, small_batches
 
 U = np.uint64
 SKETCH_WORDS = 4
@@ -192,6 +192,7 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num
     per pair of classes found linked (a, b), enough to connect every component; each was verified
     on the sets: ``den * |A & B| >= num * |A | B|``.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = [f"s{j}" for j in range(SKETCH_WORDS)]
     layout = "id long, n long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in sketch)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutespark.llm.scratch import materialize
+from minutespark.llm.scratch import materialize, small_batches
 from minutespark.llm.textkit import slices
 
 GROUP_PIECES = 50_000
@@ -154,6 +154,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with
     ``with_ids`` also the piece's ids (little-endian unsigned 32-bit)."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     layout = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = materialize(slim.mapInArrow(_pieces(tokenizer_path, length, end_id, with_ids), layout), "pieces")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutespark.llm.scratch import materialize, neutral, sized
+from minutespark.llm.scratch import materialize, neutral, sized, small_batches
 from minutespark.llm.textkit import text_bytes
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -98,6 +98,7 @@ def _measure(text_at: int, text_out: bool):
 
 def with_statistics(docs: DataFrame, text_col: str, keep_text: bool = True) -> DataFrame:
     """``docs`` plus stat_<name> columns (an existing column of such a name is replaced)."""
+    small_batches(docs.sparkSession)
     base = docs.drop(*(f"stat_{s}" for s in STATS))
     kept = [f for f in base.schema.fields if keep_text or f.name != text_col]
     layout = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"stat_{s} long" for s in STATS])
