@@ -185,12 +185,12 @@ def _sets(k: int):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets and links between classes.
+    """Classes of equal sets and what links connect.
 
-    Returns (members, links). ``members``: one row per input row with a non-null id: ``id``,
-    ``n`` (set size), ``rep`` (smallest id of the class; null for empty sets). ``links``: one row
-    per pair of classes found linked (a, b), enough to connect every component; each was verified
-    on the sets: ``den * |A & B| >= num * |A | B|``.
+    Returns (members, found). ``members``: one row per input row with a non-null id: ``id``,
+    ``n`` (set size), ``rep`` (smallest id of the class; null for empty sets). ``found``: one row
+    (rep, component) per class that has a link. Every link was verified on the sets:
+    ``den * |A & B| >= num * |A | B|``.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -250,14 +250,15 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num
     )
     rest = rest.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
     second = verify(rest, "jaccard-second")
-    return members, first.union(second)
+    if not second.isEmpty():  # what is connected already goes in as stars
+        found = components(found.toDF("a", "b").union(second))
+    return members, found.toDF("rep", "component")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: id, n (set size), component (smallest id reachable by links)."""
-    members, links = jaccard_classes(docs, id_col, text_col, k, num, den)
-    found = components(links)
-    out = members.join(sized(found.toDF("rep", "component")), "rep", "left")
+    members, found = jaccard_classes(docs, id_col, text_col, k, num, den)
+    out = members.join(sized(found), "rep", "left")
     return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
 
 
