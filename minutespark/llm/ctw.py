@@ -1,15 +1,18 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Each byte is eight binary decisions; each decision is predicted in the context of the two bytes
-before it. A node of the context tree is a context of 0, 1 or 2 bytes and a prefix of the byte's bits;
+Each byte is eight binary decisions; each decision is predicted in the context of the ``depth`` bytes
+before it. A node of the context tree is a context of 0 to ``depth`` bytes and a prefix of the byte's bits;
 its Krichevsky-Trofimov (KT) estimate comes from the training counts, and the weighted probability of
 a node is half its own KT probability and half that of its extensions. From these follow the posterior
 weights with which the estimates of all depths are mixed; the mixture is then fixed and scores
 every text in bits per byte. Nodes that training never saw end the path at the last one it did.
 
-Counts are gathered over all training texts with partial aggregation. There are at most 2**24
-(context, byte) counts however large the corpus is, so the tree is solved in one place and its table of
-at most 65,793 contexts x 256 single-precision numbers (67 MB) is sent to all tasks.
+The texts are dealt into blocks of about ``BLOCK`` bytes. A block counts the (context, byte) grams of its texts; they
+are added up over all blocks and dealt by the two bytes next to the symbol, so that a task holds whole subtrees
+below two-byte contexts and solves them level by level. Only the sums at the 257 contexts of 0 and 1 bytes go through
+the driver. The tree then gives one logarithm for each gram of the corpus, which is joined to the blocks that hold the
+gram, and a block's texts are scored with its own grams; no table of the tree is sent to all tasks. Grams that only held-out
+texts have stand in the tree with a count of 0, which changes no estimate.
 
 The unigram base needs a count for every word of every text. The most frequent words, at most
 ``FREQUENT``, are sent to the tasks; the others' counts are joined by word.
@@ -21,10 +24,9 @@ count as often as they come. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ from minutespark.llm import textkit as tk
 from minutespark.llm.scratch import materialize
 
 FREQUENT = 500_000
+#: Bytes of context of the registered query; up to 6 fit a key.
+DEPTH = 5
+#: Bytes of text in a block and the least number of blocks (small blocks repeat each other's grams); grams of a bucket of
+#: subtrees and the least number of buckets.
+BLOCK, BLOCKS = 32 << 20, 8
+BUCKET, BUCKETS = 1 << 18, 32
 START, END = 0, 255  # neither the start context nor the end symbol is told apart from such bytes
 WORD, GRAM = 0, 1
 #: Key of the end token; words have hashes.
@@ -42,18 +50,20 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context and symbol) of every byte and every end, and offsets by text."""
+def grams(buf: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every byte and every end (the context, nearest byte first, then the symbol), and offsets by text."""
     n = len(offs) - 1
     size = np.diff(offs)
-    ends = np.cumsum(size + 3)
-    line = np.full(int(ends[-1]) if n else 0, START, np.uint32)
-    line[np.arange(len(buf)) + np.repeat(2 + 3 * np.arange(n), size)] = buf
+    ends = np.cumsum(size + depth + 1)
+    line = np.full(int(ends[-1]) if n else 0, START, np.uint64)
+    line[np.arange(len(buf)) + np.repeat(depth + (depth + 1) * np.arange(n), size)] = buf
     line[ends - 1] = END
-    keys = (line[:-2] << np.uint32(16)) | (line[1:-1] << np.uint32(8)) | line[2:]
-    keep = np.ones(len(line), bool)
-    keep[ends - size - 3] = keep[ends - size - 2] = False
-    return keys[keep[2:]] if n else keys, np.concatenate([[0], np.cumsum(size + 1)])
+    keys = line[depth:].copy() if n else line
+    keep = np.ones(len(keys), bool)
+    for j in range(1, depth + 1 if n else 0):
+        keys |= line[depth - j : len(line) - j] << np.uint64(8 * (depth + 1 - j))
+        keep[(ends - size - 1 - j)[1:] - depth] = False
+    return keys[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,16 +71,26 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]).astype(np.float64)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, byte_grams = [(np.array([END_TOKEN], np.uint64), np.array([batch.num_rows]))], []
-        for _, _, buf, offs in tk.slices(batch.column(0)):
-            words.append(np.unique(tk.word_hashes(buf, offs)[0], return_counts=True))
-            byte_grams.append(np.unique(grams(buf, offs)[0], return_counts=True))
-        for kind, parts in ((WORD, words), (GRAM, byte_grams)):
-            if parts:
-                keys, counts = _merge(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(tk.signed(keys.astype(np.uint64))), pa.array(counts)], names=["kind", "key", "n"])
+def _count(depth: int):
+    """Words of a block's training texts, and grams of all its texts with their count in training."""
+
+    def run(block: pa.Table) -> pa.Table:
+        kinds = {WORD: [], GRAM: []}
+        for trains in (True, False):
+            rows = block.filter(pa.compute.equal(block["trains"], trains))
+            if trains and rows.num_rows:
+                kinds[WORD].append((np.array([END_TOKEN], np.uint64), np.array([rows.num_rows])))
+            for _, _, buf, offs in tk.slices(rows["text"], 4 * tk.SLICE_BYTES):
+                if trains:
+                    kinds[WORD].append(np.unique(tk.word_hashes(buf, offs)[0], return_counts=True))
+                keys, count = np.unique(grams(buf, offs, depth)[0], return_counts=True)
+                kinds[GRAM].append((keys, count * trains))
+        out = [(kind, *_merge(parts)) for kind, parts in kinds.items() if parts]
+        columns = [np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in out]), np.concatenate([tk.signed(k.astype(np.uint64)) for _, k, _ in out]), np.concatenate([c for *_, c in out])]
+        which = pa.array(np.full(len(columns[0]), block["block"][0].as_py(), np.int32))
+        return pa.Table.from_arrays([which, *(pa.array(c) for c in columns)], names=["block", "kind", "key", "n"])
+
+    return run
 
 
 def _log_gamma_half(n: np.ndarray) -> np.ndarray:
@@ -110,8 +130,136 @@ def _byte_logs(p_one: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+HALF = np.log(0.5)
+
+
+def _bit_nodes(keys: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node of each gram (in order of key) at a place of the symbol's bits, and the nodes' zeros and ones."""
+    prefix = keys >> np.uint64(8 - bit)
+    node = np.concatenate([[0], np.cumsum(prefix[1:] != prefix[:-1])])
+    one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
+    total = np.bincount(node, n)
+    ones = np.bincount(node, n * one, len(total))
+    return node, total - ones, ones
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Grams, counts and each gram's place among those of one byte less, for contexts of ``top`` to ``depth`` bytes."""
+    grams_, counts, up = [keys], [n], []
+    for d in range(depth, top, -1):
+        shorter, inverse = np.unique((grams_[0] >> np.uint64(16) << np.uint64(8)) | (grams_[0] & np.uint64(255)), return_inverse=True)
+        counts.insert(0, np.bincount(inverse, counts[0], len(shorter)))
+        grams_.insert(0, shorter)
+        up.insert(0, inverse)
+    return grams_, counts, up
+
+
+def _weigh(levels, bit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node of each gram, zeros, ones, share of the own estimate, log of the weighted probability) by level, at one bit."""
+    keys, counts, up = levels
+    out: list = []
+    for at in range(len(keys) - 1, -1, -1):
+        node, zeros, ones = _bit_nodes(keys[at], counts[at], bit)
+        own = np.where(zeros + ones > 0, _kt(zeros, ones), 0.0)
+        if not out:
+            out.append((node, zeros, ones, np.ones(len(own)), own))
+            continue
+        below_node, *_, below = out[0]
+        parent = np.zeros(len(below), np.int64)
+        parent[below_node] = node[up[at]]
+        weighted = np.logaddexp(own + HALF, np.bincount(parent, below, len(own)) + HALF)
+        out.insert(0, (node, zeros, ones, np.exp(own + HALF - weighted), weighted))
+    return out
+
+
+def _sorted(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = bucket["key"].to_numpy().view(np.uint64), bucket["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order].astype(np.float64)
+
+
+def _up(depth: int):
+    """Of a bucket of subtrees, the counts and the sums of the logs of their weighted probabilities at (byte next to the
+    symbol, bit node)."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        levels = _levels(*_sorted(bucket), depth, 2)
+        below = np.zeros(65536)
+        for bit in range(8):
+            node, *_, weighted = _weigh(levels, bit)[0]
+            place = _place(levels[0][0], bit)
+            first = np.zeros(len(weighted), np.int64)
+            first[node] = place
+            below += np.bincount(first, weighted, 65536)
+        one = levels[0][0]
+        counts = np.bincount((((one >> np.uint64(16)) << np.uint64(8)) | (one & np.uint64(255))).astype(np.int64), levels[1][0], 65536)
+        held = np.flatnonzero((below != 0) | (counts != 0))
+        return pa.Table.from_arrays([pa.array(held), pa.array(below[held]), pa.array(counts[held].astype(np.int64))], names=["place", "below", "n"])
+
+    return run
+
+
+def _place(keys: np.ndarray, bit: int) -> np.ndarray:
+    """256 x byte next to the symbol + node among the 255 (as in _nodes), for grams of two bytes of context."""
+    return ((keys >> np.uint64(16)).astype(np.int64) << 8) + (1 << bit) - 1 + ((keys & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
+
+
+def _crown(n1: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """What contexts of 0 and 1 bytes give, for 256 bytes x 255 nodes: the share already mixed, the weight that is left,
+    and the estimate where nothing longer was seen."""
+    z0, o0 = _nodes(n1.sum(0))
+    z1, o1 = _nodes(n1)
+    seen = z1 + o1 > 0
+    own1 = np.where(seen, _kt(z1, o1), 0.0) + HALF
+    weighted1 = np.logaddexp(own1, below + HALF)
+    own0 = _kt(z0, o0) + HALF
+    beta0 = np.exp(own0 - np.logaddexp(own0, weighted1.sum(0) + HALF))
+    beta1 = np.exp(own1 - weighted1)
+    k0 = (o0 + 0.5) / (z0 + o0 + 1)
+    k1 = np.where(seen, (o1 + 0.5) / (z1 + o1 + 1), k0)
+    mixed = beta0 * k0 + (1 - beta0) * beta1 * k1
+    stop = np.where(seen, beta0 * k0 + (1 - beta0) * k1, k0)
+    return np.stack([mixed, (1 - beta0) * (1 - beta1), stop])
+
+
+def _down(depth: int, crown: np.ndarray):
+    """log10 of the probability of the symbol of each gram of a bucket, in its context."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        keys, n = _sorted(bucket)
+        levels = _levels(keys, n, depth, 2)
+        score = np.zeros(len(keys))
+        for bit in range(8):
+            place = _place(levels[0][0], bit)
+            mixed, left, stop = (crown[i][place >> 8, place & 255] for i in range(3))  # by gram
+            for at, (node, zeros, ones, beta, _) in enumerate(_weigh(levels, bit)):
+                if at:
+                    mixed, left, stop = (x[levels[2][at - 1]] for x in (mixed, left, stop))
+                k = ((ones + 0.5) / (zeros + ones + 1))[node]
+                stop = np.where((zeros + ones > 0)[node], mixed + left * k, stop)
+                mixed, left = mixed + left * beta[node] * k, left * (1 - beta[node])
+            one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
+            score += np.log10(np.where(one, stop, 1 - stop))
+        return pa.Table.from_arrays([pa.array(tk.signed(keys)), pa.array(score.astype(np.float32))], names=["key", "log"])
+
+    return run
+
+
+def gram_logs(counts: DataFrame, depth: int) -> DataFrame:
+    """key, log: log10 of the symbol's probability, for each gram of ``counts`` (key, n; a table on disk)."""
+    buckets = max(BUCKETS, -(-counts.count() // BUCKET))
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - 1))), F.lit(buckets)))
+    sums = dealt.groupBy("bucket").applyInArrow(_up(depth), "place long, below double, n long")
+    sums = sums.groupBy("place").agg(F.sum("below").alias("below"), F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    n1, below = np.zeros(65536), np.zeros(65536)
+    n1[sums["place"].to_numpy()], below[sums["place"].to_numpy()] = sums["n"].to_numpy(), sums["below"].to_numpy()
+    crown = _crown(n1.reshape(256, 256), below.reshape(256, 256)[:, :255])
+    return dealt.groupBy("bucket").applyInArrow(_down(depth, crown), "key long, log float")
+
+
 def solve(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each two-byte context, table of log10 probabilities) from the training counts.
+    """(row of each two-byte context, table of log10 probabilities) from the training counts; a second,
+    undistributed solution for two bytes of context, which tests compare.
 
     Works through the last context byte's 256 values one by one, twice (first for the root's
     weights), so that its memory is that of the result."""
@@ -155,16 +303,20 @@ def solve(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return index, np.concatenate(rows)
 
 
-def _score(index: np.ndarray, table: np.ndarray, keys: np.ndarray, logs: np.ndarray):
+def _score(depth: int, keys: np.ndarray, logs: np.ndarray):
     """keys: frequent words' hashes in order; logs: log10 of their counts + 0.1."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = table.ravel()
-        for batch in batches:
+    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
+        own = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        own, log = own[order], table["log"].to_numpy()[order]
+        out = []
+        for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches():
             for lo, hi, buf, offs in tk.slices(batch.column(1)):
                 n = hi - lo
-                gram, ends = grams(buf, offs)
-                each = flat[index[gram >> 8].astype(np.int64) * 256 + (gram & 255)].astype(np.float64)
+                gram, ends = grams(buf, offs, depth)
+                gram, where = np.unique(gram, return_inverse=True)
+                each = log[np.searchsorted(own, gram)][where].astype(np.float64)
                 score = np.add.reduceat(each, ends[:-1])
                 h, doc = tk.word_hashes(buf, offs)
                 word, inverse = np.unique(h, return_inverse=True)
@@ -178,27 +330,31 @@ def _score(index: np.ndarray, table: np.ndarray, keys: np.ndarray, logs: np.ndar
                     batch.column(0).slice(lo, n),
                     pa.array(np.bincount(doc, minlength=n) + 1),
                     pa.array(np.bincount(doc, hit, n).astype(np.int64)),
-                    pa.array(np.bincount(doc, value[inverse], n)),
+                    pa.array(np.bincount(doc, value[inverse], n).astype(np.float64)),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(tk.signed(h[rare]))),
                     pa.array(score),
                     pa.array(np.diff(offs)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_frequent", "frequent_log", "rare", "score", "n_bytes"])
+                out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_frequent", "frequent_log", "rare", "score", "n_bytes"]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, depth: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the
     code length of text and end, per byte of text; null for empty texts) for every row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    train = slim.where(~held_out(F.col("doc_id"))).select("text")
-    counts = train.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "lm-counts")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (~held_out(F.col(id_col).cast("long"))).alias("trains"))
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(BLOCKS, -(-size // BLOCK))
+    # Written out, as the numbers of rows hold for one reading only.
+    slim = materialize(slim.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "lm-texts")
+    held = materialize(slim.groupBy("block").applyInArrow(_count(depth), "block int, kind int, key long, n long"), "lm-blocks")
+    counts = materialize(held.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where(F.col("kind") == WORD)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = counts.where(F.col("kind") == GRAM).select("key", "n").toArrow()
-    index, table = solve(tree.column("key").to_numpy(), tree.column("n").to_numpy()) if len(tree) else (np.zeros(65536, np.int32), np.full((1, 256), -np.log10(256), np.float32))
+    table = gram_logs(counts.where(F.col("kind") == GRAM).select("key", "n"), depth)
+    table = held.where(F.col("kind") == GRAM).select("block", "key").join(table, "key").select("block", "key", "log")
     floor = _least_frequent(words, frequent)
     top = words.where(F.col("n") >= floor).select("key", "n").toArrow()
     keys = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
@@ -206,7 +362,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     logs = np.log10(top.column("n").to_numpy()[order] + 0.1)
     end_count = words.where(F.col("key") == END_TOKEN).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     layout = "doc_id long, n_tokens long, n_frequent long, frequent_log double, rare array<long>, score double, n_bytes long"
-    scored = slim.mapInArrow(_score(index, table, keys[order], logs), layout)
+    scored = slim.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_score(depth, keys[order], logs), layout)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = scored.select("row", F.explode("rare").alias("key")).join(words.where(F.col("n") < floor).select("key", "n"), "key", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_log"))

@@ -59,7 +59,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_texts(_documents(spark, sf_dir))
+    return ctw.score_texts(_documents(spark, sf_dir), depth=ctw.DEPTH)
 
 
 def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

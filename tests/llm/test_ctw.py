@@ -115,3 +115,62 @@ def test_text_like_the_corpus_costs_less_than_noise(spark):
 def test_awkward_rows(spark):
     assert ctw.score_texts(frame(spark)).count() == frame(spark).count()
     assert ctw.score_texts(empty(spark)).count() == 0
+
+
+def deep_scores(train, texts, depth):
+    """The recursive definition, for contexts of up to ``depth`` bytes."""
+    counts, kids, weights = {}, {}, {}
+    pad = b"\0" * depth
+    for t in train:
+        line = pad + t + b"\xff"
+        for i in range(depth, len(line)):
+            bits = format(line[i], "08b")
+            for d in range(depth + 1):
+                for k in range(8):
+                    counts.setdefault((line[i - d : i], bits[:k]), [0, 0])[int(bits[k])] += 1
+    for context, prefix in counts:
+        if context:
+            kids.setdefault((context[1:], prefix), []).append((context, prefix))
+
+    def weighted(node):
+        if node not in weights:
+            own = kt(*counts[node])
+            if len(node[0]) == depth:
+                weights[node] = (own, 1.0)
+            else:
+                mine, below = own + math.log(0.5), sum(weighted(c) for c in kids[node]) + math.log(0.5)
+                whole = max(mine, below) + math.log1p(math.exp(-abs(mine - below)))
+                weights[node] = (whole, math.exp(mine - whole))
+        return weights[node][0]
+
+    def predict(context, prefix, d=0):
+        node = (context[len(context) - d :], prefix)
+        a, b = counts.get(node, (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth or (context[len(context) - d - 1 :], prefix) not in counts:
+            return own
+        weighted(node)
+        return weights[node][1] * own + (1 - weights[node][1]) * predict(context, prefix, d + 1)
+
+    out = []
+    for t in texts:
+        line, total = pad + t + b"\xff", 0.0
+        for i in range(depth, len(line)):
+            bits = format(line[i], "08b")
+            for k in range(8):
+                p = predict(line[i - depth : i], bits[:k])
+                total += math.log10(p if bits[k] == "1" else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_deep_tree_against_the_recursive_definition(spark, monkeypatch):
+    """Several blocks and buckets, contexts of five bytes; held-out texts have grams of their own."""
+    monkeypatch.setattr(ctw, "BLOCKS", 3)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["ab", "abc", " é", "d"]) for _ in range(rng.randrange(0, 25))) + ("xyz" if zlib.crc32(str(i).encode()) % 10 == 0 else "") for i in range(50)]
+    rows = [(i, t, None, None, 0, 0, 0, "", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["score"] for r in ctw.score_texts(spark.createDataFrame(rows, SCHEMA), depth=ctw.DEPTH).collect()}
+    train = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    for i, e in enumerate(deep_scores(train, [t.encode() for t in texts], ctw.DEPTH)):
+        assert got[i] == pytest.approx(e, rel=1e-5)
