@@ -1,7 +1,9 @@
 """Removal of repeated runs of consecutive sentences.
 
-Every run of ``run_length`` consecutive sentences with ``min_words`` words or more is hashed (128 bits) and joined over the
-whole corpus. The first occurrence, by (id, position), stays; the sentences that any later
+Runs of ``run_length`` consecutive sentences are hashed (128 bits) and joined over the whole corpus. A run with fewer than
+``min_words`` words is too ordinary and is extended, forwards and backwards, until it has as many: the
+shortest runs from each sentence and to each sentence are hashed. So every sentence of a repeated passage of ``run_length`` sentences
+and ``min_words`` words is in a run that lies in the passage. A letter of a script without spaces counts as a word. The first occurrence, by (id, position), stays; the sentences that any later
 occurrence covers are removed. A text's run is judged on the input, not on what is left.
 
 A sentence ends after ``.``, ``!`` or ``?`` that white space follows, or at a line break; runs of
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from minutespark.llm.scratch import materialize
 
 RUN_LENGTH = 2
-#: Runs with fewer words are too ordinary to count as copies.
+#: Runs with fewer words are too ordinary to count as copies; they are extended.
 MIN_WORDS = 10
 _END = re.compile(r"[.!?]+(?=\s)|\n")
+#: Thai to Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -47,39 +51,58 @@ def _add(out: list[tuple[int, int, str]], text: str, start: int, end: int) -> No
         out.append((start, end, " ".join(words).lower()))
 
 
+def _n_words(sentence: str) -> int:
+    return max(sentence.count(" ") + 1, 0 if sentence.isascii() else len(_UNSPACED.findall(sentence)))
+
+
+def shortest_runs(words: np.ndarray, run_length: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences) of the shortest runs from each and to each sentence that have
+    ``run_length`` sentences and ``min_words`` words at least, from the words of the sentences."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.arange(n)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + min_words), first + run_length)
+    first, stop = first[stop <= n], stop[stop <= n]
+    end = np.arange(1, n + 1)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, end - run_length)
+    first, stop = np.concatenate([first, start[start >= 0]]), np.concatenate([stop, end[start >= 0]])
+    both = np.unique(first * (n + 1) + stop)
+    return both // (n + 1), both % (n + 1) - both // (n + 1)
+
+
 def _hash(run_length: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for lo in range(0, batch.num_rows, 500):
-                rows, first, second, position = [], [], [], []
+                rows, first, second, position, length = [], [], [], [], []
                 for i in range(lo, min(lo + 500, batch.num_rows)):
                     parts = [s[2] for s in sentences(texts[i].as_py() or "")]
-                    n = len(parts) - run_length + 1
-                    if n <= 0:
+                    if len(parts) < run_length:
                         continue
-                    words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in parts])])
-                    long = np.flatnonzero(words[run_length:] - words[:-run_length] >= min_words)
+                    at, many = shortest_runs(np.array([_n_words(p) for p in parts]), run_length, min_words)
                     found = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in parts]
                     h = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
                     for j, out in enumerate((first, second)):
-                        acc = np.zeros(n, np.uint64)
-                        for k in range(run_length):
-                            acc = (acc ^ (acc >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j) + h[k : k + n, j]
-                        out.append(acc[long])
-                    rows.append(np.full(len(long), i))
-                    position.append(long.astype(np.int32))
+                        acc = np.zeros(len(at), np.uint64)
+                        for k in range(int(many.max(initial=0))):
+                            on = many > k
+                            acc[on] = (acc[on] ^ (acc[on] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * j) + h[at[on] + k, j]
+                        out.append(acc)
+                    rows.append(np.full(len(at), i))
+                    position.append(at.astype(np.int32))
+                    length.append(many.astype(np.int32))
                 if rows:
                     take = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(x).view(np.int64)) for x in (first, second)), pa.array(np.concatenate(position))],
-                        names=["doc_id", "th", "h1", "h2", "pos"],
+                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(x).view(np.int64)) for x in (first, second)), *(pa.array(np.concatenate(x)) for x in (position, length))],
+                        names=["doc_id", "th", "h1", "h2", "pos", "many"],
                     )
 
     return run
 
 
-def _remove(run_length: int):
+def _remove():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -87,9 +110,9 @@ def _remove(run_length: int):
                 found = sentences(text or "")
                 gone = np.zeros(len(found) + 1, bool)
                 owner = np.full(len(found), -1, np.int64)
-                for h in sorted(hits or (), key=lambda h: h["pos"]):
-                    gone[h["pos"] : h["pos"] + run_length] = True
-                    span = owner[h["pos"] : h["pos"] + run_length]
+                for h in sorted(hits or (), key=lambda h: (h["pos"], h["many"])):
+                    gone[h["pos"] : h["pos"] + h["many"]] = True
+                    span = owner[h["pos"] : h["pos"] + h["many"]]
                     span[span < 0] = h["first_doc"] if h["first_doc"] is not None else -1
                 spans, kept, i = [], [], 0
                 while i < len(found):
@@ -116,13 +139,13 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     points, first_docs: where the removed runs stay) and text (what is kept) per row; with
     ``only_changed`` just the rows that lose something."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    runs = slim.mapInArrow(_hash(run_length, min_words), "doc_id long, th int, h1 long, h2 long, pos int")
+    runs = slim.mapInArrow(_hash(run_length, min_words), "doc_id long, th int, h1 long, h2 long, pos int, many int")
     seen = runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.max(F.struct("doc_id", "th", "pos")).alias("last"))
     repeated = seen.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
     hits = runs.join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "th", "pos") != F.col("first"))
-    per_doc = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", F.col("first.doc_id").alias("first_doc"))).alias("hits"))
+    per_doc = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "many", F.col("first.doc_id").alias("first_doc"))).alias("hits"))
     per_doc = materialize(per_doc, "repeated-runs").withColumnsRenamed({"doc_id": "h_id", "th": "h_th"})
     # Always a shuffle of both sides, so that cost follows the input at every size.
     joined = slim.join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("th") == F.col("h_th")), "inner" if only_changed else "left")
     span = "array<struct<first: long, last: long, start: long, end: long, first_docs: array<long>>>"
-    return joined.select("doc_id", "text", "hits").mapInArrow(_remove(run_length), f"doc_id long, n_sentences long, n_removed long, spans {span}, text string")
+    return joined.select("doc_id", "text", "hits").mapInArrow(_remove(), f"doc_id long, n_sentences long, n_removed long, spans {span}, text string")

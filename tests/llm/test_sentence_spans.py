@@ -37,3 +37,15 @@ def test_awkward_rows(spark):
     assert by_id[100]["n_removed"] == 0 or by_id[None]["n_removed"] == 0
     assert by_id[101]["n_removed"] > 0 and by_id[102]["n_removed"] > 0
     assert ss.remove_repeated_runs(empty(spark)).count() == 0
+
+
+def test_passages_of_short_sentences(spark):
+    """A passage of 4-word lines, one with a short last line, and lines of a script without spaces."""
+    verse = "\n".join(f"line{i} of four words" for i in range(15))
+    tail = "\n".join(["one two three four", "five six seven eight", "nine ten eleven twelve", "end"])
+    han = "\n".join(chr(0x4E00 + i) + "\u4e8c\u4e09\u56db\u4e94\u516d" for i in range(4))
+    texts = [x + "\n" for x in (verse, "Before it. " + verse, tail, "Other words here. " + tail, han, "More. " + han, "a b\nc d", "e f\na b\nc d")]
+    rows = [(i, t, None, None, 0, 0, 0, "", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in ss.remove_repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i]["n_removed"] for i in range(8)] == [0, 15, 0, 4, 0, 4, 0, 0]
+    assert [got[i]["text"] for i in (1, 3, 5)] == ["Before it.", "Other words here.", "More."]
