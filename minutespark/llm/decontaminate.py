@@ -2,7 +2,8 @@
 
 Every window of a text that has an item's size is fingerprinted (64-bit SimHash of its words). Items
 are dealt into size classes in steps of a sixth; an item stands in the index with the fingerprint of
-each of its own windows of the class's size. A fingerprint is four blocks of 16 bits. Two
+each of its own windows of the class's size, in its own class and in all smaller ones down to ``threshold`` of its words, so
+that texts which are shorter than the item's class are looked at too. A fingerprint is four blocks of 16 bits. Two
 that differ in at most ``RADIUS`` = 7 bits agree in some block up to one bit, so looking every block up
 together with its one-bit neighbours finds all pairs within the radius. Each pair found is
 aligned and verified exactly: the item's k-word shingles against those of the text's window of
@@ -68,7 +69,7 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Fingerprints of items by size class, with a table for each 16-bit block."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int):
+    def __init__(self, ids: list[int], texts: list[str], k: int, threshold: float = 0.8):
         self.ids, self.k = ids, k
         column = pa.array(texts, pa.string())
         buf, offs = tk.text_bytes(column)
@@ -81,8 +82,8 @@ class Index:
         by_class: dict[int, list[tuple[np.ndarray, int]]] = {}
         for i, w in enumerate(self.words):
             if len(w):
-                c = size_class(len(w))
-                by_class.setdefault(c, []).append((next(window_prints(w, [c]))[1], i))
+                for c, prints in window_prints(w, sorted({size_class(m) for m in range(max(1, int(threshold * len(w))), len(w) + 1)})):
+                    by_class.setdefault(c, []).append((prints, i))
         for c, found in by_class.items():
             prints = np.concatenate([p for p, _ in found])
             item = np.concatenate([np.full(len(p), i) for p, i in found])
@@ -168,7 +169,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = docs.sparkSession.createDataFrame([], layout)
     for block in range(blocks):
         part = probes.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().toArrow()
-        index = Index(part.column(0).to_pylist(), part.column(1).to_pylist(), k)
+        index = Index(part.column(0).to_pylist(), part.column(1).to_pylist(), k, threshold)
         if index.classes:
             found = found.union(slim.mapInArrow(_scan(index, threshold), layout))
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("first"), "n_words")).alias("best")

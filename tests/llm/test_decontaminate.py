@@ -72,3 +72,18 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(empty(spark), none).count() == 0
     assert dc.drop_contaminated(frame(spark), none).count() == frame(spark).count()
+
+
+def test_texts_shorter_than_the_items_class(spark):
+    """Documents that are an item without its last words, at the edges of the classes."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"v{rng.randrange(3000)}" for _ in range(n))) for n in (16, 18, 21, 50, 58)]
+    docs, expected = [], {}
+    for n, text in items:
+        for gone in range(n):
+            if (n - gone - 4) / (n - 4) < 0.8:
+                break
+            docs.append((len(docs), " ".join(text.split()[: n - gone]), None, None, 0, 0, 0, "", 0))
+            expected[docs[-1][0]] = (n, (n - gone - 4) / (n - 4))
+    found = dc.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: (r["item_id"], r["similarity"]) for r in found.collect()} == expected
