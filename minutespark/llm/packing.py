@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
-Texts are tokenized where they lie (no shuffle of texts); longer documents are cut into pieces of the
+Texts are tokenized where they lie (no shuffle of texts), each distinct word once; longer documents are cut into pieces of the
 sequence length. Only the pieces' descriptions, some 50 bytes each, are dealt out by a hash into
 packing groups of about ``GROUP_PIECES`` pieces; each group is packed online, in order of (id,
 piece), into at most ``open_bins`` open sequences. A bitset keyed by free space finds the open sequence
@@ -22,46 +22,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutespark.llm.scratch import materialize, small_batches
-from minutespark.llm.textkit import slices
+from minutespark.llm import textkit as tk
+from minutespark.llm.scratch import materialize
 
 GROUP_PIECES = 50_000
-#: Entries of a worker's word cache; it is emptied when full, which changes no result.
-CACHE_WORDS = 1_000_000
+#: Tokens of a worker's word table (4 bytes each); it is emptied when full, which changes no result.
+TABLE_TOKENS = 4_000_000
 
 
-class ChunkTokenizer:
-    """Token ids of texts as little-endian bytes. The tokenizer drops white space and no token crosses it,
-    so a text's ids are those of its white-space-separated chunks, one after the other."""
+class WordTokenizer:
+    """Token ids of whole slices of texts. The tokenizer drops white space and no token crosses it, so a text's ids are
+    those of its white-space-separated words, one after the other. Each distinct word is encoded once and kept in a
+    table (hash, place of its ids); the ids of a slice are one gather from it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS and self.known:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update(zip(part, [array("I", e.ids).tobytes() for e in encoded], strict=True))
-        find = self.known.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in split]
-
-
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
-def tokenizer_for(path: str) -> ChunkTokenizer:
-    """One per worker process, so that its cache outlives a task."""
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.begin, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, count = [], []
+        for at in range(0, len(words), 8192):
+            for e in self.tokenizer.encode_batch_fast(words[at : at + 8192], add_special_tokens=False):
+                ids.append(array("I", e.ids))
+                count.append(len(e.ids))
+        count = np.array(count, np.int64)
+        at = np.searchsorted(self.words, hashes)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.words = np.insert(self.words, at, hashes)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32).astype("<u4")])
+
+    def ids(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each text's followed by ``end_id``, and the texts' n + 1 offsets."""
+        start, end, doc = tk.word_spans(buf, offs)
+        word, first, inverse = np.unique(tk.span_hash(buf, start, end), return_index=True, return_inverse=True)
+        if len(self.flat) > TABLE_TOKENS:
+            self.clear()
+        at = np.searchsorted(self.words, word)
+        new = np.flatnonzero(self.words[np.minimum(at, len(self.words) - 1)] != word) if len(self.words) else np.arange(len(word))
+        if len(new):
+            self._learn(word[new], [buf[start[i] : end[i]].tobytes().decode() for i in first[new]])
+            at = np.searchsorted(self.words, word)
+        count = self.count[at][inverse]
+        running = np.cumsum(count)
+        total = int(running[-1]) if len(running) else 0
+        place = np.arange(total)
+        out = np.full(total + len(offs) - 1, end_id, "<u4")
+        out[place + np.repeat(doc, count)] = self.flat[place + np.repeat(self.begin[at][inverse] - running + count, count)]
+        sizes = np.bincount(doc, count, len(offs) - 1).astype(np.int64) + 1
+        return out, np.concatenate([[0], np.cumsum(sizes)])
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """One per worker process, so that its table outlives a task."""
     if path not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[path] = ChunkTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -71,23 +95,19 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = tokenizer_for(path)
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * length
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = []
-            for lo, hi, buf, offs in slices(batch.column(1)):
-                data = buf.tobytes()
-                texts = [data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                for key, tokens in zip(ids[lo:hi], tokenizer.ids(texts), strict=True):
-                    tokens += end
-                    for piece, at in enumerate(range(0, len(tokens), step)):
-                        part = tokens[at : at + step]
-                        rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)][: 6 if with_ids else 5]
-            yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
+            for lo, hi, buf, offs in tk.slices(batch.column(1)):
+                tokens, cut = tokenizer.ids(buf, offs, end_id)
+                many = -(-np.diff(cut) // length)
+                row = np.repeat(np.arange(hi - lo), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * length
+                size = np.minimum(length, np.diff(cut)[row] - start)
+                first = cut[row] + start
+                parts = [tokens[a:b] for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(row + lo)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                columns += [pa.array([p.tobytes() for p in parts], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return run
 
@@ -154,11 +174,12 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; with
     ``with_ids`` also the piece's ids (little-endian unsigned 32-bit)."""
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     layout = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = materialize(slim.mapInArrow(_pieces(tokenizer_path, length, end_id, with_ids), layout), "pieces")
+    pieces = slim.mapInArrow(_pieces(tokenizer_path, length, end_id, with_ids), layout)
+    # The row number deals out pieces with null or repeated ids, too.
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
     dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(_pack(length, open_bins), layout + ", sequence_id long, offset long")

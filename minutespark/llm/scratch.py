@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most this many rows; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if its rows take at most so many bytes; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
+#: Rows of a batch of texts that is handed to Python; the copies of ten times as many long ones weigh on an executor.
+PYTHON_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if all runs in one process (tests);
+    executors of a cluster could not see that."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     known = getattr(shared_dir, "own", None)
     if known is None:
         known = shared_dir.own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -25,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a short lineage that
-    survives lost executors, and a result that is computed once."""
+    survives lost executors, and a result that is computed once. While it runs, texts go to Python in batches
+    of at most ``PYTHON_ROWS`` rows; then the session has its own setting again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/minutespark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, min(int(before), PYTHON_ROWS) if int(before) > 0 else PYTHON_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,20 +51,31 @@ def neutral(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(u)}" for u in used]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of at most ``rows`` rows. The setting holds for the session; with the
-    default of ten times as many, the copies of a batch of long texts weigh on an executor."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getParent().getName() == "minutespark":
+                path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted rows (with ``array``, the elements of that column) are
-    within ``limit``. Callers pass narrow tables that are already materialized, so that
-    counting is cheap."""
-    held = df.agg(F.coalesce(F.sum(F.size(array)), F.lit(0))).first()[0] if array else df.count()
-    return F.broadcast(df) if held <= limit else df
+def numbered(docs: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """A table of ``columns`` of ``docs`` with a column ``row``, a number for each row that later readings keep; ids may
+    be null or repeated."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *(c.alias(n) for n, c in columns.items())), name)
+
+
+def sized(df: DataFrame, *variable: str) -> DataFrame:
+    """Mark ``df`` for broadcast if its rows take at most ``BROADCAST_BYTES``: eight bytes a column, and for each of
+    ``variable`` its bytes (strings) or sixteen an element (arrays). Callers pass narrow tables that are
+    already materialized, so that measuring is cheap."""
+    each = F.lit(8 * (len(df.columns) + 1)).cast("long")
+    for name in variable:
+        kind = df.schema[name].dataType.typeName()
+        each = each + F.coalesce(F.size(name) * 16 if kind == "array" else F.octet_length(name), F.lit(0))
+    held = df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

@@ -6,6 +6,7 @@ about a megabyte, so memory is bounded by that or by the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +19,11 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
-
-
-def inverse64(a: int) -> int:
-    return pow(a, -1, 1 << 64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, at least ``n`` of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
-        steps = np.full((2, size), _BASE, np.uint64)
-        steps[1] = U(inverse64(int(_BASE)))
-        steps[:, 0] = 1
-        _powers[:] = [np.cumprod(steps[0]), np.cumprod(steps[1])]
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,11 +73,24 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans, by differences of a prefix polynomial."""
-    power, inverse = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    """64-bit hashes of byte spans: eight bytes at a time go through the finalizer in a chain, so no algebraic
+    relation between strings carries over. Spans over ``LONG`` bytes are hashed by BLAKE2b."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + U(0xD6E8FEB86659FD93))
+    if not len(size):
+        return h
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    np.take(_LOWER, buf, out=padded[: len(buf)]) if lower else padded.__setitem__(slice(len(buf)), buf)
+    words = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    on, at = np.flatnonzero(size <= LONG), 0
+    while len(on):
+        value = words[start[on] + at] & _MASK[np.minimum(size[on] - at, 8)]
+        h[on] = mix(h[on] * U(3) ^ value)
+        at += 8
+        on = on[size[on] > at]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

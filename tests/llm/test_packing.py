@@ -55,3 +55,63 @@ def test_pieces_hold_the_tokenizers_ids(spark, length):
 
 def test_empty(spark):
     assert packing.pack_documents(empty(spark), tokenizer_path()).count() == 0
+
+
+def plain_best_fit(sizes, length, most):
+    """The rule as stated: the open sequence with the least sufficient room; if none, the fullest closes."""
+    out, bins, made = [], [], 0
+    for size in sizes:
+        fitting = [b for b in bins if b[1] >= size]
+        if fitting:
+            b = min(fitting, key=lambda b: b[1])
+        else:
+            if len(bins) >= most:
+                bins.remove(min(bins, key=lambda b: b[1]))
+            b = [made, length]
+            bins.append(b)
+            made += 1
+        out.append(b[1])
+        b[1] -= size
+        if not b[1]:
+            bins.remove(b)
+    return out, made
+
+
+@given(hs.lists(hs.integers(1, 50), max_size=300), hs.integers(1, 12))
+def test_placement_against_plain_best_fit(sizes, most):
+    """Room found for each piece, and sequences in all; ties between equally full ones change neither."""
+    bins = packing.OpenBins(50, most, 0)
+    got = [50 - bins.place(s)[1] for s in sizes]
+    assert (got, bins.next) == plain_best_fit(sizes, 50, most)
+
+
+def test_rows_with_a_null_id_are_dealt_to_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = [(None, "same text", None, None, 0, 0, 0, "", 0)] * 400
+    got = packing.pack_documents(frame(spark, rows), tokenizer_path(), length=64).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 36 for r in got}) > 4
+
+
+def test_table_is_emptied_when_full(monkeypatch):
+    from minutespark.llm import textkit as tk
+
+    monkeypatch.setattr(packing, "TABLE_TOKENS", 10)
+    tokenizer = packing.WordTokenizer(tokenizer_path())
+    for text in ("one two three four five six seven", "one two eight", "", " é ü x y z " * 9):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, cut = tokenizer.ids(data, np.array([0, len(data)]), 1)
+        assert ids.tolist() == [*tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, 1] and cut.tolist() == [0, len(ids)]
+
+
+def test_thue_morse_words_differ():
+    """Strings that collide under every polynomial modulo 2**64."""
+    from minutespark.llm import textkit as tk
+
+    for n in (3, 7, 8, 11):
+        word = "a"
+        for _ in range(n):
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        buf = np.frombuffer(f"{word} {other} {word}".encode(), np.uint8)
+        h, _ = tk.word_hashes(buf, np.array([0, len(buf)]))
+        assert h[0] == h[2] != h[1]
