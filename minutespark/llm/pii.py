@@ -141,12 +141,12 @@ def train(counts: Counts, post: dict, steps: int = 200) -> tuple[dict[str, float
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th, spans (array of order, start, kind, end, score; sorted) and base."""
+    """doc_id, text_hash, spans (array of order, start, kind, end, score; sorted) and base."""
     parts = matches(docs, id_col, text_col, PATTERNS)
     # Matches that fail their base rule are no candidates; the row of their text stays.
     kind = F.when(_valid(F.col("kind"), F.col("found")), F.col("kind"))
     votes = [v.cast("int").alias(name) for v, name in zip(_votes(), LABELERS, strict=True)]
-    parts = materialize(parts.select("row", "doc_id", "th", "order", kind.alias("kind"), "start", "end", *votes), "pii-candidates")
+    parts = materialize(parts.select("row", "doc_id", "text_hash", "order", kind.alias("kind"), "start", "end", *votes), "pii-candidates")
     rows = parts.where("kind is not null").groupBy("kind", *LABELERS).count().collect()
     counts = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in rows)
     _, _, post = estimate(counts)
@@ -158,8 +158,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         score = score + F.when(F.col(LABELERS[j]) == c, F.lit(w)).otherwise(0.0)
     keep = F.col("kind").isin(BASE) | (score >= 0)
     span = F.when(F.col("kind").isNotNull() & keep, F.struct("order", "start", "kind", "end", (1 / (1 + F.exp(-score))).alias("score")))
-    found = parts.groupBy("row", "doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    return found.select("doc_id", "th", "spans", F.filter("spans", lambda s: s["order"] < len(BASE)).alias("base"))
+    found = parts.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return found.select("doc_id", "text_hash", "spans", F.filter("spans", lambda s: s["order"] < len(BASE)).alias("base"))
 
 
 def with_digest(found: DataFrame) -> DataFrame:

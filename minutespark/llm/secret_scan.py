@@ -37,11 +37,11 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "id": 3, "weak": 4}
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id, th, spans (array of start, order, kind, end; sorted) and base (its strong ones)."""
+    """doc_id, text_hash, spans (array of start, order, kind, end; sorted) and base (its strong ones)."""
     parts = matches(docs, id_col, text_col, PATTERNS)
     short = (F.col("kind") == "assign") & (F.length("value") < 12)
     kind = F.when(short & (F.length("value") >= 6), F.lit("weak")).when(short, F.lit(None)).otherwise(F.col("kind"))
-    parts = parts.select("row", "doc_id", "th", kind.alias("kind"), "start", "end")
+    parts = parts.select("row", "doc_id", "text_hash", kind.alias("kind"), "start", "end")
     line = Window.partitionBy("row").orderBy("start", "end", "kind")
     before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
 
@@ -56,8 +56,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = F.col("kind").isin(BASE) | ((F.col("kind") == "weak") & F.col("near_id")) | ((F.col("kind") == "id") & F.col("near_secret"))
     order = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))[F.col("kind")]
     span = F.when(keep, F.struct("start", order.alias("order"), "kind", "end"))
-    found = linked.groupBy("row", "doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    return found.select("doc_id", "th", "spans", F.filter("spans", lambda s: s["order"] < len(BASE)).alias("base"))
+    found = linked.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return found.select("doc_id", "text_hash", "spans", F.filter("spans", lambda s: s["order"] < len(BASE)).alias("base"))
 
 
 def with_digest(found: DataFrame) -> DataFrame:

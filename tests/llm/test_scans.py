@@ -109,3 +109,31 @@ def test_awkward_rows(spark):
     for find in (secret_scan.find_secrets, pii.find_personal_data):
         assert find(frame(spark)).count() == len(documents())
         assert find(empty(spark)).count() == 0
+
+
+def test_redaction_of_long_texts_with_many_spans(spark):
+    """Many overlapping and touching spans, beyond chunk borders, in wide code points; null ids; other texts of an id."""
+    part = "é😀 password: abcdefghijklmnop user: bob x " + "deadbeef" * 3 + "AKIA" + "A1" * 8 + "\n"
+    given = [part * 3000, "x" * 5000 + part, part + "y" * 9000, "clean", None, ""]
+    rows = [(None if i % 2 else 1, t, None, None, 0, 0, 0, "", 0) for i, t in enumerate(given)]
+    docs = frame(spark, rows)
+    found = secret_scan.find_secrets(docs).collect()
+    got = [r["text"] for r in secret_scan.redact_secrets(docs.coalesce(1)).collect()]
+
+    def plain(text, spans):
+        out, at = [], 0
+        for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+            if s["end"] > at:
+                if s["start"] >= at:
+                    out += [text[at : s["start"]], "[SECRET]"]
+                at = s["end"]
+            elif s["start"] >= at:
+                out.append("[SECRET]")
+        return "".join(out) + text[at:]
+
+    from minutespark.llm.native_spans import text_hash
+
+    hashes = {r["h"]: r["text"] for r in docs.select("text", text_hash(docs["text"]).alias("h")).collect() if r["text"]}
+    expected = {hashes[r["text_hash"]]: plain(hashes[r["text_hash"]], r["spans"]) for r in found if r["text_hash"] in hashes}
+    assert sorted(got, key=str) == sorted((expected.get(t, t) for t in given), key=str)
+    assert any("[SECRET]" in (t or "") and len(t) > 100_000 for t in got)
