@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import materialize, sized
+from minutespark.llm.scratch import discard, materialize, numbered, sized
 
 U = np.uint64
 GRAM, WIDTH = 32, 224
@@ -46,8 +46,9 @@ PART = 1 << 22
 #: Cores with more distinct blocks than this are compared by a shuffle of their strings.
 LOCAL_BLOCKS = 2000
 POSITION_BITS = 24
-#: Spans of all texts together that are still broadcast; beyond it texts are shuffled to theirs.
-SPANS = 1_000_000
+#: Bytes of a span that go into one polynomial; longer ones chain those of their parts, as strings of 1024 bytes and more
+#: exist that collide under every polynomial modulo 2**64.
+SPAN = 128
 _BYTES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -57,7 +58,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if which not in _tables or len(_tables[which][0]) < n:
         size = 1 << max(20, int(n).bit_length())
         steps = np.empty((2, size), np.uint64)
-        steps[0], steps[1] = U(_BASES[which]), U(tk.inverse64(_BASES[which]))
+        steps[0], steps[1] = U(_BASES[which]), U(pow(_BASES[which], -1, 1 << 64))
         steps[:, 0] = 1
         _tables[which] = (np.cumprod(steps[0]), np.cumprod(steps[1]))
     return _tables[which]
@@ -75,8 +76,16 @@ class Prefixes:
             self.sums.append(total)
 
     def of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = _tables[which][1]
-        return tk.mix((self.sums[which][end] - self.sums[which][start]) * inverse[start] + (end - start).astype(np.uint64))
+        sums, inverse = self.sums[which], _tables[which][1]
+        size = end - start
+        h = tk.mix(size.astype(np.uint64) + U(which))
+        on = slice(None)
+        for at in range(0, int(size.max(initial=0)), SPAN):
+            if at:
+                on = np.flatnonzero(size > at)
+            lo = start[on] + at
+            h[on] = tk.mix(h[on] * U(3) ^ tk.mix((sums[np.minimum(lo + SPAN, end[on])] - sums[lo]) * inverse[lo]))
+        return h
 
 
 def _triggers(buf: np.ndarray) -> np.ndarray:
@@ -130,8 +139,7 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.ndarr
 def _parse(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0), batch.column(1)
-            for lo, hi, buf, offs in tk.slices(batch.column(2), SLICE):
+            for lo, hi, buf, offs in tk.slices(batch.column(1), SLICE):
                 for at in range(0, max(1, len(buf) - length + 1), PART) if hi - lo == 1 else [0]:
                     part, ends = (buf[at : at + PART + length - 1], None) if hi - lo == 1 else (buf, offs)
                     found = blocks(part, np.array([0, len(part)]) if ends is None else ends, length)
@@ -139,7 +147,7 @@ def _parse(length: int):
                         take = pa.array(found["doc"] + lo)
                         place = (found["lo"] + at) * 1024 + (found["hi"] - found["lo"])
                         columns = [pa.array(tk.signed(found[c])) for c in ("core", "b1", "b2")]
-                        yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), *columns, pa.array(place)], names=["doc_id", "th", "core", "b1", "b2", "place"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns, pa.array(place)], names=["row", "core", "b1", "b2", "place"])
 
     return run
 
@@ -195,7 +203,7 @@ def _match(length: int):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for batch in table.combine_chunks().to_batches():
             keys = np.stack([batch.column(c).to_numpy() for c in ("core", "b1", "b2")], axis=1)
-            _, once = np.unique(keys, axis=0, return_index=True)  # rows that repeat with their id give a block again
+            _, once = np.unique(keys, axis=0, return_index=True)
             if len(once) < batch.num_rows:
                 batch = batch.take(pa.array(np.sort(once)))
             one, two, block, inner = _strings(batch, length)
@@ -254,7 +262,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     merged.append(s)
             out.append(merged)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, kind)], names=["doc_id", "th", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "spans"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,21 +281,20 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(slim: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, spans): byte spans to remove, for texts that have any."""
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(row, spans): byte spans to remove, for the rows of ``texts`` (row, text) that have any."""
     key = ["core", "b1", "b2"]
-    parsed = slim.mapInArrow(_parse(length), "doc_id long, th int, core long, b1 long, b2 long, place long")
+    parsed = texts.select("row", "text").mapInArrow(_parse(length), "row long, core long, b1 long, b2 long, place long")
     # Written out, so that the join's two sides are plain exchanges, whose hot keys Spark can split.
     cores = materialize(parsed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     repeated = materialize(parsed.join(cores, "core", "left_semi"), "repeated-cores")
-    seen = repeated.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("at"))
+    seen = repeated.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("at"))
     distinct = materialize(seen, "blocks")
     several = materialize(distinct.groupBy("core").agg(F.count("*").alias("blocks")).where("blocks > 1"), "several")
     edges = distinct.join(sized(several), "core").select("blocks", "at", *key)
-    asked = edges.groupBy("at.doc_id", "at.th").agg(F.collect_list(F.struct(*key, "at.place", "blocks")).alias("asked"))
+    asked = edges.groupBy("at.row").agg(F.collect_list(F.struct(*key, "at.place", "blocks")).alias("asked"))
     asked = materialize(asked, "asked")
-    texts = slim.join(sized(asked.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"}), SPANS, "asked"), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
-    cut = texts.select("text", "asked").mapInArrow(_cut(length), "core long, b1 long, b2 long, string binary")
+    cut = texts.join(sized(asked, "asked"), "row").select("text", "asked").mapInArrow(_cut(length), "core long, b1 long, b2 long, string binary")
     hot = materialize(several.where(F.col("blocks") > LOCAL_BLOCKS).select("core"), "hot-cores")
     cut = materialize(cut, "block-strings")
     local = cut.join(sized(hot), "core", "left_anti").repartition("core").sortWithinPartitions("core")
@@ -297,21 +304,21 @@ def repeated_spans(slim: DataFrame, length: int) -> DataFrame:
     far = strings.join(twice, ["w1", "w2"], "left_semi").select(*key, "begin", F.col("begin").alias("finish"))
     whole = distinct.where("n > 1").select(*key, F.lit(0).cast("long").alias("begin"), F.lit(1023).cast("long").alias("finish"))
     flagged = materialize(ranges.union(far).union(whole), "flagged")
+    discard(cut, asked, several, hot, cores, distinct)
     lo, more = F.floor(F.col("place") / 1024), F.col("place") % 1024
-    spans = repeated.join(flagged, key).select(
-        "doc_id", "th", (lo + F.col("begin")).alias("start"), (lo + F.least(F.col("finish"), more) + length).alias("end")
-    )
-    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return materialize(spans.mapInArrow(_merge, spans.schema), "spans")
+    spans = repeated.join(flagged, key).select("row", (lo + F.col("begin")).alias("start"), (lo + F.least(F.col("finish"), more) + length).alias("end"))
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = materialize(spans.mapInArrow(_merge, spans.schema), "spans")
+    discard(flagged, repeated)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for every row."""
     if length < GRAM + WIDTH:
         raise ValueError(f"length must be at least {GRAM + WIDTH}")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(slim, length).withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
-    joined = slim.join(sized(spans, SPANS, "spans"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
+    texts = numbered(docs, "byte-texts", doc_id=F.col(id_col).cast("long"), text=F.coalesce(F.col(text_col), F.lit("")))
+    joined = texts.join(sized(repeated_spans(texts, length), "spans"), "row", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

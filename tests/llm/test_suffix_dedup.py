@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from minutespark.llm import scratch
 from minutespark.llm import suffix_dedup as sd
 from tests.llm.data import SCHEMA, empty, frame
 
@@ -34,7 +35,7 @@ def test_hot_cores_take_the_shuffled_way(spark, monkeypatch):
 
 def test_long_texts_are_parsed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sd, "PART", 500)
-    monkeypatch.setattr(sd, "SPANS", 0)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
     texts = corpus(4)
     assert run(spark, texts, 400) == sd.brute_force([(t or "").encode() for t in texts], 400)
 
