@@ -26,7 +26,7 @@ from minutespark.llm import textkit as tk
 from minutespark.llm.scratch import discard, materialize, numbered, sized
 
 U = np.uint64
-RUN_LENGTH, PAIR_WORDS = 3, 30
+RUN_LENGTH, PAIR_WORDS = 3, 20
 # UTF-8 forms of sentence ends besides . ! ? (those of _WIDE need no white space after them), and what may follow.
 _WIDE = ("。", "！", "？")
 _OTHER = ("؟", "۔", "।", "॥")

@@ -24,7 +24,7 @@ def split(text):
     return [*out, (at, end, tuple(words))] if words else out
 
 
-def brute(texts, run_length=3, pair=30):
+def brute(texts, run_length=3, pair=20):
     seen, out = {}, []
     for i, t in enumerate(texts):
         t = t or ""
