@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import discard, materialize, numbered, sized
+from minutespark.llm.scratch import discard, materialize, numbered
 
 U = np.uint64
 RUN_LENGTH, PAIR_WORDS = 3, 20
@@ -206,6 +206,7 @@ def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     later = hits.join(first, ["h1", "h2"]).where(place != F.col("first"))
     per_row = materialize(later.groupBy("row").agg(F.collect_set(F.struct("pos", "many", F.col("first.doc_id").alias("first_doc"))).alias("hits")), "row-hits")
     discard(repeated, hits, first)
-    joined = texts.join(sized(per_row, "hits"), "row", "inner" if only_changed else "left")
+    # Always a shuffle of both sides, so that cost follows the input at every size.
+    joined = texts.join(per_row, "row", "inner" if only_changed else "left")
     span = "array<struct<first: long, last: long, start: long, end: long, first_docs: array<long>>>"
     return joined.select("doc_id", "text", "hits").mapInArrow(_remove, f"doc_id long, n_sentences long, n_removed long, spans {span}, text string")
