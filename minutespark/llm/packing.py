@@ -27,7 +27,7 @@ from minutespark.llm.scratch import materialize
 
 GROUP_PIECES = 50_000
 #: Tokens of a worker's word table (4 bytes each); it is emptied when full, which changes no result.
-TABLE_TOKENS = 4_000_000
+TABLE_TOKENS = 8_000_000
 
 
 class WordTokenizer:
