@@ -1,25 +1,29 @@
 """N-gram Jaccard join by universe partition, with exact verification.
 
 A text's set holds its distinct k-word shingles (lower-cased A-Z, words split at ASCII white
-space; fewer words: the whole sequence as one; no words: empty, linked with nothing).
+space; fewer words: the whole sequence as one; no words: empty, linked with nothing). Equal sets are one class from the start.
 
-Method. Set sizes are cut into bands such that partners are in the same or the next band. Each pair
+Signatures. Set sizes are cut into bands such that partners are in the same or the next band. Each pair
 of neighbouring bands is a scheme with a largest symmetric difference ``H``. A hash deals the
-universe of shingles into segments; ``allocate`` decides from a cost model how many there are and
-which of them are matched exactly (they absorb no error) or with one deletion (they absorb one).
-Together they absorb ``H + 1 + slack`` errors, so two linked sets agree in a segment even
-after ``slack`` errors' worth of empty segments, which are never indexed, is set aside. A set
-with more empty segments than that is also indexed by its prefix tokens, which finds partners
-that have too many as well. Candidates of equal signatures are pruned by size and by a parity
-sketch (both lossless), then verified on the sets.
-
-Equal sets are one class from the start. In a bucket, every class is verified against the
-smallest one; what that links is contracted, and only buckets that still hold several components
-give pairs between those. So a large group of near copies gives pairs in proportion to its
-size, and no link is lost.
-
-Nulls: a null text is an empty set; a null id is a row like any other, with component null unless
-it is linked. Repeated rows are equal sets, thus linked. Extra columns are ignored.
+universe of shingles into segments, which are matched exactly (such a segment absorbs one error) or with one deletion (it
+absorbs two). ``allocate`` sizes them so that together they absorb half as many errors again as the ``H + 1`` that
+suffice; empty segments are not indexed. A set whose other segments absorb too few is indexed by its
+prefix tokens as well, which finds partners that have too few, too.
+
+Allocation by measured cost. Once all signatures are counted, a set needs to look up only segments that
+absorb ``H + 1`` errors, so it leaves out the ones with the longest lists, as far as its surplus goes. If the segments that it
+shares with no other set suffice, it has no partner and leaves the index altogether, which shortens the lists for the
+next round. Texts that share a passage, however many, go this way, since their own words fill most segments.
+
+Links. First each remaining class is verified against one hub, the class that it shares most signatures with among the
+smallest of its buckets; what that links is contracted. Then all lookups whose classes are not yet connected give pairs,
+which are pruned by size and by a parity sketch (both lossless) and verified on the texts' sets. So
+a large group of near copies gives pairs in proportion to its size, and no link is lost. A hub's partners are
+verified in chunks, to which the hub's text is sent once each.
+
+Nulls: a null text is an empty set; a null id is a row like any other, and its component is the smallest id that is
+linked to it, if any. Repeated rows are equal sets, thus linked; rows that repeat an id with other texts are judged each by its
+own text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +35,21 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutespark.llm import textkit as tk
-from minutespark.llm.scratch import components, materialize, neutral, sized
+from minutespark.llm.scratch import components, discard, materialize, neutral, numbered, sized
 
 U = np.uint64
 SKETCH_WORDS = 4
+SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
+#: Bits of a signature: it is an index key, so that collisions cost a comparison at most, and short keys are cheaper to move.
+SIGNATURE_BITS = 44
+#: Rounds in which sets without partners leave the index.
+ROUNDS = 3
+#: Partners of a hub that are verified together.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -51,12 +62,12 @@ class Scheme:
 
 
 def allocate(error: int, size: float) -> Scheme:
-    """The cheapest allocation that absorbs error + 1 + slack errors for sets of about ``size``
-    tokens. Cost: signatures per set, plus prefix tokens for the share of sets with too many
-    empty segments."""
+    """The allocation with the fewest index rows for sets of about ``size`` tokens: signatures, plus prefix tokens for the
+    share of sets with too many empty segments. ``slack`` is what it absorbs beyond error + 1; at least half as
+    much again, to choose from when the lengths of the lists are known."""
     best = None
-    for deletion in sorted({0, 1, 2, (error + 1) // 4, (error + 1) // 2, (error + 2) // 2}):
-        for slack in range(0, 5 + error // 10):
+    for deletion in sorted({0, 1, 2, (error + 1) // 4, (error + 1) // 2}):
+        for slack in range((error + 2) // 2, (error + 2) // 2 + 5 + error // 10):
             exact = max(0, error + 1 + slack - 2 * deletion)
             m = exact + deletion
             if m == 0:
@@ -90,17 +101,30 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, lis
     return np.array(ends), np.array(errors), schemes
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets of ``n_docs`` texts, with the text of each."""
+@dataclass(frozen=True)
+class Signatures:
+    """One entry per signature: its key, its text, its unit (the segment and scheme; 0 for prefix tokens), the errors that the
+    unit absorbs (0: the text does not look it up), and by how much the text's units of the scheme exceed what suffices (-1:
+    prefix tokens are looked up in their place)."""
+
+    key: np.ndarray
+    owner: np.ndarray
+    unit: np.ndarray
+    weight: np.ndarray
+    spare: np.ndarray
+
+
+def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, num: int, den: int) -> Signatures:
+    """All signatures of the sets of ``n_docs`` texts."""
     size = np.bincount(doc, minlength=n_docs)
-    ends, _, plans = bands(num, den, 1 << int(max(1, size.max(initial=1))).bit_length())
+    ends, errors, plans = bands(num, den, 1 << int(max(1, size.max(initial=1))).bit_length())
     band = np.searchsorted(ends, size, "right") - 1
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     exact = np.array([p.exact if p else 0 for p in plans] + [0])
     total = np.array([p.exact + p.deletion if p else 0 for p in plans] + [0])
-    slack = np.array([p.slack if p else 0 for p in plans] + [0])
+    errors = np.append(errors, 0)
     content = tk.mix(h ^ U(0x5851F42D4C957F2D))
-    for scheme in (band, band - 1):
+    for which, scheme in enumerate((band, band - 1)):
         m = np.where((scheme >= 0) & (size > 0), total[np.maximum(scheme, 0)], 0)
         base = np.concatenate([[0], np.cumsum(m)])
         use = m[doc] > 0
@@ -117,27 +141,34 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, num: int, den: int)
         index = np.arange(base[-1]) - base[owner]
         tag = tk.mix(salt[owner] + index.astype(np.uint64))
         single = index >= exact[scheme[owner]]
+        weight = np.where(single, 2 * (held > 1), held > 0)
+        spare = np.bincount(owner, weight, n_docs).astype(np.int64) - errors[np.maximum(scheme, 0)] - 1
+        weight = np.where(spare[owner] >= 0, weight, 0)
+        spare = np.maximum(spare, -1)
+        unit = 2 * index + 2 + which
         full = held > 0
-        out.append((tk.mix(summed[full] ^ tag[full]), owner[full]))
+        out.append((tk.mix(summed[full] ^ tag[full]), owner[full], unit[full], weight[full], spare[owner[full]]))
         less = single[cell] & (held[cell] > 1)
-        out.append((tk.mix((summed[cell[less]] - content[use][less]) ^ tag[cell[less]]), d[less]))
-        weak = np.where(single, 2 * (held <= 1), held == 0)
-        over = np.bincount(owner, weak, n_docs) > slack[np.maximum(scheme, 0)]
-        if (over & (m > 0)).any():
+        at = cell[less]
+        out.append((tk.mix((summed[at] - content[use][less]) ^ tag[at]), d[less], unit[at], weight[at], spare[d[less]]))
+        over = (spare < 0) & (m > 0)
+        if over.any():
             order = np.lexsort((t, d))
             t, d = t[order], d[order]
             first = np.searchsorted(d, np.arange(n_docs))
             rank = np.arange(len(d)) - first[d]
             prefix = size - (num * size + den - 1) // den + 1
             some = over[d] & (rank < prefix[d])
-            out.append((tk.mix(t[some] ^ tk.mix(salt[d[some]] + U(0xABCDEF))), d[some]))
+            zero = np.zeros(int(some.sum()), np.int64)
+            out.append((tk.mix(t[some] ^ tk.mix(salt[d[some]] + U(0xABCDEF))), d[some], zero + which, zero + 1, zero - 1))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        return Signatures(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+    key, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+    return Signatures(key >> U(64 - SIGNATURE_BITS), *rest)
 
 
 def _describe(k: int):
-    """Per row: id, set size, two hashes of the set, parity sketch."""
+    """Per (row, text, id): row, id, set size, two hashes of the set, parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +182,11 @@ def _describe(k: int):
                 for j, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                     sums[j, lo:hi] = tk.group_sums(tk.mix(h ^ U(salt)), d, hi - lo)
                 bit = (h >> U(56)).astype(np.int64)
-                odd = np.bincount(d * 256 + bit, minlength=(hi - lo) * 256).reshape(-1, 256) & 1
+                odd = np.bincount(d * 64 * SKETCH_WORDS + bit, minlength=(hi - lo) * 64 * SKETCH_WORDS).reshape(hi - lo, -1) & 1
                 sketch[lo:hi] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-            columns = [batch.column(0), pa.array(size), pa.array(tk.signed(sums[0])), pa.array(tk.signed(sums[1]))]
+            columns = [batch.column(0), batch.column(2), pa.array(size), pa.array(tk.signed(sums[0])), pa.array(tk.signed(sums[1]))]
             columns += [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", *(f"s{j}" for j in range(SKETCH_WORDS))])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "h1", "h2", *SKETCH])
 
     return run
 
@@ -163,107 +194,160 @@ def _describe(k: int):
 def _sign(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(0)
             for lo, hi, buf, offs in tk.slices(batch.column(1)):
                 h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
-                sig, owner = signatures(h, d, hi - lo, num, den)
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(sig)), pa.array(ids[lo:hi][owner])], names=["sig", "rep"])
+                found = signatures(h, d, hi - lo, num, den)
+                columns = [pa.array(tk.signed(found.key)), rows.take(pa.array(found.owner + lo)), *(pa.array(x, pa.int32()) for x in (found.unit, found.weight, found.spare))]
+                yield pa.RecordBatch.from_arrays(columns, names=["sig", "cls", "unit", "weight", "spare"])
 
     return run
 
 
-def _sets(k: int):
+def _compare(k: int, num: int, den: int):
+    """Rows (a, part, b, text) come in order of (a, part), each such group led by a's own text, where b is null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, buf, offs in tk.slices(batch.column(1)):
+            a, b = batch.column("a").to_numpy(), batch.column("b")
+            leads = b.is_null().to_numpy(zero_copy_only=False)
+            linked = []
+            for lo, hi, buf, offs in tk.slices(batch.column("text")):
                 h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
-                at = np.searchsorted(d, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(tk.signed(h)))], names=["rep", "tokens"])
+                cut = np.searchsorted(d, np.arange(hi - lo + 1))
+                for i in range(lo, hi):
+                    own = h[cut[i - lo] : cut[i - lo + 1]]
+                    if leads[i]:
+                        hub = own
+                        continue
+                    at = np.minimum(np.searchsorted(hub, own), max(0, len(hub) - 1))
+                    both = int((hub[at] == own).sum()) if len(hub) else 0
+                    if both and both * den >= (len(hub) + len(own) - both) * num:
+                        linked.append(i)
+            take = pa.array(linked, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a).take(take), b.take(take)], names=["a", "b"])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets and what links connect.
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of rows of ``texts`` (row, text) whose sets are similar. The smaller side of the work, the hub's text, is
+    repeated for every ``CHUNK`` partners; each partner's text moves once a pair."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = materialize(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b"), "jaccard-dealt")
+    leads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("row")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    partners = dealt.join(texts, F.col("b") == F.col("row")).select("a", "part", "b", "text")
+    ordered = leads.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = materialize(ordered.mapInArrow(_compare(k, num, den), "a long, b long"), "jaccard-links")
+    discard(dealt)
+    return found
 
-    Returns (members, found). ``members``: one row per input row with a non-null id: ``id``,
-    ``n`` (set size), ``rep`` (smallest id of the class; null for empty sets). ``found``: one row
-    (rep, component) per class that has a link. Every link was verified on the sets:
-    ``den * |A & B| >= num * |A | B|``.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = [f"s{j}" for j in range(SKETCH_WORDS)]
-    layout = "id long, n long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in sketch)
-    described = materialize(slim.mapInArrow(_describe(k), layout), "jaccard-sets")
-    filled = described.where("n > 0 and id is not null")
-    classes = materialize(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), *(F.first(s).alias(s) for s in sketch)), "jaccard-classes")
-    members = described.join(sized(classes.select("n", "h1", "h2", "rep")), ["n", "h1", "h2"], "left").select("id", "n", "rep")
 
-    # One text for each class: its smallest id; that id may be on several rows, with other texts.
-    def texts(wanted: DataFrame) -> DataFrame:
-        return slim.join(sized(wanted.select(F.col("rep").alias("id"))), "id", "left_semi")
-
-    signed = texts(classes).mapInArrow(_sign(k, num, den), "sig long, rep long").where("rep is not null")
+def _without_singles(index: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two classes or more, with the smallest class (low) and the number of other rows (others)."""
     bucket = Window.partitionBy("sig")
-    shared = signed.select("*", F.min("rep").over(bucket).alias("low"), F.max("rep").over(bucket).alias("high"))
-    shared = materialize(shared.where("low < high").select("sig", "rep", "low"), "jaccard-buckets")
-
-    facts = classes.select("rep", "n", *sketch)
+    counted = index.withColumns({"low": F.min("cls").over(bucket), "high": F.max("cls").over(bucket), "others": F.count("*").over(bucket) - 1})
+    return counted.where("low < high").drop("high")
+
+
+def _with_partners(shared: DataFrame) -> DataFrame:
+    """Without the sets whose unshared segments suffice; a set has its scheme in the last bit of unit."""
+    scheme = F.col("unit").bitwiseAND(1)
+    units = shared.select("cls", scheme.alias("scheme"), "unit", "weight", "spare").distinct()
+    done = units.groupBy("cls", "scheme").agg(F.sum("weight").alias("held"), F.max("spare").alias("spare")).where("spare >= 0 and held <= spare")
+    done = materialize(done.select("cls", "scheme"), "jaccard-alone")
+    kept = shared.withColumn("scheme", scheme).join(sized(done), ["cls", "scheme"], "left_anti").drop("scheme")
+    return kept
+
+
+def _lookups(shared: DataFrame) -> DataFrame:
+    """(cls, unit) to look up: by set and scheme the units with the shortest lists that suffice, and prefix tokens."""
+    units = shared.where("weight > 0").groupBy("cls", "unit").agg(F.first("weight").alias("weight"), F.first("spare").alias("spare"), F.sum("others").alias("others"))
+    line = Window.partitionBy("cls", F.col("unit").bitwiseAND(1)).orderBy(F.desc(F.col("others") / F.col("weight")), "unit").rowsBetween(Window.unboundedPreceding, 0)
+    return units.withColumn("dropped", F.sum("weight").over(line)).where("spare < 0 or dropped > spare").select("cls", "unit")
+
+
+def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Of a table ``texts`` (row, id, text): (described, found). ``described`` has row, id, n (set size) and the set's hashes h1, h2 for
+    every row. ``found`` has n, h1, h2 and component (a number) for every class of equal, non-empty sets;
+    classes have the same component if links connect them. Every link was verified on the sets:
+    ``den * |A & B| >= num * |A | B|``."""
+    layout = "row long, id long, n long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
+    described = materialize(texts.select("row", "text", "id").mapInArrow(_describe(k), layout), "jaccard-sets")
+    classes = described.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("cls"), *(F.first(s).alias(s) for s in SKETCH))
+    classes = materialize(classes, "jaccard-classes")
+    own = texts.select("row", "text").join(sized(classes.select(F.col("cls").alias("row"))), "row", "left_semi")
+
+    index = own.mapInArrow(_sign(k, num, den), "sig long, cls long, unit int, weight int, spare int")
+    shared = materialize(_without_singles(index), "jaccard-buckets")
+    for _ in range(ROUNDS):
+        before = shared
+        shared = _without_singles(_with_partners(shared).drop("low", "others"))
+        shared = materialize(shared, "jaccard-buckets")
+        discard(before)
+
+    facts = classes.select("cls", "n", *SKETCH)
+    open_texts = own.join(sized(materialize(shared.select(F.col("cls").alias("row")).distinct(), "jaccard-open")), "row", "left_semi")
+    open_texts = materialize(open_texts, "jaccard-texts")
+
+    def plausible(a: str, b: str) -> Column:
+        """Sizes and sketches do not rule a link out."""
+        apart = sum((F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in SKETCH), F.lit(0))
+        fits = F.least(f"{a}_n", f"{b}_n") * den >= F.greatest(f"{a}_n", f"{b}_n") * num
+        return fits & (apart * (den + num) <= (F.col(f"{a}_n") + F.col(f"{b}_n")) * (den - num))
+
+    def side(name: str) -> DataFrame:
+        return facts.toDF(name, *(f"{name}_{c}" for c in facts.columns[1:]))
 
     def prune(pairs: DataFrame) -> DataFrame:
-        """Drop pairs whose sizes or sketches rule a link out."""
-        left, right = (facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)) for side in "ab")
-        both = pairs.join(sized(left), F.col("a") == F.col("a_rep")).join(sized(right), F.col("b") == F.col("b_rep"))
-        apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
-        fits = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
-        near = apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)
-        return both.where(fits & near).select("a", "b", "a_n", "b_n")
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(prune(pairs), f"{name}-pairs")
-        wanted = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), f"{name}-wanted")
-        sets = texts(wanted).mapInArrow(_sets(k), "rep long, tokens array<long>")
-        one, two = sets.toDF("a", "a_tokens"), sets.toDF("b", "b_tokens")
-        full = pairs.join(one, "a").where(F.size("a_tokens") == F.col("a_n")).join(two, "b").where(F.size("b_tokens") == F.col("b_n"))
-        both = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
-        return materialize(full.where(both * den >= (F.col("a_n") + F.col("b_n") - both) * num).select("a", "b").distinct(), name)
-
-    stars = shared.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    first = verify(stars, "jaccard-first")
-    found = components(first)
-    marked = shared.select("sig", "rep").distinct().join(sized(found.toDF("rep", "component")), "rep", "left")
-    marked = marked.select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = marked.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    open_buckets = materialize(marked.join(sized(materialize(mixed, "jaccard-mixed")), "sig", "left_semi"), "jaccard-open")
-    open_buckets = open_buckets.join(sized(facts.select("rep", "n", *sketch)), "rep")
-    a, b = (open_buckets.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "component", "n", *sketch))) for side in "ab")
-    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sketch), F.lit(0))
-    rest = a.join(
-        b,
-        (a["sig"] == b["sig"])
-        & (F.col("a_rep") < F.col("b_rep"))
-        & (F.col("a_component") != F.col("b_component"))
-        & (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-        & (apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)),
-    )
-    rest = rest.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
-    second = verify(rest, "jaccard-second")
-    if not second.isEmpty():  # what is connected already goes in as stars
-        found = components(found.toDF("a", "b").union(second))
-    return members, found.toDF("rep", "component")
+        both = pairs.join(sized(side("a")), "a").join(sized(side("b")), "b")
+        return both.where(plausible("a", "b"))
+
+    # One hub for each class: of the plausible ones, that of most buckets.
+    stars = shared.where("cls > low").groupBy(F.col("low").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("times"))
+    hubs = prune(stars).groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    links = _verified(materialize(hubs, "jaccard-hubs"), open_texts, k, num, den)
+    found = components(links).toDF("cls", "component")
+
+    # Then every lookup in a bucket that holds another component.
+    marked = shared.join(sized(found), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    bucket = Window.partitionBy("sig")
+    marked = marked.withColumns({"one": F.min("component").over(bucket), "other": F.max("component").over(bucket)}).where("one < other")
+    marked = materialize(marked.select("sig", "cls", "unit", "weight", "spare", "others", "component"), "jaccard-mixed")
+    lookups = marked.join(materialize(_lookups(shared), "jaccard-lookups"), ["cls", "unit"], "left_semi")
+    lookups = lookups.join(sized(side("a")), F.col("cls") == F.col("a")).select("sig", "a", F.col("component").alias("a_component"), "a_n", *(f"a_{s}" for s in SKETCH))
+    entries = marked.join(sized(side("b")), F.col("cls") == F.col("b")).select("sig", "b", F.col("component").alias("b_component"), "b_n", *(f"b_{s}" for s in SKETCH))
+    near = materialize(lookups, "jaccard-asking").join(materialize(entries, "jaccard-entries"), "sig").where((F.col("a_component") != F.col("b_component")) & plausible("a", "b"))
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _verified(materialize(pairs, "jaccard-pairs"), open_texts, k, num, den)
+    if not rest.isEmpty():  # what is connected already goes in as stars
+        found = components(found.toDF("a", "b").union(rest)).toDF("cls", "component")
+    discard(shared, marked, open_texts)
+    labels = classes.select("n", "h1", "h2", "cls").join(sized(found), "cls", "left")
+    return described, materialize(labels.select("n", "h1", "h2", F.coalesce("component", "cls").alias("component")), "jaccard-classes")
+
+
+def _with_components(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """row, id, n and component (null for empty sets)."""
+    described, found = linked_classes(texts, k, num, den)
+    return described.join(sized(found), ["n", "h1", "h2"], "left").select("row", "id", "n", "component")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: id, n (set size), component (smallest id reachable by links)."""
-    members, found = jaccard_classes(docs, id_col, text_col, k, num, den)
-    out = members.join(sized(found), "rep", "left")
-    return out.select("id", "n", F.coalesce("component", "rep", "id").alias("component"))
+    texts = numbered(docs, "jaccard-rows", id=F.col(id_col).cast("long"), text=F.col(text_col))
+    rows = materialize(_with_components(texts, k, num, den), "jaccard-members")
+    discard(texts)
+    names = materialize(rows.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest")), "jaccard-names")
+    return rows.join(sized(names), "component", "left").select("id", "n", F.coalesce("smallest", "id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Keep the smallest id of each component (with null ids, and repeated ids, as they are)."""
-    found = jaccard_components(docs, id_col, text_col, k, num, den)
-    gone = materialize(found.where("component < id").select("id").distinct(), "jaccard-gone")
-    rows, (key,) = neutral(docs, id_col)
-    return rows.join(sized(gone), F.col(key) == F.col("id"), "left_anti").toDF(*docs.columns)
+    """One row of each component stays, that with the smallest id (null ids last); texts without words all stay."""
+    plain, (key, text) = neutral(docs, id_col, text_col)
+    whole = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = materialize(_with_components(whole.select("row", F.col(key).cast("long").alias("id"), F.col(text).alias("text")), k, num, den), "jaccard-members")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    gone = rows.join(sized(materialize(first.select("component", F.col("first.row").alias("stays")), "jaccard-stay")), "component").where("row <> stays").select("row")
+    return whole.join(sized(materialize(gone, "jaccard-gone")), "row", "left_anti").select(*plain.columns).toDF(*docs.columns)
