@@ -65,8 +65,9 @@ def format_windows(
     body = escape(F.col("t.text"))
     rows = rows.select("conv_id", "t", F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(CLOSE)).alias("full"), tokens(F.col("t.text")).cast("long").alias("n"))
     line = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sum", F.sum("n").over(line)).withColumn("at", F.row_number().over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    turn = F.struct("at", "sum", "n", "head", "body", "full", (F.col("t.role") == "system").alias("system"), (F.col("t.role") == "assistant").alias("target"))
+    size = F.col("head") + F.col("body") + len(CLOSE)
+    rows = rows.withColumns({"sum": F.sum("n").over(line), "chars": F.sum(size).over(line), "at": F.row_number().over(line)})
+    turn = F.struct("at", "sum", "chars", "n", "head", "body", "full", (F.col("t.role") == "system").alias("system"), (F.col("t.role") == "assistant").alias("target"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     first = F.get("turns", F.lit(0))
     convs = convs.withColumn("lead", first["system"].cast("int")).withColumn("lead_tokens", F.when(first["system"], first["n"]).otherwise(F.lit(0).cast("long")))
@@ -80,28 +81,31 @@ def format_windows(
         return F.when(opens, F.struct(F.concat(acc["starts"], F.array(t["at"])).alias("starts"), (t["sum"] - t["n"]).alias("base"))).otherwise(acc)
 
     convs = convs.withColumn("starts", F.aggregate(body_turns, start, step, lambda acc: acc["starts"]))
-    spans = convs.select("*", F.posexplode("starts").alias("window", "from"))
-    spans = spans.withColumn("to", F.coalesce(F.get("starts", F.col("window") + 1) - 1, F.size("turns")))
-    before = F.get("turns", F.col("from") - 2)["sum"]
-    recent_from = F.greatest(F.col("lead") + 1, F.col("from") - history_turns)
-    recent = F.when(F.col("from") > recent_from, F.slice("turns", recent_from, F.col("from") - recent_from)).otherwise(F.slice("turns", 1, 0))
-    history = F.filter(recent, lambda t: before - t["sum"] + t["n"] <= history_tokens)
-    has_lead = (F.col("lead") == 1) & (F.col("from") > 1)
-    lead_turns = F.when(has_lead, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    spans = spans.select("conv_id", "window", F.concat(lead_turns, history).alias("old"), F.slice("turns", F.col("from"), F.col("to") - F.col("from") + 1).alias("new"), has_lead.alias("has_lead"))
+    nothing = F.slice("turns", 1, 0)
+
+    def window(begin: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("starts", i + 1) - 1, F.size("turns"))
+        before = F.get("turns", begin - 2)["sum"]
+        recent_from = F.greatest(F.col("lead") + 1, begin - history_turns)
+        recent = F.when(begin > recent_from, F.slice("turns", recent_from, begin - recent_from)).otherwise(nothing)
+        history = F.filter(recent, lambda t: before - t["sum"] + t["n"] <= history_tokens)
+        has_lead = (F.col("lead") == 1) & (begin > 1)
+        lead_turns = F.when(has_lead, F.slice("turns", 1, 1)).otherwise(nothing)
+        return F.struct(i.alias("window"), F.concat(lead_turns, history).alias("old"), F.slice("turns", begin, end - begin + 1).alias("new"), has_lead.alias("has_lead"))
+
+    # Each window takes its own turns along, so that a conversation of many windows is not repeated for each.
+    spans = convs.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
     # The system turn is new in the first window, where it comes before the span.
     repeated = F.when(F.col("window") == 0, F.size("old") - F.col("has_lead").cast("int")).otherwise(F.size("old"))
-    size = lambda t: t["head"] + t["body"] + len(CLOSE)
-    old_length = F.aggregate("old", F.lit(0), lambda a, t: a + size(t))
-    loss = F.aggregate(
-        "new",
-        F.struct(old_length.alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("loss")),
-        lambda a, t: F.struct(
-            (a["at"] + size(t)).alias("at"),
-            F.when(t["target"], F.concat(a["loss"], F.array(F.struct((a["at"] + t["head"]).alias("start"), (a["at"] + t["head"] + t["body"]).alias("end"))))).otherwise(a["loss"]).alias("loss"),
-        ),
-        lambda a: a["loss"],
-    )
+    begin_of = lambda t: t["chars"] - t["head"] - t["body"] - len(CLOSE)
+    old_length = F.aggregate("old", F.lit(0).cast("long"), lambda a, t: a + t["head"] + t["body"] + len(CLOSE))
+    shift = old_length - begin_of(F.get("new", F.lit(0)))
+
+    def masked(t: Column) -> Column:
+        at = (begin_of(t) + shift + t["head"]).cast("int")
+        return F.struct(at.alias("start"), (at + t["body"]).alias("end"))
+
+    loss = F.transform(F.filter("new", lambda t: t["target"]), masked)
     every = F.concat("old", "new")
     return spans.select(
         "conv_id",
@@ -118,7 +122,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     """From windows' texts, masks and counts of repeated turns alone: conv_id, turns (array of role, text),
     loss_text, formatted_chars and n_windows of each conversation."""
     marked = F.slice(F.split("text", F.lit(r"<\|end\|>"), -1), F.col("n_repeated").cast("int") + 1, (F.col("n_turns") - F.col("n_repeated")).cast("int"))
-    header = r"(?s)^<\|turn\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+    header = r"(?s)^<\|turn\|>((?:[^\\\n]++|\\.)*+)\n(.*)$"  # possessive: no recursion for each character
     turns = F.transform(marked, lambda t: F.struct(unescape(F.regexp_extract(t, header, 1)).alias("role"), unescape(F.regexp_extract(t, header, 2)).alias("text")))
     loss = F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
     read = windows.select("conv_id", F.struct("window", turns.alias("turns"), F.array_join(loss, "").alias("loss"), F.length("text").cast("long").alias("chars")).alias("w"))

@@ -66,3 +66,18 @@ def test_escape_is_reversible_and_hides_control_strings(spark):
 
 def test_empty(spark):
     assert cf.read_back(cf.format_windows(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_roles_texts_and_conversations(spark):
+    """A role and a text of a million characters, and conversations of many turns, with and without tokens."""
+    odd = "ro\\le\n[INST]" * 80_000
+    rows = [(1, 0, odd, odd), (1, 1, "assistant", "x" * 1_000_000)]
+    rows += [(2, i, "assistant" if i % 2 else "user", "") for i in range(20_000)]
+    rows += [(3, i, "assistant" if i % 2 else "user", "word " * 300) for i in range(3_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in cf.read_back(cf.format_windows(turns)).collect()}
+    for conv in (1, 2, 3):
+        own = [(r[2], r[3]) for r in rows if r[0] == conv]
+        assert [tuple(t) for t in got[conv]["turns"]] == own
+        assert got[conv]["loss_text"] == "".join(t for r, t in own if r == "assistant")
+    assert got[2]["n_windows"] == 1 and got[3]["n_windows"] > 1000
