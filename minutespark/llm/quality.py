@@ -4,15 +4,18 @@ Base statistics of every whole text, then a minimum-covariance-determinant (MCD)
 language and source. A text passes if the base rules pass and the Mahalanobis distance of its
 transformed statistics is within a cut-off.
 
-The MCD is found by concentration steps from a deterministic start (medians and absolute
-deviations, by histogram). A step is one distributed pass: squared distances are bucketed on a fine
-geometric grid, counts and moments are added up by group and bucket with partial aggregation (so
-a source with a third of all rows is no hot key), and the buckets that hold the nearest ``SUPPORT``
-share of a group give its next mean and covariance. A ridge (minimum *regularized* covariance
-determinant) keeps it invertible where half the texts agree in a statistic exactly.
-Distances are scaled so that their median is that of a chi-squared variable.
-
-Groups with fewer than ``min_group`` texts are pooled by language, and those still too small over
+The MCD is searched from ``STARTS`` starts: medians with absolute deviations (by histogram), the scatter of hyperbolic
+tangents, that of spatial signs, the rows near the median, and random subsets. A concentration step is one distributed pass
+over all starts: squared distances are bucketed on a fine geometric grid, counts and moments are added up by group, start
+and bucket with partial aggregation (so a source with a third of all rows is no hot key), and the buckets that hold the
+nearest ``SUPPORT`` share of a group give its next mean and covariance. After ``FIRST_STEPS`` steps the two starts of least
+determinant go on; after ``STEPS`` more the one of least determinant is the estimate. Its covariance is multiplied by the
+consistency factor of the normal distribution, so distances follow chi-squared with 5 degrees of freedom on normal data, and
+the cut-off is that distribution's quantile at 1 - 1e-9. Statistics that are zero in most texts have no spread
+of their own there: ``FLOOR`` squared is added to the variances (minimum *regularized* covariance determinant), which is
+what a statistic's smallest difference that matters is taken to be.
+
+Groups with fewer than ``min_group`` texts are pooled by language, and those still too few over
 all languages; a pool that is too small rejects nothing. Nulls: a null text has no words, thus fails the base rules; null
 languages and sources are groups of their own. Repeated rows count as often as they come.
 Texts that fail the base rules take no part in the estimates.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutespark.llm.scratch import materialize, neutral, sized
@@ -34,13 +37,16 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = b"#*$%&|<>"
 DIM = 5
 SUPPORT = 0.75
-STEPS = 6
+STARTS, SUBSET = 7, 24
+FIRST_STEPS, STEPS = 2, 4
 MIN_GROUP = 100
-RIDGE = 0.05
+#: Least spread of each transformed statistic: about the grid of the medians; for rates, one of 180 words.
+FLOOR = np.array([0.02, 0.02, 0.15, 0.15, 0.15])
 #: Buckets per factor of two of the squared distance.
 GRID = 32
-#: Median of chi-squared with 5 degrees of freedom, and its quantile at 1 - 1e-9 (fixed values).
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 52.0
+#: Of chi-squared with 5 degrees of freedom (fixed values): the median, the quantile at 1 - 1e-9, and the factor that makes the
+#: covariance of the nearest three quarters consistent.
+CHI2_MEDIAN, CHI2_CUT, CONSISTENCY = 4.351, 50.69, 1.412
 
 
 def text_statistics(text: bytes) -> tuple[int, int, int, int, int]:
@@ -123,32 +129,33 @@ def features() -> list[Column]:
 
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-PARAMS = "group_key string, n_all long, mean array<double>, inverse array<double>, scale double"
-
-
-def _solve(first: bool):
-    """From a group's bucketed moments to its next location, inverse scatter and scale."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("bucket")
-        count = pdf["n"].to_numpy()
-        running = np.cumsum(count)
-        total = int(running[-1])
-        at = int(np.searchsorted(running, np.ceil(total * (0.5 if first else SUPPORT))))
-        n = running[at]
-        take = slice(0, at + 1)
-        mean = np.array([pdf[f"s{i}"].to_numpy()[take].sum() for i in range(DIM)]) / n
-        cov = np.zeros((DIM, DIM))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = pdf[f"q{i}{j}"].to_numpy()[take].sum() / n - mean[i] * mean[j]
-        inverse = np.linalg.inv(cov + RIDGE * np.eye(DIM))
-        half = int(np.searchsorted(running, np.ceil(total / 2)))
-        median = 2.0 ** ((pdf["bucket"].to_numpy()[half] + 0.5) / GRID)
-        return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "n_all": [total], "mean": [mean], "inverse": [inverse.ravel()], "scale": [CHI2_MEDIAN / median]})
+PARAMS = "group_key string, start int, n_all long, mean array<double>, inverse array<double>, logdet double"
+
+
+def _params(key: str, start: int, total: int, mean: np.ndarray, cov: np.ndarray):
+    import pandas as pd
+
+    return pd.DataFrame({"group_key": [key], "start": [start], "n_all": [total], "mean": [mean], "inverse": [np.linalg.inv(cov).ravel()], "logdet": [np.linalg.slogdet(cov)[1]]})
+
+
+def _mean_cov(pdf) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance from rows of moments."""
+    n = int(pdf["n"].sum())
+    mean = np.array([pdf[f"s{i}"].sum() for i in range(DIM)]) / n
+    cov = np.zeros((DIM, DIM))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = pdf[f"q{i}{j}"].sum() / n - mean[i] * mean[j]
+    return n, mean, cov
 
-    return run
+
+def _solve(pdf):
+    """From a group's bucketed moments at one start to its next estimate."""
+    pdf = pdf.sort_values("bucket")
+    running = np.cumsum(pdf["n"].to_numpy())
+    total = int(running[-1])
+    at = int(np.searchsorted(running, np.ceil(total * SUPPORT)))
+    _, mean, cov = _mean_cov(pdf.iloc[: at + 1])
+    return _params(pdf["group_key"].iloc[0], int(pdf["start"].iloc[0]), total, mean, CONSISTENCY * cov + np.diag(FLOOR**2))
 
 
 def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
@@ -156,11 +163,56 @@ def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return sum((d[i] * d[j] * F.col(inverse)[i * DIM + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("bucket", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * GRID).cast("int"))
-    sums = [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X))]
-    sums += [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]
-    return rows.groupBy("group_key", "bucket").agg(*sums)
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
+
+
+def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """A concentration step of all starts."""
+    near = rows.join(sized(params.select("group_key", "start", "mean", "inverse"), "mean", "inverse"), "group_key").withColumn("d2", _distance())
+    near = near.withColumn("bucket", F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * GRID).cast("int"))
+    sums = near.groupBy("group_key", "start", "bucket").agg(*_sums())
+    return materialize(sums.groupBy("group_key", "start").applyInPandas(_solve, PARAMS), "mcd-step")
+
+
+def _least(params: DataFrame, most: int) -> DataFrame:
+    """The starts of least determinant of each group."""
+    line = Window.partitionBy("group_key").orderBy("logdet", "start")
+    return materialize(params.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= most).drop("rank"), "mcd-least")
+
+
+def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """The first estimates; ``middle`` has the median, spread and size of each group."""
+    near = rows.join(sized(middle, "median", "spread"), "group_key")
+    z = [(F.col(x) - F.col("median")[i]) / F.col("spread")[i] for i, x in enumerate(X)]
+    length = sum((v * v for v in z), F.lit(0.0))
+    given = F.array(*(F.col(x) for x in X))
+
+    def picked(start: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(start), *X), F.col("n_all")) < SUBSET
+
+    variants = [(1, F.lit(True), F.array(*(F.tanh(v) for v in z))), (2, length > 0, F.array(*(v / F.sqrt(length) for v in z))), (3, length <= CHI2_MEDIAN, given)]
+    variants += [(s, picked(s), given) for s in range(4, STARTS)]
+    each = F.filter(F.array(*(F.struct(F.lit(s).alias("start"), use.alias("use"), v.alias("v")) for s, use, v in variants)), lambda t: t["use"])
+    flat = near.select("group_key", F.explode(each).alias("t")).select("group_key", "t.start", *(F.col("t.v")[i].alias(x) for i, x in enumerate(X)))
+    sums = flat.groupBy("group_key", "start").agg(*_sums())
+    # The start without moments: medians and spreads alone.
+    alone = middle.select("group_key", F.lit(0).alias("start"), *(F.lit(0).cast("long" if c == "n" else "double").alias(c) for c in sums.columns[2:]))
+    both = sums.union(alone).join(sized(middle, "median", "spread"), "group_key")
+    return materialize(both.groupBy("group_key", "start").applyInPandas(_first, PARAMS), "mcd-start")
+
+
+def _first(pdf):
+    row = pdf.iloc[0]
+    start, total, median, spread = int(row["start"]), int(row["n_all"]), np.array(row["median"]), np.array(row["spread"])
+    mean, cov = median, np.diag(spread**2)
+    if start:
+        n, own, scatter = _mean_cov(pdf)
+        if start in (1, 2):  # scatter of standardized values, about the median
+            cov = (scatter + 1e-3 * np.eye(DIM)) * np.outer(spread, spread)
+        elif n > DIM:
+            mean, cov = own, scatter + np.diag(FLOOR**2)
+    return _params(row["group_key"], start, total, mean, cov)
 
 
 def _keys(lang: str, source: str) -> list[Column]:
@@ -180,25 +232,22 @@ def fit(stats: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) ->
     chosen = F.when(F.col("count") >= min_group, F.col("key0")).when(F.col("pool") >= min_group, F.col("key1")).otherwise(F.col("key2"))
     groups = materialize(groups.select("key0", chosen.alias("group_key")), "mcd-groups")
     rows = rows.join(sized(groups), "key0").select("group_key", *X)
-    # The start: medians and median absolute deviations, from counts on a grid of 1/64.
+    # Medians and median absolute deviations, from counts on a grid of 1/64.
     grid = rows.select("group_key", F.posexplode(F.array(*X)).alias("dim", "v")).groupBy("group_key", "dim", F.floor(F.col("v") * 64).alias("cell")).count()
-    start = materialize(grid.groupBy("group_key").applyInPandas(_start, PARAMS), "mcd-start")
-    params = start
-    for step in range(STEPS):
-        near = rows.join(sized(params), "group_key").withColumn("d2", _distance())
-        params = materialize(_moments(near).groupBy("group_key").applyInPandas(_solve(step == 0), PARAMS), "mcd-step")
-    # One more pass for the scale under the final estimate.
-    near = rows.join(sized(params), "group_key").withColumn("d2", _distance())
-    half = near.groupBy("group_key", F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * GRID).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    scale = half.groupBy("group_key").applyInPandas(_scale, "group_key string, scale double")
-    params = materialize(params.drop("scale").join(scale, "group_key"), "mcd")
-    return groups, params
-
-
-def _start(pdf):
+    middle = materialize(grid.groupBy("group_key").applyInPandas(_middle, "group_key string, n_all long, median array<double>, spread array<double>"), "mcd-middle")
+    params = _starts(rows, middle)
+    for _ in range(FIRST_STEPS):
+        params = _step(rows, params)
+    params = _least(params, 2)
+    for _ in range(STEPS):
+        params = _step(rows, params)
+    return groups, _least(params, 1)
+
+
+def _middle(pdf):
     import pandas as pd
 
-    mean, spread, total = [], [], 0
+    median, spread, total = [], [], 0
     for dim in range(DIM):
         part = pdf[pdf["dim"] == dim].sort_values("cell")
         value, count = (part["cell"].to_numpy() + 0.5) / 64, part["count"].to_numpy()
@@ -206,45 +255,35 @@ def _start(pdf):
         m = value[np.searchsorted(np.cumsum(count), total / 2)]
         away = np.abs(value - m)
         order = np.argsort(away, kind="stable")
-        mean.append(m)
+        median.append(m)
         spread.append(1.4826 * away[order][np.searchsorted(np.cumsum(count[order]), total / 2)])
-    inverse = np.diag(1 / (np.array(spread) ** 2 + RIDGE))
-    return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "n_all": [total], "mean": [np.array(mean)], "inverse": [inverse.ravel()], "scale": [1.0]})
-
-
-def _scale(pdf):
-    import pandas as pd
-
-    pdf = pdf.sort_values("bucket")
-    running = np.cumsum(pdf["n"].to_numpy())
-    median = 2.0 ** ((pdf["bucket"].to_numpy()[np.searchsorted(running, np.ceil(running[-1] / 2))] + 0.5) / GRID)
-    return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "scale": [CHI2_MEDIAN / median]})
+    return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "n_all": [total], "median": [np.array(median)], "spread": [np.maximum(spread, FLOOR)]})
 
 
 def judge(stats: DataFrame, groups: DataFrame, params: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """Add base_failed, distance2 (scaled squared distance, null without an estimate) and kept."""
-    found = sized(materialize(groups.join(params, "group_key").where(F.col("n_all") >= min_group).select("key0", "mean", "inverse", "scale").toDF("_key0", "_mean", "_inverse", "_scale"), "mcd-params"))
+    """Add base_failed, distance2 (squared distance, null without an estimate) and kept."""
+    found = groups.join(params, "group_key").where(F.col("n_all") >= min_group).select("key0", "mean", "inverse").toDF("_key0", "_mean", "_inverse")
+    found = sized(materialize(found, "mcd-params"), "_key0", "_mean", "_inverse")
     names = [*stats.columns, "base_failed", "distance2", "kept"]
     rows = stats.withColumns({x: f for f, x in zip(features(), [f"_{x}" for x in X], strict=True)} | {"_key": _keys(lang, source)[0]})
     rows = rows.join(found, F.col("_key") == F.col("_key0"), "left")
     d = [F.col(f"_{x}") - F.col("_mean")[i] for i, x in enumerate(X)]
-    d2 = sum((d[i] * d[j] * F.col("_inverse")[i * DIM + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0)) * F.least(F.col("_scale"), F.lit(1.0))
+    d2 = sum((d[i] * d[j] * F.col("_inverse")[i * DIM + j] * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
     rows = rows.withColumn("base_failed", base_failed()).withColumn("distance2", d2)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CHI2_CUT)).select(*names)
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """doc_id, the five statistics, base_failed, kept, distance2 for every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     stats = materialize(with_statistics(slim, "text", keep_text=False), "quality")
-    judged = judge(stats, *fit(stats, "lang", "source"), "lang", "source")
+    judged = judge(stats, *fit(stats, "lang", "source", min_group), "lang", "source", min_group)
     return judged.select("doc_id", *(F.col(f"stat_{s}").alias(s) for s in STATS), "base_failed", "kept", "distance2")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that pass, unchanged. The statistics are computed again for the filter, which costs
-    less than moving the texts to their verdicts, and holds for repeated ids."""
+def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows that pass, unchanged. Each row is judged by its own statistics, which are written down beside it."""
     rows, (text, lang_, source_) = neutral(docs, text_col, lang, source)
-    stats = materialize(with_statistics(rows.select(text, lang_, source_), text, keep_text=False), "quality")
-    judged = judge(with_statistics(rows, text), *fit(stats, lang_, source_), lang_, source_)
+    stats = materialize(with_statistics(rows, text), "quality")
+    judged = judge(stats, *fit(stats, lang_, source_, min_group), lang_, source_, min_group)
     return judged.where("kept").select(*rows.columns).toDF(*docs.columns)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from minutespark.llm import quality as q
 from tests.llm.data import SCHEMA, empty, frame
@@ -68,3 +69,70 @@ def test_awkward_rows(spark):
     assert q.quality_verdicts(frame(spark)).count() == frame(spark).count()
     assert q.quality_verdicts(empty(spark)).count() == 0
     assert q.keep_good(empty(spark)).count() == 0
+
+
+def table(n_words, chars, symbols, dups, repeats):
+    return pd.DataFrame({"stat_n_words": n_words, "stat_word_chars": chars, "stat_n_symbols": symbols, "stat_n_dup_lines": dups, "stat_n_repeat_words": repeats, "lang": "en", "source": "a"})
+
+
+def plain_mcd(x, starts=40):
+    """Random subsets of six rows, concentration steps until they stand, the least determinant of all."""
+    best = None
+    for seed in range(starts):
+        near = np.random.default_rng(seed).permutation(len(x))[:6]
+        for _ in range(60):
+            mean, cov = x[near].mean(0), q.CONSISTENCY * np.cov(x[near].T, bias=True) + np.diag(q.FLOOR**2)
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            again = np.argsort(d2, kind="stable")[: int(np.ceil(q.SUPPORT * len(x)))]
+            if len(again) == len(near) and (again == near).all():
+                break
+            near = again
+        logdet = np.linalg.slogdet(cov)[1]
+        if best is None or logdet < best[0]:
+            best = logdet, mean, cov
+    return best
+
+
+def test_against_a_plain_mcd(spark):
+    """Correlated statistics; a fifth of the rows form a cluster of their own, others lie about."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    words = np.exp(rng.normal(5.5, 0.7, n)).astype(int) + 30
+    length = np.exp(rng.normal(1.6, 0.05, n) + 0.05 * (np.log(words) - 5.5))
+    bad = np.arange(n) < n // 5
+    words[bad], length[bad] = 3000 + rng.integers(0, 200, bad.sum()), 9.0
+    symbols = np.where(rng.random(n) < 0.1, words // 9, 0)
+    stats = table(words, (words * length).astype(int), symbols, rng.integers(0, 2, n), np.where(rng.random(n) < 0.05, words // 8, 0))
+    frame_ = spark.createDataFrame(stats)
+    _, params = q.fit(frame_, "lang", "source")
+    found = params.first()
+    x = np.array(frame_.select(*q.features()).toPandas(), float)
+    logdet, mean, cov = plain_mcd(x)
+    assert found["logdet"] <= logdet + 0.05  # buckets of two percent in place of an exact order
+    assert np.allclose(found["mean"], mean, atol=0.02)
+    d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    off = x - np.array(found["mean"])
+    own = np.einsum("ij,jk,ik->i", off, np.array(found["inverse"]).reshape(5, 5), off)
+    assert np.median(abs(own / d2 - 1)) < 0.05 and ((own > q.CHI2_CUT) == (d2 > q.CHI2_CUT)).mean() > 0.995
+    assert (own[bad] > q.CHI2_CUT).all()
+
+
+@pytest.mark.parametrize("which", range(5))
+def test_an_outlier_in_each_single_statistic(spark, which):
+    rng = np.random.default_rng(which)
+    n = 400
+    words = rng.integers(90, 400, n)
+    stats = table(words, words * 5 + rng.integers(-40, 40, n), 0 * words, 0 * words, 0 * words)
+    odd = [(60_000, 300_000, 0, 0, 0), (200, 2000, 0, 0, 0), (200, 1000, 100, 0, 0), (200, 1000, 0, 100, 0), (200, 1000, 0, 0, 59)][which]
+    stats = pd.concat([stats, table(*([v] for v in odd))])
+    frame_ = spark.createDataFrame(stats)
+    got = q.judge(frame_, *q.fit(frame_, "lang", "source"), "lang", "source").where("not kept").collect()
+    assert [(r["stat_n_words"], r["base_failed"]) for r in got] == [(odd[0], False)]
+
+
+def test_least_group_is_a_parameter(spark):
+    words = np.arange(100, 130)
+    stats = pd.concat([table(words, words * 5, 0 * words, 0 * words, 0 * words), table([110], [550], [110], [0], [0])])
+    frame_ = spark.createDataFrame(stats)
+    for least, rejected in ((100, 0), (20, 1)):
+        assert q.judge(frame_, *q.fit(frame_, "lang", "source", least), "lang", "source", least).where("not kept").count() == rejected
