@@ -2,14 +2,17 @@
 
 Candidates are the matches of the base patterns (email, ip, card, phone) and of looser ones (``local``
 phone numbers, ``ssn``, ``iban``). Five labelers vote for, against or abstain on each: the shape, a
-gazetteer (known domains' ends, country codes, issuers, reserved ranges), cue words before it, words
+gazetteer (known domains' ends, country codes, issuers, reserved ranges), cue words in four languages beside it, words
 before it that tell against, and what touches it on either side.
 
 Expectation-maximisation (two classes, conditionally independent votes) estimates every labeler's
 reliability and each kind's rate from the counts of all vote patterns in the corpus; there are at most
-7 x 3**5 such patterns, so they are counted by Spark and solved in plain Python. With the posteriors as soft
-labels a logistic span classifier is trained on the same patterns; its weights become a
-column expression that judges every candidate. Base matches always stay; others need half.
+7 x 3**5 such patterns, so they are counted by Spark and solved on the driver. The posterior is a column again, and
+gives soft labels for the final span classifier, a logistic regression on features of the span and its context that are
+not the votes (length, separators, the character on either side, whether a name and colon lead to it, cue words
+before and after it, words against it, by kind). It is trained on counts and summed posteriors of the combinations that occur, of which
+there are at most ``COMBINATIONS``, and its weights become the column expression that judges every candidate. Base matches
+always stay; others need half.
 
 Nulls: a null text is empty; null ids are kept. Repeated rows each give a row. Extra columns are ignored.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from math import exp, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +41,18 @@ PATTERNS = [
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [p.kind for p in PATTERNS]
 LABELERS = ["shape", "gazetteer", "cue", "against", "touch"]
-# Cue words by kind, words against, and the gazetteers.
+# Cue words by kind (English, German, French, Spanish), words against, and the gazetteers.
+_PHONE = "phone|tel|call|mobile|cell|fax|reach|handy|rufen|anruf|mobil|portable|appel|llam|m\u00f3vil|movil"
 CUES = {
-    "email": "mail|contact|write|reach|address", "ip": r"\bip\b|server|host|login|from", "card": "card|visa|credit|payment|charge",
-    "phone": "phone|tel|call|mobile|fax|reach", "local": "phone|tel|call|mobile|fax|reach", "ssn": "ssn|social|security", "iban": "iban|bank|account|transfer",
-}
-AGAINST = "version|isbn|order|invoice|example|sample|release|page"
+    "email": "mail|contact|write|reach|address|kontakt|schreib|adresse|courriel|\u00e9cri|correo|contacto|escrib|direcci",
+    "ip": r"\bip\b|server|host|login|from|anmeldung|rechner|serveur|h\u00f4te|servidor|equipo",
+    "card": "card|visa|credit|payment|charge|karte|kredit|zahlung|carte|paiement|tarjeta|pago",
+    "phone": _PHONE,
+    "local": _PHONE,
+    "ssn": "ssn|social|security|sozialversicherung|s\u00e9curit\u00e9|seguridad",
+    "iban": "iban|bank|account|transfer|konto|\u00fcberweis|compte|virement|cuenta|transferencia",
+}
+AGAINST = "version|isbn|order|invoice|example|sample|release|page|bestell|rechnung|beispiel|seite|commande|facture|exemple|pedido|factura|ejemplo|p\u00e1gina"
 TLDS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|at"
 COUNTRIES = "AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK"
 
@@ -65,6 +75,40 @@ def _valid(kind: Column, text: Column) -> Column:
     return F.when(kind == "ip", F.coalesce(octets, F.lit(False))).when(kind == "card", card).when(kind == "phone", (n >= 9) & (n <= 15)).otherwise(F.lit(True))
 
 
+def _cue(context: Column) -> Column:
+    """Whether a cue word of the candidate's kind is in its context."""
+    out = F.lit(False)
+    for k, words in CUES.items():
+        out = out | ((F.col("kind") == k) & F.lower(context).rlike(words))
+    return out
+
+
+def _side(character: Column) -> Column:
+    """Nothing or a line break, white space, a letter, a digit, or another character."""
+    return F.when(character.rlike(r"^\n?$"), 0).when(character.rlike(r"^\s"), 1).when(character.rlike(r"^\p{L}"), 2).when(character.rlike("^[0-9]"), 3).otherwise(4)
+
+
+def _features() -> list[Column]:
+    before, after, found = F.col("before"), F.col("after"), F.col("found")
+    separators = F.array_distinct(F.regexp_extract_all(found, F.lit(r"[^A-Za-z0-9]"), F.lit(0)))
+    return [
+        F.least(F.floor(F.length(found) / 4), F.lit(7)),
+        F.least(F.size(separators), F.lit(2)),
+        _side(F.right(before, F.lit(1))),
+        _side(F.left(after, F.lit(1))),
+        before.rlike(r"\p{L}\s*[:=#]\s*$").cast("int"),
+        _cue(before).cast("int"),
+        _cue(after).cast("int"),
+        F.lower(before).rlike(AGAINST).cast("int"),
+    ]
+
+
+FEATURES = ["length", "separators", "left", "right", "named", "cue_before", "cue_after", "told_against"]
+#: Values of each feature; with the kinds they bound the combinations that are counted.
+VALUES = [8, 3, 5, 5, 2, 2, 2, 2]
+COMBINATIONS = len(KINDS) * 8 * 3 * 5 * 5 * 2**4
+
+
 def _votes() -> list[Column]:
     kind, text, before, after = F.col("kind"), F.col("found"), F.lower("before"), F.col("after")
     digits = F.regexp_replace(text, "[^0-9]", "")
@@ -89,9 +133,7 @@ def _votes() -> list[Column]:
         .when(kind == "iban", vote(text.rlike(rf"^({COUNTRIES})"), ~text.rlike(rf"^({COUNTRIES})")))
         .otherwise(F.lit(0))
     )
-    cue = F.lit(False)
-    for k, words in CUES.items():
-        cue = cue | ((kind == k) & before.rlike(words))
+    cue = _cue(F.col("before")) | _cue(F.col("after"))
     touching = F.col("before").rlike(r"[A-Za-z0-9]$") | after.rlike(r"^[A-Za-z0-9]")
     return [shape, gazetteer, vote(cue, F.lit(False)), vote(F.lit(False), before.rlike(AGAINST)), vote(~touching, touching)]
 
@@ -122,22 +164,32 @@ def estimate(counts: Counts, rounds: int = 30) -> tuple[dict[str, float], list[d
     return rates, tables, post
 
 
-def train(counts: Counts, post: dict, steps: int = 200) -> tuple[dict[str, float], dict[tuple[int, int], float]]:
-    """A logistic classifier of soft labels: a bias per kind, a weight per labeler and vote."""
-    bias = {k: 0.0 for k, _, _ in counts}
-    weight = {(j, c): 0.0 for j in range(len(LABELERS)) for c in (-1, 0, 1)}
-    total = sum(n for _, _, n in counts) or 1
-    for _ in range(steps):
-        slope_b, slope_w = dict.fromkeys(bias, 0.0), dict.fromkeys(weight, 0.0)
-        for k, v, n in counts:
-            z = bias[k] + sum(weight[j, c] for j, c in enumerate(v))
-            off = n * (post[k, v] - 1 / (1 + exp(-max(-30.0, min(30.0, z))))) / total
-            slope_b[k] += off
-            for j, c in enumerate(v):
-                slope_w[j, c] += off
-        bias = {k: b + 4 * (slope_b[k] - 1e-4 * b) for k, b in bias.items()}
-        weight = {x: w + 4 * (slope_w[x] - 1e-4 * w) for x, w in weight.items()}
-    return bias, weight
+def posterior(rates: dict[str, float], tables: list[dict[tuple[int, int], float]]) -> Column:
+    """The posterior of a candidate's votes as a column."""
+    odds = F.lit(0.0)
+    for k, rate in sorted(rates.items()):
+        odds = odds + F.when(F.col("kind") == k, F.lit(log(rate / (1 - rate)))).otherwise(0.0)
+    for name, t in zip(LABELERS, tables, strict=True):
+        for c in (-1, 0, 1):
+            odds = odds + F.when(F.col(name) == c, F.lit(log(t[c, 1] / t[c, 0]))).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
+
+
+def train(combinations: list[tuple[int, tuple[int, ...], int, float]], steps: int = 400) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A logistic regression of soft labels, from (kind, features, candidates, sum of posteriors): a bias for each kind and a
+    weight for each value of each feature."""
+    sizes = [len(KINDS), *VALUES]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    weight = np.zeros(first[-1])
+    if combinations:
+        place = np.array([(k, *f) for k, f, _, _ in combinations]) + first[:-1]
+        n, label = (np.array([c[i] for c in combinations], float) for i in (2, 3))
+        for _ in range(steps):
+            off = label - n / (1 + np.exp(-weight[place].sum(1)))
+            slope = np.zeros(len(weight))
+            np.add.at(slope, place, np.repeat((off / n.sum())[:, None], len(sizes), 1))
+            weight += 4 * (slope - 1e-4 * weight)
+    return weight[: first[1]], [weight[a:b] for a, b in zip(first[1:-1], first[2:], strict=True)]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,16 +198,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Matches that fail their base rule are no candidates; the row of their text stays.
     kind = F.when(_valid(F.col("kind"), F.col("found")), F.col("kind"))
     votes = [v.cast("int").alias(name) for v, name in zip(_votes(), LABELERS, strict=True)]
-    parts = materialize(parts.select("row", "doc_id", "text_hash", "order", kind.alias("kind"), "start", "end", *votes), "pii-candidates")
-    rows = parts.where("kind is not null").groupBy("kind", *LABELERS).count().collect()
+    traits = [v.cast("int").alias(name) for v, name in zip(_features(), FEATURES, strict=True)]
+    parts = materialize(parts.select("row", "doc_id", "text_hash", "order", kind.alias("kind"), "start", "end", *votes, *traits), "pii-candidates")
+    known = parts.where("kind is not null")
+    rows = known.groupBy("kind", *LABELERS).count().collect()
     counts = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in rows)
-    _, _, post = estimate(counts)
-    bias, weight = train(counts, post)
-    score = F.lit(0.0)
-    for k, b in bias.items():
-        score = score + F.when(F.col("kind") == k, F.lit(b)).otherwise(0.0)
-    for (j, c), w in weight.items():
-        score = score + F.when(F.col(LABELERS[j]) == c, F.lit(w)).otherwise(0.0)
+    rates, tables, _ = estimate(counts)
+    said = known.groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), F.sum(posterior(rates, tables)).alias("label")).orderBy("kind", *FEATURES).collect()
+    bias, weights = train([(KINDS.index(r["kind"]), tuple(r[x] for x in FEATURES), r["n"], r["label"]) for r in said])
+    score = F.get(F.lit([float(x) for x in bias]), F.array_position(F.lit(KINDS), F.col("kind")).cast("int") - 1)
+    for name, w in zip(FEATURES, weights, strict=True):
+        score = score + F.get(F.lit([float(x) for x in w]), F.col(name))
     keep = F.col("kind").isin(BASE) | (score >= 0)
     span = F.when(F.col("kind").isNotNull() & keep, F.struct("order", "start", "kind", "end", (1 / (1 + F.exp(-score))).alias("score")))
     found = parts.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
