@@ -6,7 +6,7 @@ space; fewer words: the whole sequence as one; no words: empty, linked with noth
 Signatures. Set sizes are cut into bands such that partners are in the same or the next band. Each pair
 of neighbouring bands is a scheme with a largest symmetric difference ``H``. A hash deals the
 universe of shingles into segments, which are matched exactly (such a segment absorbs one error) or with one deletion (it
-absorbs two). ``allocate`` sizes them so that together they absorb half as many errors again as the ``H + 1`` that
+absorbs two). ``allocate`` sizes them so that together they absorb a third more errors than the ``H + 1`` that
 suffice; empty segments are not indexed. A set whose other segments absorb too few is indexed by its
 prefix tokens as well, which finds partners that have too few, too.
 
@@ -44,8 +44,9 @@ from minutespark.llm.scratch import components, discard, materialize, neutral, n
 U = np.uint64
 SKETCH_WORDS = 4
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
-#: Bits of a signature: it is an index key, so that collisions cost a comparison at most, and short keys are cheaper to move.
-SIGNATURE_BITS = 44
+#: Bits of a signature beyond those that number the corpus's tokens. It is an index key, so that collisions cost a comparison at
+#: most, and short keys are cheaper to move.
+SPARE_BITS = 10
 #: Rounds in which sets without partners leave the index.
 ROUNDS = 3
 #: Partners of a hub that are verified together.
@@ -63,11 +64,11 @@ class Scheme:
 
 def allocate(error: int, size: float) -> Scheme:
     """The allocation with the fewest index rows for sets of about ``size`` tokens: signatures, plus prefix tokens for the
-    share of sets with too many empty segments. ``slack`` is what it absorbs beyond error + 1; at least half as
+    share of sets with too many empty segments. ``slack`` is what it absorbs beyond error + 1; at least a third as
     much again, to choose from when the lengths of the lists are known."""
     best = None
     for deletion in sorted({0, 1, 2, (error + 1) // 4, (error + 1) // 2}):
-        for slack in range((error + 2) // 2, (error + 2) // 2 + 5 + error // 10):
+        for slack in range((error + 3) // 3, (error + 3) // 3 + 5 + error // 10):
             exact = max(0, error + 1 + slack - 2 * deletion)
             m = exact + deletion
             if m == 0:
@@ -163,8 +164,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, num: int, den: int)
             out.append((tk.mix(t[some] ^ tk.mix(salt[d[some]] + U(0xABCDEF))), d[some], zero + which, zero + 1, zero - 1))
     if not out:
         return Signatures(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
-    key, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
-    return Signatures(key >> U(64 - SIGNATURE_BITS), *rest)
+    return Signatures(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def _describe(k: int):
@@ -191,15 +191,17 @@ def _describe(k: int):
     return run
 
 
-def _sign(k: int, num: int, den: int):
+def _sign(k: int, num: int, den: int, bits: int):
+    """sig, cls (the row) and facts of each signature: one number that holds spare + 1, unit and weight."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
             for lo, hi, buf, offs in tk.slices(batch.column(1)):
                 h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
                 found = signatures(h, d, hi - lo, num, den)
-                columns = [pa.array(tk.signed(found.key)), rows.take(pa.array(found.owner + lo)), *(pa.array(x, pa.int32()) for x in (found.unit, found.weight, found.spare))]
-                yield pa.RecordBatch.from_arrays(columns, names=["sig", "cls", "unit", "weight", "spare"])
+                facts = (found.spare + 1) << 32 | found.unit << 2 | found.weight
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(found.key >> U(64 - bits))), rows.take(pa.array(found.owner + lo)), pa.array(facts)], names=["sig", "cls", "facts"])
 
     return run
 
@@ -279,8 +281,12 @@ def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = materialize(classes, "jaccard-classes")
     own = texts.select("row", "text").join(sized(classes.select(F.col("cls").alias("row"))), "row", "left_semi")
 
-    index = own.mapInArrow(_sign(k, num, den), "sig long, cls long, unit int, weight int, spare int")
-    shared = materialize(_without_singles(index), "jaccard-buckets")
+    tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(64, -(-(int(tokens).bit_length() + SPARE_BITS) // 8) * 8)
+    index = own.mapInArrow(_sign(k, num, den, bits), "sig long, cls long, facts long")
+    unit, weight, spare = F.shiftright(F.col("facts").bitwiseAND((1 << 32) - 1), 2).cast("int"), F.col("facts").bitwiseAND(3).cast("int"), (F.shiftright("facts", 32) - 1).cast("int")
+    shared = _without_singles(index).select("sig", "cls", unit.alias("unit"), weight.alias("weight"), spare.alias("spare"), "low", "others")
+    shared = materialize(shared, "jaccard-buckets")
     for _ in range(ROUNDS):
         before = shared
         shared = _without_singles(_with_partners(shared).drop("low", "others"))
