@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minutespark.operators.relational import band_pairs
+from minutespark.operators.relational import count_close_pairs
 
 
 def summary(failures: DataFrame, keys: list[str], job: str, timeout: Column, first: Column) -> DataFrame:
@@ -51,15 +51,20 @@ def domain(host: Column) -> Column:
 
 
 def pair_shapes(failures: DataFrame, time: str, order: str, job: str, host: str, minutes: int = 10) -> DataFrame:
-    """Counts of pairs of failures at most ``minutes`` apart by what they share first: job, host, domain."""
-    pairs = band_pairs(failures.where(F.col(time).isNotNull()), time, order, minutes)
-    shape = (
-        F.when(F.col(f"a_{job}").eqNullSafe(F.col(f"b_{job}")), "same_job")
-        .when(F.col(f"a_{host}").eqNullSafe(F.col(f"b_{host}")), "same_host")
-        .when(domain(F.col(f"a_{host}")) == domain(F.col(f"b_{host}")), "same_domain")
-        .otherwise("unrelated")
-    )
-    return pairs.groupBy(shape.alias("shape")).agg(F.count("*").alias("pairs"))
+    """Counts of pairs of failures at most ``minutes`` apart by what they share first: job, host, domain. Null jobs and hosts are
+    equal to each other, null domains are not."""
+    rows = failures.withColumn("_domain", domain(F.col(host)))
+    every, known = F.lit(True), F.col(host).isNotNull()
+    sets = {"all": (every, []), "job": (every, [job]), "host": (every, [host]), "host_job": (every, [host, job])}
+    sets |= {"domain": (known, ["_domain"]), "domain_job": (known, ["_domain", job]), "known": (known, [host]), "known_job": (known, [host, job])}
+    counts = count_close_pairs(rows, sets, time, order, minutes)
+    n = {s: F.coalesce(F.max(F.when(F.col("shape") == s, F.col("pairs"))), F.lit(0)) for s in sets}
+    one = counts.agg(*(c.alias(s) for s, c in n.items()))
+    same_host = F.col("host") - F.col("host_job")
+    same_domain = F.col("domain") - F.col("domain_job") - F.col("known") + F.col("known_job")
+    shapes = {"same_job": F.col("job"), "same_host": same_host, "same_domain": same_domain, "unrelated": F.col("all") - F.col("job") - same_host - same_domain}
+    flat = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("shape"), c.alias("pairs")) for s, c in shapes.items()))).alias("s"))
+    return flat.select("s.shape", "s.pairs").where("pairs > 0")
 
 
 def burst(failures: DataFrame, key: str, time: str, seconds: int = 3600) -> DataFrame:

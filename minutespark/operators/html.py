@@ -69,8 +69,15 @@ def is_empty_shell(html: Column, least: int = 200) -> Column:
     return F.length(visible_text(html)) < least
 
 
+#: What the body of a bot block says, and the most bytes of such a body (a long page may say it in prose).
+CHALLENGE, CHALLENGE_BYTES = ["errors.edgesuite.net", "access denied", "just a moment"], 2048
+
+
 def is_challenge(html: Column) -> Column:
-    return F.lower(html).rlike("captcha|attention required|access denied|just a moment")
+    says = F.lit(False)
+    for marker in CHALLENGE:
+        says = says | F.contains(F.lower(html), F.lit(marker))
+    return (F.length(html) <= CHALLENGE_BYTES) & says
 
 
 def title(html: Column) -> Column:

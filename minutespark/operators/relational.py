@@ -41,19 +41,27 @@ def keep_latest(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> D
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def band_pairs(df: DataFrame, time: str, order: str, minutes: int) -> DataFrame:
-    """All pairs of rows at most ``minutes`` apart (inclusive), earlier one first, as columns a_* and
-    b_*. Rows are dealt into bins of that width and met with their own and the next bin, so the
-    join is on equality; only pairs within the band are compared."""
+def count_close_pairs(df: DataFrame, sets: dict[str, tuple[Column, list[str]]], time: str, order: str, minutes: int) -> DataFrame:
+    """(shape, pairs): for each named set (a condition on the rows, and columns that the two have in common, nulls
+    included) the pairs of rows at most ``minutes`` apart (inclusive). Counted, not made: of the rows at or before a row, those
+    more than the band before it are subtracted, both from one running count. Rows are dealt by the columns and by bins of the
+    band's width, so no set is counted in one place, and the work is linear in the rows."""
     width = minutes * 60 * 1_000_000
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    base = df.withColumn("_us", micros).withColumn("_bin", F.floor(F.col("_us") / width))
-    a = base.select(*(F.col(c).alias(f"a_{c}") for c in base.columns))
-    b = base.withColumn("_bin", F.explode(F.array(F.col("_bin"), F.col("_bin") - 1)))
-    b = b.select(*(F.col(c).alias(f"b_{c}") for c in base.columns))
-    later = (F.col("b__us") > F.col("a__us")) | ((F.col("b__us") == F.col("a__us")) & (F.col(f"b_{order}") > F.col(f"a_{order}")))
-    pairs = a.join(b, (F.col("a__bin") == F.col("b__bin")) & later & (F.col("b__us") - F.col("a__us") <= width))
-    return pairs.drop("a__us", "b__us", "a__bin", "b__bin")
+    names = sorted({c for _, columns in sets.values() for c in columns})
+    every = [F.when(where, F.struct(F.lit(shape).alias("shape"), *((F.col(c) if c in columns else F.lit(None).cast(df.schema[c].dataType)).alias(f"k_{c}") for c in names))) for shape, (where, columns) in sets.items()]
+    rows = df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(order).alias("o"), F.explode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("k")).where("us is not null")
+    place = F.floor(F.col("us") / width)
+
+    def mark(bin_: Column, at: Column, kind: int) -> Column:
+        return F.struct(bin_.alias("bin"), at.alias("at"), F.lit(kind).alias("kind"))
+
+    # Kinds in the order in which they stand at the same time: where the band begins, a row of the bin before, an own row.
+    marks = rows.select("k.*", "o", F.explode(F.array(mark(place, F.col("us") - width, 0), mark(place + 1, F.col("us"), 1), mark(place, F.col("us"), 2))).alias("m")).select("*", "m.*")
+    keys = ["shape", *(f"k_{c}" for c in names), "bin"]
+    line = Window.partitionBy(*keys).orderBy("at", "kind", "o").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum(F.when(F.col("kind") > 0, 1).otherwise(0)).over(line)
+    counted = marks.select("shape", F.when(F.col("kind") == 0, -running).when(F.col("kind") == 2, running - 1).otherwise(0).alias("n"))
+    return counted.groupBy("shape").agg(F.sum("n").alias("pairs"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
@@ -71,12 +79,21 @@ def _struct_type(df: DataFrame, values: list[str]):
     return df.select(F.struct(*values).alias("v")).schema["v"].dataType
 
 
-def interleave(df: DataFrame, lane: str, *order: str) -> DataFrame:
-    """Spread each lane evenly over the whole: the i-th of n rows of a lane is at (i + 0.5) N / n."""
+def interleave(df: DataFrame, lane: str, order: str, parts: int = 64) -> DataFrame:
+    """Spread each lane evenly over the whole: the i-th of n rows of a lane (in order of the number ``order``) is at
+    (i + 0.5) N / n. Rows are numbered within ranges of ``order``, so that a lane is spread over many tasks, and the ranges'
+    sizes are added up; where the ranges lie changes no number."""
+    edges = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) or [0.0]
+    step = F.array_position(F.transform(F.lit(edges), lambda e: e <= F.col(order)), F.lit(False))  # 0: above all edges
+    cut = df.withColumn("_range", F.coalesce(F.when(step == 0, len(edges) + 1).otherwise(step), F.lit(0)).cast("int"))
+    sizes = cut.groupBy(lane, "_range").agg(F.count("*").alias("_size"))
     w = Window.partitionBy(lane)
-    sizes = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    before = F.sum("_size").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    sizes = sizes.select(F.col(lane).alias("_lane"), F.col("_range").alias("_of"), before.alias("_before"), F.sum("_size").over(w).alias("_n"))
+    numbered = cut.withColumn("_i", F.row_number().over(Window.partitionBy(lane, "_range").orderBy(order)) - 1)
+    both = numbered.join(sizes, F.col(lane).eqNullSafe(F.col("_lane")) & (F.col("_range") == F.col("_of")))
     total = df.count()
-    return sizes.withColumn("position", (F.col("_i") + 0.5) * F.lit(total) / F.col("_n")).drop("_i", "_n")
+    return both.withColumn("position", (F.col("_before") + F.col("_i") + 0.5) * F.lit(total) / F.col("_n")).drop("_i", "_n", "_range", "_of", "_lane", "_before")
 
 
 def diverse_examples(df: DataFrame, group: list[str], variety: str, preferred: Column, order: str, k: int) -> DataFrame:

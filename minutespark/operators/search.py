@@ -85,21 +85,73 @@ def vocabulary(texts: DataFrame, text_col: str, longest: int = 255) -> DataFrame
     return texts.select(F.explode(tokens(F.col(text_col))).alias("word")).where(F.length("word") <= longest).distinct()
 
 
-def expand(words: DataFrame, term: str, at_most: int = 1000) -> list[str]:
-    """Vocabulary words within the tolerance of ``term``, nearest first (an index lookup; its length
-    is bounded by ``at_most``, beyond which ``matches_fuzzily`` is the exact way)."""
+def near_words(words: DataFrame, term: str) -> DataFrame:
+    """Vocabulary words (column word) within the tolerance of ``term``, with their distance."""
     k = tolerance(len(term))
-    near = words.withColumn("distance", F.levenshtein("word", F.lit(term), k)).where("distance >= 0")
-    found = [r["word"] for r in near.orderBy("distance", "word").limit(at_most + 1).collect()]
-    if len(found) > at_most:
-        raise ValueError(f"more than {at_most} words are near {term!r}")
-    return found
+    return words.withColumn("distance", F.levenshtein("word", F.lit(term), k)).where("distance >= 0")
+
+
+def expand(words: DataFrame, term: str, at_most: int = 1000) -> list[str] | None:
+    """The near words, nearest first; null if there are more than ``at_most`` (``fuzzy_by_vocabulary`` goes another way then)."""
+    found = [r["word"] for r in near_words(words, term).orderBy("distance", "word").limit(at_most + 1).collect()]
+    return found if len(found) <= at_most else None
+
+
+def texts_containing(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """(id, term_id), once each: which texts contain which of ``terms`` (term_id, term) literally, in any case; blank terms match
+    nothing. All joins are on equality: a term's longest piece (between white space) lies within some piece of any text that
+    has the term, and which pieces of the vocabulary have it within them is found by their substrings of up to three
+    characters. Only texts with such a piece are compared with the term."""
+    def pieces(text: Column) -> Column:
+        return F.filter(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda p: p != "")
+
+    longest = F.array_max(F.transform(pieces(F.col("term")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    asked = terms.select("term_id", F.lower("term").alias("term"), longest.alias("piece")).where("piece is not null")
+    asked = asked.withColumn("gram", F.left("piece", F.lit(3)))
+    held = texts.select(F.col(id_col).alias("id"), F.explode(pieces(F.col(text_col))).alias("word"))
+    places = F.sequence(F.lit(1), F.length("word"))
+    grams = F.array_distinct(F.flatten(F.transform(F.lit([1, 2, 3]), lambda n: F.transform(places, lambda i: F.substring(F.col("word"), i, n)))))
+    vocabulary = held.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    words = vocabulary.join(asked.select("term_id", "piece", "gram").distinct(), "gram").where(F.contains("word", "piece")).select("term_id", "word").distinct()
+    pairs = held.join(words, "word").select("id", "term_id").distinct()
+    near = pairs.join(asked.select("term_id", "term"), "term_id").join(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("id").eqNullSafe(F.col("_id")))
+    return near.where(F.contains(F.lower("_text"), "term")).select("id", "term_id").distinct()
+
+
+def fuzzy_by_vocabulary(texts: DataFrame, id_col: str, text_col: str, q: Query, words: DataFrame, at_most: int = 1000) -> DataFrame:
+    """(id) of the texts that match in two stages: longer words by any near word of the vocabulary ``words``, as substrings. The near
+    words become one expression if they are few, and otherwise are joined to the texts that contain them."""
+    near = {w: expand(words, w, at_most) for w in q.words if tolerance(len(w))}
+    rest = {w: found for w, found in near.items() if found is not None}
+    many = [w for w, found in near.items() if found is None]
+    low = F.lower(text_col)
+    found = texts.where(matches_expanded(low, q, rest)).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    for w in many:
+        terms = near_words(words, w).select(F.col("word").alias("term_id"), F.col("word").alias("term"))
+        hits = texts_containing(found, "id", "_text", terms).select(F.col("id").alias("_hit")).distinct()
+        found = found.join(hits, F.col("id").eqNullSafe(F.col("_hit")), "left_semi")
+    return found.select("id")
+
+
+def find(texts: DataFrame, id_col: str, text_col: str, q: Query, fuzzy: bool = False, index: DataFrame | None = None, words: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """(path, ids of the hits) by the best path that is at hand: the stemmed index for plain words, the vocabulary for a fuzzy
+    query, and otherwise a scan of the texts, fuzzy or literal. Phrases and exclusions are literal, so they keep to the scan."""
+    if fuzzy:
+        if words is not None:
+            return "vocabulary", fuzzy_by_vocabulary(texts, id_col, text_col, q, words)
+        return "fuzzy_scan", texts.where(matches_fuzzily(F.lower(text_col), q)).select(F.col(id_col).alias("id"))
+    if index is not None and not (q.phrases or q.not_phrases or q.not_words):
+        return "index", stemmed_search(index, id_col, q).select(F.col(id_col).alias("id"))
+    return "scan", texts.where(matches_exactly(F.lower(text_col), q)).select(F.col(id_col).alias("id"))
 
 
 def matches_expanded(text: Column, q: Query, near: dict[str, list[str]]) -> Column:
-    """Two-stage form: short words are substrings, longer ones any of their vocabulary words."""
+    """Two-stage form: short words are substrings, longer ones any of their vocabulary words; a longer word that is not in ``near``
+    is left to the caller."""
     words = []
     for w in q.words:
+        if tolerance(len(w)) and w not in near:
+            continue
         options = [w] if tolerance(len(w)) == 0 else near[w]
         any_of = F.lit(False)
         for o in options:

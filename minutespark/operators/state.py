@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from minutespark.operators.folds import fold_in_order
+from minutespark.operators.search import texts_containing
 
 LEASE_MINUTES = 5
 FAILURES, RETRIES, RETRY_PRIORITY = 3, 3, 10
@@ -44,17 +47,31 @@ def transition(state: dict, ok: bool, at: float) -> dict:
 STATE = "job long, total long, done long, consecutive long, retries long, priority long, status string, next double"
 
 
-def run_jobs(results: DataFrame) -> DataFrame:
-    """Final state of each job from its results (job, total, priority, ok, at, id) in order."""
+_KINDS = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType()}
+
+
+class _Job:
+    """One job's state; the last one is the result."""
+
+    def __init__(self):
+        self.state: dict | None = None
+
+    def step(self, row: dict) -> list[tuple]:
+        if self.state is None:
+            self.job = row["job"]
+            self.state = {"total": row["total"], "done": 0, "consecutive": 0, "retries": 0, "priority": row["priority"], "status": "queued", "next": None}
+        self.state = transition(self.state, bool(row["ok"]), float(row["at"]))
+        return []
+
+    def finish(self) -> list[tuple]:
+        return [(self.job, *self.state.values())]
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        s = {"total": int(head["total"]), "done": 0, "consecutive": 0, "retries": 0, "priority": int(head["priority"]), "status": "queued", "next": None}
-        for r in pdf.sort_values(["at", "id"]).itertuples():
-            s = transition(s, bool(r.ok), float(r.at))
-        return pd.DataFrame([{"job": key[0], **s}])[[c.split()[0] for c in STATE.split(", ")]].astype({"next": "float64"})
 
-    return results.groupBy("job").applyInPandas(fold, STATE)
+def run_jobs(results: DataFrame) -> DataFrame:
+    """Final state of each job from its results (job, total, priority, ok, at, id) in order; a fold that holds one state, however
+    long a job's history is."""
+    schema = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in STATE.split(", "))])
+    return fold_in_order(results.select("job", "total", "priority", "ok", "at", "id"), "job", ["at", "id"], _Job, schema)
 
 
 def cooldowns(log: DataFrame, key: str, time: str, order: str, failed: Column, days: int = 1, most: int = 30) -> DataFrame:
@@ -67,11 +84,12 @@ def cooldowns(log: DataFrame, key: str, time: str, order: str, failed: Column, d
     return out.select(key, "streak", until.alias("until"))
 
 
-def new_matches(searches: DataFrame, docs: DataFrame, created: str) -> DataFrame:
+def new_matches(searches: DataFrame, docs: DataFrame, id_col: str, created: str) -> DataFrame:
     """Pairs of saved searches (search_id, term, cursor) and documents that came after the cursor
-    and contain the term. Searches are few and sent to all tasks."""
-    hit = F.contains(F.lower("text"), F.lower("term"))
-    return docs.join(F.broadcast(searches), (F.col(created) > F.col("cursor")) & hit)
+    and contain the term. Found by joins on equality (``search.texts_containing``), so searches may be many."""
+    hits = texts_containing(docs, id_col, "text", searches.select(F.col("search_id").alias("term_id"), "term"))
+    both = searches.join(hits.select(F.col("term_id").alias("search_id"), F.col("id").alias("_hit")), "search_id")
+    return docs.join(both, F.col(id_col).eqNullSafe(F.col("_hit")) & (F.col(created) > F.col("cursor")) & F.contains(F.lower("text"), F.lower("term"))).drop("_hit")
 
 
 def advance(searches: DataFrame, sent: DataFrame) -> DataFrame:
@@ -92,15 +110,32 @@ def plan_batch(items: DataFrame, lane: str, order: str, ready: DataFrame, size:
     return first.orderBy(order).limit(size)
 
 
-def throttle(rows: DataFrame, key: str, time: str, order: str, seconds: float) -> DataFrame:
-    """Rows that pass when one is let through only ``seconds`` after the last that was (a greedy fold)."""
-    item = F.struct(F.col(time).alias("t"), F.col(order).alias("o"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("w"))
-    kind = lists.schema["w"].dataType.simpleString()
-    zero = F.struct(F.array().cast(kind).alias("kept"), F.lit(None).cast("double").alias("last"))
+def resumed(jobs: DataFrame, checkpoints: DataFrame, key: str, seconds: float = 1.0) -> DataFrame:
+    """``jobs`` (key, chunk_size, chunks, duration) with done: the checkpoint's progress if it was taken of the same work (equal chunk
+    size and count, duration within ``seconds``), else 0."""
+    c = checkpoints.select(F.col(key).alias("_key"), *(F.col(x).alias(f"_{x}") for x in ("chunk_size", "chunks", "duration", "done")))
+    fits = (F.col("chunk_size") == F.col("_chunk_size")) & (F.col("chunks") == F.col("_chunks")) & (F.abs(F.col("duration") - F.col("_duration")) <= seconds)
+    both = jobs.join(c, F.col(key) == F.col("_key"), "left")
+    return both.select(*jobs.columns, F.coalesce(F.when(fits, F.col("_done")), F.lit(0).cast("long")).alias("done"))
+
+
+class _Throttle:
+    def __init__(self, seconds: float):
+        self.seconds, self.last = seconds, None
 
-    def step(acc: Column, x: Column) -> Column:
-        passes = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds)
-        return F.struct(F.when(passes, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"), F.when(passes, x["t"]).otherwise(acc["last"]).alias("last"))
+    def step(self, row: dict) -> list[tuple]:
+        if row["t"] is None or (self.last is not None and row["t"] - self.last < self.seconds):
+            return []
+        self.last = row["t"]
+        return [(row["key"], row["o"])]
 
-    return lists.select(key, F.explode(F.aggregate("w", zero, step, lambda acc: acc["kept"])).alias("_kept")).select(key, F.col("_kept.o").alias(order))
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def throttle(rows: DataFrame, key: str, time: str, order: str, seconds: float) -> DataFrame:
+    """(key, order) of the rows that pass when one is let through only ``seconds`` after the last that was (a greedy fold that holds
+    one time). Rows without a time do not pass."""
+    slim = rows.select(F.col(key).alias("key"), F.col(time).cast("double").alias("t"), F.col(order).alias("o"))
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField(order, rows.schema[order].dataType)])
+    return fold_in_order(slim, "key", ["t", "o"], lambda: _Throttle(seconds), schema)

@@ -2,6 +2,7 @@
 
 from minutespark.plans import (  # noqa: F401
     failure_queries,
+    file_queries,
     html_queries,
     relational_queries,
     scalar_queries,

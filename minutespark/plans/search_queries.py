@@ -47,8 +47,7 @@ n AS (SELECT word FROM v WHERE levenshtein(word, 'thatt') <= 1 AND length(word)
 SELECT DISTINCT d.doc_id FROM documents d JOIN n ON contains(lower(d.text), n.word)""")
 def txt8_vocabulary_fuzzy(t: Tables):
     q = search.parse_query("thatt")
-    near = {w: search.expand(search.vocabulary(t.documents, "text"), w) for w in q.words}
-    return t.documents.where(search.matches_expanded(F.lower("text"), q, near)).select("doc_id")
+    return search.fuzzy_by_vocabulary(t.documents, "doc_id", "text", q, search.vocabulary(t.documents, "text")).withColumnRenamed("id", "doc_id")
 
 
 @query("""
@@ -152,3 +151,21 @@ def jn15_vocabulary_similarity(t: Tables):
     pairs = left.join(right, "key").select("probe", "word").distinct()
     near = pairs.withColumn("distance", F.levenshtein("word", "probe", 1)).where("distance >= 0")
     return near.select("probe", "word", F.col("distance").cast("long").alias("distance"))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents),
+n AS (SELECT word FROM v WHERE levenshtein(word, 'thatt') <= 1 AND length(word) <= 255)
+SELECT 'scan' AS path, doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with')
+UNION ALL SELECT DISTINCT 'vocabulary', d.doc_id FROM documents d JOIN n ON contains(lower(d.text), n.word)
+UNION ALL SELECT DISTINCT 'fuzzy_scan', doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents) JOIN n USING (word)""")
+def txt11_path_selection(t: Tables):
+    """Which path a search takes, by what is at hand and whether it is fuzzy, and what it finds."""
+    plain, typo = search.parse_query("the with"), search.parse_query("thatt")
+    words = search.vocabulary(t.documents, "text")
+    taken = [search.find(t.documents, "doc_id", "text", plain), search.find(t.documents, "doc_id", "text", typo, fuzzy=True, words=words), search.find(t.documents, "doc_id", "text", typo, fuzzy=True)]
+    out = None
+    for path, ids in taken:
+        rows = ids.select(F.lit(path).alias("path"), F.col("id").alias("doc_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -49,6 +49,14 @@ def seg5_hallucination(t: Tables):
     return seg.hallucination_flags(rows(t), "conv_id", "turn")
 
 
+@query()
+def seg8_audit(t: Tables):
+    """Conversations with a label count as transcribed; the second page of twenty unflagged ones, and all flagged ones."""
+    jobs = t.labels.select(F.col("doc_id").alias("job")).distinct()
+    versions = t.conversations.select("conv_id").distinct().join(jobs, F.col("conv_id") == F.col("job"), "left")
+    return seg.audit(rows(t), "conv_id", "turn", versions, 1, 20)
+
+
 @query()
 def win9_repetition_runs(t: Tables):
     return seg.repetition_runs(rows(t), "conv_id", "turn")
@@ -57,8 +65,10 @@ def win9_repetition_runs(t: Tables):
 @query()
 def seg9_rollup_dedupe(t: Tables):
     """Rolling captions made from the texts' words, twelve at a time with six repeated, and back."""
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    parts = t.documents.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 6).cast("int")), lambda i: F.array_join(F.slice(words, i * 6 + 1, 12), " "))).alias("pos", "text"))
+    words = F.array(F.split(F.regexp_replace("text", r"\s+", " "), " "))
+    # Bound by the outer lambda, a text's words are split once and not for every cue.
+    each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 6).cast("int")), lambda i: F.array_join(F.slice(w, i * 6 + 1, 12), " ")))
+    parts = t.documents.select("doc_id", F.posexplode(F.get(each, F.lit(0))).alias("pos", "text"))
     cues = parts.select("doc_id", "pos", F.col("pos").cast("double").alias("start"), (F.col("pos") + 1).cast("double").alias("end"), "text")
     return seg.dedupe_rollup_tracks(cues, "doc_id", "pos")
 
@@ -175,7 +185,7 @@ SELECT a.conv_id, a.turn, a.start, (SELECT min_by(b.start, b.turn) FROM c b WHER
 def win6_clip_ends(t: Tables):
     """The end of a clip is the first later start that is larger."""
     c = t.conversations.select("conv_id", "turn", ((F.col("turn") * 7 % 5) * 10.0).cast("double").alias("start"))
-    return c.withColumn("finish", seg.next_larger_start(c, "conv_id", "turn", "start"))
+    return c.join(seg.next_larger_start(c, "conv_id", "turn", "start", "finish"), ["conv_id", "turn"])
 
 
 @query()
@@ -276,10 +286,7 @@ def seg22_transcript_blocks(t: Tables):
 
 @query("SELECT p_partkey, string_split(p_name, ' ') AS parts FROM part")
 def str19_word_segmentation(t: Tables):
-    """Part names without their space, taken apart by the words of part names (a short list)."""
+    """Part names without their space, taken apart by the words of part names."""
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    if words.count() > 10_000:
-        raise ValueError("the list of known words must be short")
-    known = [r["w"] for r in words.collect()]
     joined = t.part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("label"))
-    return seg.segment_words(joined, known, "label").select("p_partkey", "parts")
+    return seg.segment_words(joined, words, "label", "w").select("p_partkey", "parts")

@@ -59,11 +59,13 @@ def stm5_cooldown(t: Tables):
 
 
 @query("""
-SELECT item_id AS search_id, count(*) AS matches, max(doc_id) AS newest FROM (SELECT item_id, left(text, 5) AS term, item_id * 10 AS cursor FROM benchmark WHERE item_id < 10) s JOIN documents ON doc_id > cursor AND contains(lower(text), lower(term)) GROUP BY 1""")
+SELECT item_id AS search_id, count(*) AS matches, max(doc_id) AS newest FROM (SELECT item_id, array_to_string(string_split(text, ' ')[3:5], ' ') AS term, item_id % 10 AS cursor FROM benchmark) s
+JOIN documents ON doc_id > cursor AND contains(lower(text), lower(term)) WHERE trim(term) <> '' GROUP BY 1""")
 def stm6_alerts(t: Tables):
-    """Matches of saved searches since their cursors."""
-    searches = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("search_id"), F.left("text", F.lit(5)).alias("term"), (F.col("item_id") * 10).alias("cursor"))
-    return st.new_matches(searches, t.documents, "doc_id").groupBy("search_id").agg(F.count("*").alias("matches"), F.max("doc_id").alias("newest"))
+    """Matches of saved searches since their cursors; every benchmark item saves a phrase of its three words from the third on."""
+    phrase = F.array_join(F.slice(F.split("text", " "), 3, 3), " ")
+    searches = t.benchmark.select(F.col("item_id").alias("search_id"), phrase.alias("term"), (F.col("item_id") % 10).alias("cursor"))
+    return st.new_matches(searches, t.documents, "doc_id", "doc_id").groupBy("search_id").agg(F.count("*").alias("matches"), F.max("doc_id").alias("newest"))
 
 
 @query("SELECT user_id, CASE WHEN min(ts) FILTER (event_type = 'signup') IS NOT NULL THEN min(ts) FILTER (event_type = 'signup') ELSE TIMESTAMP '2024-01-30' END AS cursor FROM events GROUP BY 1")

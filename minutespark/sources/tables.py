@@ -38,7 +38,8 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes within values are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -46,11 +47,18 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite a table that ``df`` itself may read: written beside it first, then swapped in by a
-    second write, so that readers never see a mixture from a failed first one."""
+    """Put ``df``, which may read the table itself, in the place of a table: written beside it first, then two renames swap the folders.
+    If it fails before them the table is as it was; between them the old rows are beside it."""
     spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
+    beside, before = (f"{path}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
     df.write.parquet(beside)
-    fresh = spark.read.parquet(beside)
-    fresh.write.mode("overwrite").parquet(path)
+    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, before))
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(at) and not files.rename(at, old):
+        raise OSError(f"could not move {path}")
+    if not files.rename(new, at):
+        files.rename(old, at)
+        raise OSError(f"could not move {beside}")
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutespark.operators.state import STATE, transition
+from minutespark.operators.state import STATE, new_matches, transition
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/minutespark/{name}-{uuid.uuid4().hex}"
 
 
@@ -90,6 +95,6 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
     return best.select(key, "s.*")
 
 
-def alerts(docs: DataFrame, searches: DataFrame, created: Column) -> DataFrame:
-    """Stream-static join: documents as they come against few saved searches."""
-    return docs.join(F.broadcast(searches), F.contains(F.lower("text"), F.lower("term")) & (created > F.col("cursor")))
+def alerts(docs: DataFrame, searches: DataFrame, id_col: str, created: str) -> DataFrame:
+    """Documents as they come against saved searches: each batch is matched like the batch form; (search_id, id)."""
+    return run(docs, "alerts", each=lambda df, _: new_matches(searches, df, id_col, created).select("search_id", id_col))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -46,17 +47,111 @@ def test_seams(spark):
     assert [r["text"] for r in merged.orderBy("chunk", "pos").collect()] == [" ".join(words), "then"]
 
 
-def test_rollup_captions():
+CUE = "conv_id long, turn long, start double, end double, text string"
+
+
+def deduped(spark, cues, track=1):
+    data = [(track, i, *c) for i, c in enumerate(cues)]
+    return [(r["start"], r["end"], r["text"]) for r in seg.dedupe_rollup_tracks(spark.createDataFrame(data, CUE), "conv_id", "turn").orderBy("pos").collect()]
+
+
+def plain_lap(tail, head):
+    return max((k for k in range(1, min(len(tail), len(head)) + 1) if tail[-k:] == head[:k]), default=0)
+
+
+def test_lap_is_the_longest_common_end_and_head():
+    rng = random.Random(2)
+    for _ in range(3000):
+        tail, head = ([rng.choice("ab") for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        assert seg.lap(tail, head) == plain_lap(tail, head), (tail, head)
+
+
+def plain_dedupe(cues):
+    """The rules as SURVEY A15 has them, over a whole track at once."""
+    strip = lambda ws: [w.casefold().replace("»", ">>").rstrip(".,;:!?\"')]") for w in ws]
+    texts = [re.sub("<[^>]*>", "", t or "") for _, _, t in cues]
+    lines = [(s, e, x.split(), i == n - 1) for (s, e, _), t in zip(cues, texts) for n in [len([x for x in t.split("\n") if x.strip()])] for i, x in enumerate(x for x in t.split("\n") if x.strip())]
+    pairs = [(strip(a[2]), strip(b[2])) for a, b in zip(lines, lines[1:])]
+    hits = sum(len(" ".join(b[: plain_lap(a, b)])) >= 4 for a, b in pairs)
+    if len(pairs) < 2 or hits / len(pairs) < 0.2:
+        return [(s, e, t) for (s, e, _), t in zip(cues, texts)]
+    segments, context, is_open = [], [], False
+    for s, e, words, last in lines:
+        k = plain_lap(strip(context), strip(words))
+        context = (context + words[k:])[-40:]
+        if k == len(words):
+            if segments:
+                own = segments[-1]
+                own[1] = max(own[1], e) if last else own[1]
+                if strip(own[2][-k:]) == strip(words) and len(" ".join(words)) > len(" ".join(own[2][-k:])):
+                    own[2][-k:] = words
+                is_open = is_open and not re.search(r"[.!?][\"')\]]*$", " ".join(own[2]))
+            continue
+        if k == 0 or not is_open:
+            segments.append([s, e, []])
+        segments[-1][2] += words[k:]
+        segments[-1][1] = max(segments[-1][1], e)
+        text = " ".join(segments[-1][2])
+        is_open = not re.search(r"[.!?][\"')\]]*$", text) and len(text) < 240
+    return [(s, max(s, e), " ".join(w)) for s, e, w in segments]
+
+
+def test_rollup_captions(spark):
     words = [f"word{i}" for i in range(60)]
     words[19] += "."
-    cues = [(float(i), i + 1.0, f"{' '.join(words[i * 4 : i * 4 + 4])}\n{' '.join(words[i * 4 + 4 : i * 4 + 8])}") for i in range(14)]
-    out = seg.dedupe_rollup(cues)
+    rolling = [(float(i), i + 1.0, " ".join(words[i * 4 : i * 4 + 8])) for i in range(14)]
+    out = deduped(spark, rolling)
     assert " ".join(t for _, _, t in out).split() == words
-    assert out[0][2].endswith("word19.")
-    assert all(e >= s for s, e, _ in out)
+    assert out[0][2].endswith("word19.") and all(e >= s for s, e, _ in out)
     plain = [(0.0, 1.0, "<i>a</i> line"), (1.0, 2.0, "another thing"), (2.0, 3.0, "a third one")]
-    assert seg.dedupe_rollup(plain) == [(0.0, 1.0, "a line"), (1.0, 2.0, "another thing"), (2.0, 3.0, "a third one")]
-    assert seg.dedupe_rollup([]) == []
+    assert deduped(spark, plain) == [(0.0, 1.0, "a line"), (1.0, 2.0, "another thing"), (2.0, 3.0, "a third one")]
+
+
+def test_a_resettled_line_completes_the_last_word(spark):
+    """A stub, then the same with its full stop, which also ends the segment."""
+    cues = [(0.0, 1.0, "PLEASE STAND FOR"), (1.0, 2.0, "STAND FOR A MOMENT OF"), (2.0, 3.0, "MOMENT OF REFLECTION"), (3.0, 4.0, "REFLECTION."), (4.0, 5.0, "REFLECTION. Thank you"), (5.0, 4.5, "Thank you all")]
+    assert deduped(spark, cues) == [(0.0, 4.0, "PLEASE STAND FOR A MOMENT OF REFLECTION."), (4.0, 5.0, "Thank you all")] == plain_dedupe(cues)
+
+
+def test_random_rollups_against_the_rules(spark):
+    rng = random.Random(6)
+    tracks, expected = [], {}
+    for track in range(60):
+        said = [rng.choice(["a", "bb.", "ccc", "»", "dd,", "E!", "ff"]) + rng.choice(["", "", str(rng.randrange(3))]) for _ in range(80)]
+        step, width = rng.choice([(2, 4), (3, 3), (4, 8), (1, 3)])
+        cues = [(float(i), i + rng.choice([-0.5, 1.0]), rng.choice(["", "\n", "<b>"]).join([" ".join(said[i * step : i * step + width]), rng.choice(["", "", " x\ny"])])) for i in range(12)]
+        tracks += [(track, i, *c) for i, c in enumerate(cues)]
+        expected[track] = plain_dedupe(cues)
+    got = {}
+    for r in seg.dedupe_rollup_tracks(spark.createDataFrame(tracks, CUE), "conv_id", "turn").orderBy("conv_id", "pos").collect():
+        got.setdefault(r["conv_id"], []).append((r["start"], r["end"], r["text"]))
+    assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_next_larger_start_against_brute_force(spark):
+    rng = random.Random(1)
+    data = [(k, i, float(rng.randrange(6)) if rng.random() < 0.9 else None) for k in (1, 2, None) for i in range(60)]
+    got = {(r["k"], r["o"]): r["f"] for r in seg.next_larger_start(spark.createDataFrame(data, "k long, o long, s double"), "k", "o", "s", "f").collect()}
+    for k, o, s in data:
+        later = [x for kk, oo, x in data if kk == k and oo > o and x is not None and s is not None and x > s]
+        assert got[k, o] == (later[0] if later else None)
+
+
+def test_labels_are_split_into_the_fewest_words(spark):
+    vocabulary = spark.createDataFrame([(w,) for w in ("a", "ab", "abc", "c", "cd", "d", "b")], "w string")
+    labels = spark.createDataFrame([(1, "abcd"), (2, "abx"), (3, ""), (4, None), (5, "aab")], "id long, label string")
+    assert {r["id"]: r["parts"] for r in seg.segment_words(labels, vocabulary, "label", "w").collect()} == {1: ["ab", "cd"], 2: None, 3: None, 4: None, 5: ["a", "ab"]}
+
+
+def test_seam_words_against_the_rule():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        b[: rng.randrange(0, 12)] = a[-rng.randrange(1, 14) :]
+        rule = next((n for n in range(min(len(a), len(b), 160), 5, -1) if SequenceMatcher(None, a[-n:], b[:n], autojunk=False).ratio() >= 0.7), 0)
+        assert seg.seam_words(a, b) == rule
 
 
 def test_groups_from_the_first_word(spark):
