@@ -13,13 +13,15 @@ n bytes has some 2 n / 112 blocks, so this dictionary and parse are all that is
 
 * A core that occurs once rules its block out (most of a corpus ends here).
 * A block that occurs twice removes all its bytes.
-* A core with several distinct blocks is where a repeat begins or ends. The suffixes of that
-  dictionary entry are compared byte by byte position: strings of the distinct blocks of a core,
-  one occurrence each, are put in order of their 128-bit fingerprints and equal neighbours match.
+* A core with several distinct blocks is where a repeat begins or ends. The distinct blocks of such cores, one occurrence each, are the
+  dictionary. It is dealt into shards by core, and each shard gets a suffix array to depth ``length`` (exact, by prefix
+  doubling over its bytes); neighbours that agree to that depth match.
 
-This is prefix-free parsing with one liberty: since only equality at a fixed depth is asked,
-suffixes are ordered by fingerprints within a core, not lexically over the corpus, which needs
-no row per byte. Blocks are compared by 128-bit fingerprints.
+A block is made so long that every string of ``length`` bytes lies in one. So the order of suffixes is settled within the
+dictionary at the depth that is asked for, and of the parse only equal symbols are needed (a group-by), not its suffix array: that
+one would order suffixes beyond ``length``. Suffixes of unique cores are left out of the dictionary, since nothing can equal
+them. Cores with more than ``LOCAL_BLOCKS`` distinct blocks do not fit a shard; their strings are matched over the cluster by
+128-bit fingerprints. Blocks are told apart by 128-bit fingerprints.
 
 Nulls: a null text is empty; null ids are kept. Repeated rows repeat each other's strings.
 Extra columns are ignored.
@@ -171,18 +173,32 @@ def _cut(length: int):
     return run
 
 
-def _strings(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, block number and offset of all strings of a batch's blocks."""
+def _starts(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a batch's blocks side by side, and of every string of ``length`` bytes its place, block and offset."""
     column = batch.column("string").cast(pa.large_binary())
     offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     buf = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-    offs = offs - offs[0]
-    prefixes = Prefixes(buf)
     count = np.diff(offs) - length + 1
     block = np.repeat(np.arange(len(column)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = offs[:-1][block] + inner
-    return prefixes.of(0, start, start + length), prefixes.of(1, start, start + length), block, inner
+    return buf, offs[block] - offs[0] + inner, block, inner
+
+
+def suffix_array(buf: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at ``start`` in lexicographic order of their first ``length`` bytes, and whether each agrees in all of
+    them with the one before it. By prefix doubling from ranks of eight bytes; two overlapping halves give the last
+    step, so no byte beyond ``length`` counts."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buf),), ">u8", padded, 0, (1,))
+    rank, depth = np.unique(words, return_inverse=True)[1], 8
+    while depth * 2 <= length:
+        behind = np.concatenate([rank[depth:], np.zeros(min(depth, len(rank)), np.int64)])
+        rank, depth = np.unique(rank * (int(rank.max()) + 1) + behind, return_inverse=True)[1], depth * 2
+    head, tail = rank[start], rank[start + length - depth]
+    order = np.lexsort((tail, head))
+    same = np.zeros(len(order), bool)
+    same[1:] = (head[order[1:]] == head[order[:-1]]) & (tail[order[1:]] == tail[order[:-1]])
+    return order, same
 
 
 def _runs(batch: pa.RecordBatch, block: np.ndarray, inner: np.ndarray) -> pa.RecordBatch:
@@ -206,11 +222,8 @@ def _match(length: int):
             _, once = np.unique(keys, axis=0, return_index=True)
             if len(once) < batch.num_rows:
                 batch = batch.take(pa.array(np.sort(once)))
-            one, two, block, inner = _strings(batch, length)
-            order = np.lexsort((two, one))
-            same = np.zeros(len(order), bool)
-            a, b = one[order], two[order]
-            same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            buf, start, block, inner = _starts(batch, length)
+            order, same = suffix_array(buf, start, length)
             same[:-1] |= same[1:]
             hit = order[same]
             if len(hit):
@@ -242,7 +255,9 @@ def _explode(length: int):
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                one, two, block, inner = _strings(batch, length)
+                buf, start, block, inner = _starts(batch, length)
+                prefixes = Prefixes(buf)
+                one, two = (prefixes.of(which, start, start + length) for which in (0, 1))
                 keys = [batch.column(c).take(pa.array(block)) for c in ("core", "b1", "b2")]
                 yield pa.RecordBatch.from_arrays([pa.array(tk.signed(one)), pa.array(tk.signed(two)), *keys, pa.array(inner)], names=["w1", "w2", "core", "b1", "b2", "begin"])
 

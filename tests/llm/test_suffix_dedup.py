@@ -49,3 +49,26 @@ def test_awkward_rows(spark):
     assert sd.remove_repeats(empty(spark)).count() == 0
     with pytest.raises(ValueError, match="at least"):
         sd.remove_repeats(frame(spark), length=100)
+
+
+def test_suffix_array_is_lexicographic():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for length in (256, 400, 511):
+        for letters in (2, 250):
+            part = rng.integers(0, letters, 900).astype(np.uint8)
+            buf = np.concatenate([part, part[100:800], part])
+            start = rng.permutation(len(buf) - length + 1)[:700]
+            order, same = sd.suffix_array(buf, start, length)
+            strings = [buf[s : s + length].tobytes() for s in start[order]]
+            assert strings == sorted(strings)
+            assert same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+
+
+def test_strings_that_collide_under_polynomials_stay(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word[:1200], word.translate(str.maketrans("ab", "ba"))[:1200], "x" + word[:700]]
+    assert run(spark, texts, 400) == sd.brute_force([t.encode() for t in texts], 400)
