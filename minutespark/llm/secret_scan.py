@@ -7,8 +7,8 @@ assigned value, or a 40-character key-like token). They are reported when a comp
 lies in the same scope, that is within ``SCOPE`` code points: a weak secret beside an identifier or an
 endpoint (a URL or host), an identifier beside a secret of any kind.
 
-The interval join is a sweep: in order of start, the furthest end of complementary parts so far and the
-nearest start of those to come decide, which is linear in a text's parts. Only parts are shuffled, never texts.
+The interval join is a sweep: in order of start, the complementary part that reaches furthest so far and the
+next of those to come decide, which is linear in a text's parts; the nearer one is the link. Only parts are shuffled, never texts.
 
 Nulls: a null text is empty; null ids are kept. Repeated rows each give a row. Extra columns are ignored.
 """
@@ -37,7 +37,8 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "id": 3, "weak": 4}
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id, text_hash, spans (array of start, order, kind, end; sorted) and base (its strong ones)."""
+    """doc_id, text_hash, spans (array of start, order, kind, end, linked; sorted) and base (its strong ones). ``linked`` of a weak part is
+    the complementary part that completes it (kind, start, end): the nearest, and of two equally near ones that before it."""
     parts = matches(docs, id_col, text_col, PATTERNS)
     short = (F.col("kind") == "assign") & (F.length("value") < 12)
     kind = F.when(short & (F.length("value") >= 6), F.lit("weak")).when(short, F.lit(None)).otherwise(F.col("kind"))
@@ -47,15 +48,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def beside(kinds: list[str]):
         mine = F.col("kind").isin(kinds)
-        gap_before = F.col("start") - F.max(F.when(mine, F.col("end"))).over(before)
-        gap_after = F.min(F.when(mine, F.col("start"))).over(after) - F.col("end")
-        return F.coalesce(gap_before <= scope, F.lit(False)) | F.coalesce(gap_after <= scope, F.lit(False))
+        last = F.max(F.when(mine, F.struct("end", "start", "kind"))).over(before)
+        following = F.min(F.when(mine, F.struct("start", "end", "kind"))).over(after)
+        near = [(F.col("start") - last["end"], last), (following["start"] - F.col("end"), following)]
+        options = [F.when(gap <= scope, F.struct(gap.alias("gap"), F.lit(i).alias("i"), p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))) for i, (gap, p) in enumerate(near)]
+        return F.least(*options)
 
-    near_id, near_secret = beside(["id", "access", "endpoint"]), beside(["assign", "hex", "weak"])
-    linked = parts.select("*", near_id.alias("near_id"), near_secret.alias("near_secret"))
-    keep = F.col("kind").isin(BASE) | ((F.col("kind") == "weak") & F.col("near_id")) | ((F.col("kind") == "id") & F.col("near_secret"))
+    of_id, of_secret = beside(["id", "access", "endpoint"]), beside(["assign", "hex", "weak"])
+    linked = parts.select("*", F.when(F.col("kind") == "weak", of_id).when(F.col("kind") == "id", of_secret).alias("link"))
+    keep = F.col("kind").isin(BASE) | F.col("link").isNotNull()
     order = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))[F.col("kind")]
-    span = F.when(keep, F.struct("start", order.alias("order"), "kind", "end"))
+    link = F.when(F.col("link").isNotNull(), F.struct("link.kind", "link.start", "link.end"))
+    span = F.when(keep, F.struct("start", order.alias("order"), "kind", "end", link.alias("linked")))
     found = linked.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return found.select("doc_id", "text_hash", "spans", F.filter("spans", lambda s: s["order"] < len(BASE)).alias("base"))
 

@@ -176,3 +176,22 @@ def test_redaction_of_long_texts_with_many_spans(spark):
     expected = {hashes[r["text_hash"]]: plain(hashes[r["text_hash"]], r["spans"]) for r in found if r["text_hash"] in hashes}
     assert sorted(got, key=str) == sorted((expected.get(t, t) for t in given), key=str)
     assert any("[SECRET]" in (t or "") and len(t) > 100_000 for t in got)
+
+
+def test_weak_parts_name_what_completes_them(spark):
+    """Against all pairs of parts; a part alone, or one that its complement is too far from, is not reported."""
+    rng = random.Random(12)
+    pieces = ["user: bob ", "token=abc123x ", "AKIA" + "A1" * 8 + " ", "deadbeef" * 3 + " ", "https://host.example.org/x ", "w " * 60, "word "]
+    given = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 9))) for _ in range(150)] + ["user: bob", "token=abc123x"]
+    forms = {"id": r"user: (bob)", "weak": r"token=abc123x", "access": r"AKIA[A1]{16}", "hex": r"[0-9a-f]{16,}", "endpoint": r"https?://\S+"}
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(frame(spark, rows_of(given))).collect()}
+    for i, t in enumerate(given):
+        parts = [(m.start(), m.end(), k) for k, p in forms.items() for m in re.finditer(p, t)]
+        expected = {}
+        for start, end, kind in parts:
+            wanted = {"weak": ("id", "access", "endpoint"), "id": ("hex", "weak")}.get(kind, ())
+            gaps = sorted((start - e if e <= start else s - end, e > start, k, s, e) for s, e, k in parts if k in wanted)
+            if gaps and gaps[0][0] <= secret_scan.SCOPE:
+                expected[kind, start, end] = gaps[0][2:]
+        assert {(s["kind"], s["start"], s["end"]): tuple(s["linked"]) for s in got[i] if s["linked"]} == expected
+    assert not got[150] and not got[151]
