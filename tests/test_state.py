@@ -145,3 +145,24 @@ def test_replace_swaps_the_table(spark, tmp_path):
     spark.range(10).write.parquet(path)
     got = tables.replace(spark.read.parquet(path).where("id > 6"), path)
     assert sorted(r["id"] for r in got.collect()) == [7, 8, 9] and os.listdir(tmp_path) == ["t"]
+
+
+def test_streamed_alerts_are_those_of_the_batch(spark, tmp_path):
+    from minutespark.streaming import streams
+
+    docs = [(4, "budget"), (6, "The BUDGET"), (9, "budget roads")]
+    spark.createDataFrame(docs, "created long, text string").write.parquet(f"{tmp_path}/docs")
+    searches = spark.createDataFrame([(1, "budget", 5), (2, "roads", 5)], "search_id long, term string, cursor long")
+    stream = spark.readStream.schema("created long, text string").parquet(f"{tmp_path}/docs")
+    got = streams.alerts(stream, searches, "created", "created")
+    assert {(r["search_id"], r["created"]) for r in got.collect()} == {(1, 6), (1, 9), (2, 9)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from minutespark.streaming import streams
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        streams.work_folder(spark, "x")
