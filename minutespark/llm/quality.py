@@ -282,8 +282,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows that pass, unchanged. Each row is judged by its own statistics, which are written down beside it."""
+    """The rows that pass, unchanged. The statistics are computed again for the filter, which costs less disk than to write
+    the texts down beside them, and judges each row by its own text, whatever its id."""
     rows, (text, lang_, source_) = neutral(docs, text_col, lang, source)
-    stats = materialize(with_statistics(rows, text), "quality")
-    judged = judge(stats, *fit(stats, lang_, source_, min_group), lang_, source_, min_group)
+    stats = materialize(with_statistics(rows.select(text, lang_, source_), text, keep_text=False), "quality")
+    judged = judge(with_statistics(rows, text), *fit(stats, lang_, source_, min_group), lang_, source_, min_group)
     return judged.where("kept").select(*rows.columns).toDF(*docs.columns)
