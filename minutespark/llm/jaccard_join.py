@@ -192,7 +192,9 @@ def _describe(k: int):
 
 
 def _sign(k: int, num: int, den: int, bits: int):
-    """sig, cls (the row) and facts of each signature: one number that holds spare + 1, unit and weight."""
+    """cls (the row), sig and facts of each signature: one number that holds spare + 1, unit and weight. What differs from row to row, the
+    leading ``bits`` of sig and the low bytes of facts, lies side by side, where the shuffle's compression takes it as one piece."""
+    mask = ~U((1 << (64 - bits)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +203,7 @@ def _sign(k: int, num: int, den: int, bits: int):
                 h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
                 found = signatures(h, d, hi - lo, num, den)
                 facts = (found.spare + 1) << 32 | found.unit << 2 | found.weight
-                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(found.key >> U(64 - bits))), rows.take(pa.array(found.owner + lo)), pa.array(facts)], names=["sig", "cls", "facts"])
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(found.owner + lo)), pa.array(tk.signed(found.key & mask)), pa.array(facts)], names=["cls", "sig", "facts"])
 
     return run
 
@@ -283,7 +285,7 @@ def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(64, -(-(int(tokens).bit_length() + SPARE_BITS) // 8) * 8)
-    index = own.mapInArrow(_sign(k, num, den, bits), "sig long, cls long, facts long")
+    index = own.mapInArrow(_sign(k, num, den, bits), "cls long, sig long, facts long")
     unit, weight, spare = F.shiftright(F.col("facts").bitwiseAND((1 << 32) - 1), 2).cast("int"), F.col("facts").bitwiseAND(3).cast("int"), (F.shiftright("facts", 32) - 1).cast("int")
     shared = _without_singles(index).select("sig", "cls", unit.alias("unit"), weight.alias("weight"), spare.alias("spare"), "low", "others")
     shared = materialize(shared, "jaccard-buckets")
