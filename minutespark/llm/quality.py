@@ -282,9 +282,13 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows that pass, unchanged. The statistics are computed again for the filter, which costs less disk than to write
-    the texts down beside them, and judges each row by its own text, whatever its id."""
+    """The rows that pass, unchanged. A verdict depends on a row's text, language and source alone, so what is rejected is looked up by
+    them (the text by its 128-bit hash); each text goes to Python once, and none is written down."""
     rows, (text, lang_, source_) = neutral(docs, text_col, lang, source)
-    stats = materialize(with_statistics(rows.select(text, lang_, source_), text, keep_text=False), "quality")
-    judged = judge(with_statistics(rows, text), *fit(stats, lang_, source_, min_group), lang_, source_, min_group)
-    return judged.where("kept").select(*rows.columns).toDF(*docs.columns)
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    slim = rows.select(F.col(text).alias("text"), F.col(lang_).cast("string").alias("lang"), F.col(source_).cast("string").alias("source"), key.alias("key"))
+    stats = materialize(with_statistics(slim, "text", keep_text=False), "quality")
+    judged = judge(stats, *fit(stats, "lang", "source", min_group), "lang", "source", min_group)
+    gone = materialize(judged.where("not kept").select(*(F.col(c).alias(f"_{c}") for c in ("key", "lang", "source"))).distinct(), "rejected")
+    same = (key == F.col("_key")) & F.col(lang_).cast("string").eqNullSafe(F.col("_lang")) & F.col(source_).cast("string").eqNullSafe(F.col("_source"))
+    return rows.join(sized(gone, "_key", "_lang", "_source"), same, "left_anti").toDF(*docs.columns)

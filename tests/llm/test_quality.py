@@ -136,3 +136,14 @@ def test_least_group_is_a_parameter(spark):
     frame_ = spark.createDataFrame(stats)
     for least, rejected in ((100, 0), (20, 1)):
         assert q.judge(frame_, *q.fit(frame_, "lang", "source", least), "lang", "source", least).where("not kept").count() == rejected
+
+
+def test_each_row_is_judged_by_its_own_text_and_group(spark):
+    """Rows without ids, an odd text that is common in another group, and repeated rows."""
+    rng = random.Random(7)
+    plain = lambda: " ".join("w" + str(rng.randrange(9999)) for _ in range(rng.randrange(80, 300)))
+    odd = " ".join("###$$$|||%%%" + str(rng.randrange(9999)) for _ in range(150))
+    rows = [(None, plain(), "en", "a", 0, 0, 0, "", 0) for _ in range(200)] + [(None, odd, "en", "a", 0, 0, 0, "", 0)] * 3
+    rows += [(None, odd.replace("w", str(i)), None, "b", 0, 0, 0, "", 0) for i in range(200)] + [(None, odd, None, "b", 0, 0, 0, "", 0), (None, None, "en", "a", 0, 0, 0, "", 0)]
+    kept = q.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r["lang"] == "en" for r in kept) == 200 and sum(r["lang"] is None for r in kept) == 201
