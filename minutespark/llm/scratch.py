@@ -39,7 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_ARROW_ROWS)
     spark.conf.set(_ARROW_ROWS, min(int(before), PYTHON_ROWS) if int(before) > 0 else PYTHON_ROWS)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
