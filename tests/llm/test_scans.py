@@ -195,3 +195,9 @@ def test_weak_parts_name_what_completes_them(spark):
                 expected[kind, start, end] = gaps[0][2:]
         assert {(s["kind"], s["start"], s["end"]): tuple(s["linked"]) for s in got[i] if s["linked"]} == expected
     assert not got[150] and not got[151]
+
+
+def test_personal_data_in_a_very_long_text(spark):
+    found = pii.with_digest(pii.find_personal_data(frame(spark, rows_of(["mail a@b.org, +1 555 123 4567; " * 10_000])))).first()
+    assert (found["n_email"], found["n_phone"]) == (10_000, 10_000)
+    assert found["spans"].startswith("email:5:12,email:36:43,")
