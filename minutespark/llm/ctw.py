@@ -38,7 +38,7 @@ FREQUENT = 500_000
 DEPTH = 5
 #: Bytes of text in a block and the least number of blocks (small blocks repeat each other's grams); grams of a bucket of
 #: subtrees and the least number of buckets.
-BLOCK, BLOCKS = 32 << 20, 8
+BLOCK, BLOCKS = 24 << 20, 8
 BUCKET, BUCKETS = 1 << 18, 32
 START, END = 0, 255  # neither the start context nor the end symbol is told apart from such bytes
 WORD, GRAM = 0, 1
