@@ -40,6 +40,8 @@ DEPTH = 5
 #: subtrees and the least number of buckets.
 BLOCK, BLOCKS = 24 << 20, 8
 BUCKET, BUCKETS = 1 << 18, 32
+#: Entries that a tally takes before it merges them.
+PENDING = 2_000_000
 START, END = 0, 255  # neither the start context nor the end symbol is told apart from such bytes
 WORD, GRAM = 0, 1
 #: Key of the end token; words have hashes.
@@ -66,27 +68,46 @@ def grams(buf: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np
     return keys[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]).astype(np.float64)).astype(np.int64)
+class _Tally:
+    """Counts by key that are merged whenever ``PENDING`` new entries have come, so that their number stays near that of the keys."""
+
+    def __init__(self):
+        self.parts, self.pending = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts.astype(np.int32)))
+        self.pending += len(keys)
+        if self.pending > PENDING:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.parts, self.pending = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)], 0
+        return self.parts[0]
 
 
 def _count(depth: int):
     """Words of a block's training texts, and grams of all its texts with their count in training."""
 
     def run(block: pa.Table) -> pa.Table:
-        kinds = {WORD: [], GRAM: []}
+        kinds = {WORD: _Tally(), GRAM: _Tally()}
         for trains in (True, False):
-            rows = block.filter(pa.compute.equal(block["trains"], trains))
+            rows = block.select(["text"]).filter(pa.compute.equal(block["trains"], trains))
             if trains and rows.num_rows:
-                kinds[WORD].append((np.array([END_TOKEN], np.uint64), np.array([rows.num_rows])))
-            for _, _, buf, offs in tk.slices(rows["text"], 4 * tk.SLICE_BYTES):
-                if trains:
-                    kinds[WORD].append(np.unique(tk.word_hashes(buf, offs)[0], return_counts=True))
-                keys, count = np.unique(grams(buf, offs, depth)[0], return_counts=True)
-                kinds[GRAM].append((keys, count * trains))
-        out = [(kind, *_merge(parts)) for kind, parts in kinds.items() if parts]
-        columns = [np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in out]), np.concatenate([tk.signed(k.astype(np.uint64)) for _, k, _ in out]), np.concatenate([c for *_, c in out])]
+                kinds[WORD].add(np.array([END_TOKEN], np.uint64), np.array([rows.num_rows]))
+            for part in rows["text"].chunks:
+                for _, _, buf, offs in tk.slices(part):
+                    if trains:
+                        kinds[WORD].add(*np.unique(tk.word_hashes(buf, offs)[0], return_counts=True))
+                    keys, count = np.unique(grams(buf, offs, depth)[0], return_counts=True)
+                    kinds[GRAM].add(keys, count * trains)
+        out = [(kind, *tally.merge()) for kind, tally in kinds.items() if tally.parts]
+        columns = [np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _ in out]), np.concatenate([tk.signed(k) for _, k, _ in out]), np.concatenate([c for *_, c in out]).astype(np.int64)]
         which = pa.array(np.full(len(columns[0]), block["block"][0].as_py(), np.int32))
         return pa.Table.from_arrays([which, *(pa.array(c) for c in columns)], names=["block", "kind", "key", "n"])
 
