@@ -39,6 +39,31 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reache
 
 ORACLES = {"op1_chat_format": OP1, "op5_jaccard_join": OP5}
 
+ORACLES["op11_prefix_trie"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+u AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, x:
+  list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END, xor(a, x)), 4294967295::BIGINT), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM c)),
+l AS (SELECT conv_id AS base, count(*) AS n FROM o GROUP BY 1),
+s AS (SELECT u.conv_id, o.i AS d, role, text FROM u JOIN o ON o.conv_id = u.base AND o.i <= h
+  UNION ALL SELECT o.conv_id, least(h, coalesce(l.n, 0)) + o.i - h, role, text FROM o JOIN u USING (conv_id) LEFT JOIN l USING (base) WHERE o.i > h),
+p AS (SELECT conv_id, d, length(text) AS n, md5(array_to_string(list(md5(role || chr(0) || text)) OVER w, '')) AS name, md5(array_to_string((list(md5(role || chr(0) || text)) OVER w)[:-2], '')) AS parent FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+  UNION ALL SELECT conv_id, 0, 0, md5(''), NULL FROM u),
+v AS (SELECT name, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved FROM p GROUP BY 1),
+k AS (SELECT v.*, (SELECT count(*) FROM v x WHERE x.parent = v.name) AS n_children FROM v),
+t AS (SELECT p.name, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(k.saved)::BIGINT AS saved_tokens FROM k JOIN p ON p.conv_id = k.conv_id AND p.d <= k.depth GROUP BY 1),
+e AS (SELECT name, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM p JOIN (SELECT conv_id, max(d) AS d FROM p GROUP BY 1) USING (conv_id, d) GROUP BY 1)
+SELECT k.conv_id, k.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM k LEFT JOIN v q ON q.name = k.parent JOIN t ON t.name = k.name LEFT JOIN e ON e.name = k.name"""
+
+ORACLES["op13_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM l),
+h AS (SELECT key FROM (SELECT doc_id, unnest(list_distinct(k)) AS key FROM k) WHERE length(key) >= 1 GROUP BY 1 HAVING count(*) >= 10),
+p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line, unnest(k) AS key FROM k)
+SELECT doc_id, count(*) AS n_lines, count(h.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (h.key IS NULL), '')) AS kept_sha256
+FROM p LEFT JOIN h USING (key) GROUP BY 1"""
+
 
 def _kind(order: int, kind: str, pattern: str, group: int = 0, least: int = 0, length: int = 0, without: str = "") -> str:
     """Matches of one pattern with their positions: pieces between the matches, and the matches."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minutespark.llm import chat_format, ctw, decontaminate, jaccard_join, packing, pii, quality, secret_scan, sentence_spans, suffix_dedup
+from minutespark.llm import chat_format, ctw, decontaminate, jaccard_join, line_dedup, packing, pii, prefix_trie, quality, secret_scan, sentence_spans, suffix_dedup, token_align
 from minutespark.llm.oracles import ORACLES
 
 
@@ -66,6 +66,19 @@ def op10_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_digest(pii.find_personal_data(_documents(spark, sf_dir)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.shared_starts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_align.align(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return token_align.with_digest(found)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.with_digest(line_dedup.drop_repeated_lines(_documents(spark, sf_dir)))
+
+
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing, op7_benchmark_decontamination, op8_secret_scan, op9_ctw_scoring, op10_pii_weak_supervision)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_suffix_array_dedup, op4_sentence_spans, op5_jaccard_join, op6_best_fit_packing, op7_benchmark_decontamination, op8_secret_scan, op9_ctw_scoring, op10_pii_weak_supervision, op11_prefix_trie, op12_token_align, op13_line_dedup)}
