@@ -35,7 +35,7 @@ from minutespark.llm import textkit as tk
 from minutespark.llm.scratch import discard, materialize
 
 #: Bytes of texts of a block; bytes of distinct chunks that are encoded at once; links that are expanded at once.
-BLOCK, ENCODE, EXPAND = 16 << 20, 1 << 16, 1 << 22
+BLOCK, ENCODE, EXPAND = 8 << 20, 1 << 16, 1 << 20
 _LAYOUT = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, chunks binary, pairs array<long>, docs array<int>, held binary"
 _EMPTY = np.zeros(0, np.int64)
 #: Bytes that may begin a white space character of more than one byte.
