@@ -275,6 +275,7 @@ def _blocks(path_a: str, path_b: str, with_groups: bool):
         held = found[at]
         ends = np.concatenate([[0], np.cumsum(held)])[ends]
         packed = np.concatenate([[len(texts), found.sum()], ends, place[at[held]]]).astype(np.int32).tobytes() + times[held].tobytes()
+        packed = len(packed).to_bytes(8, "little") + pa.compress(packed, "zstd", asbytes=True)
         blocks = pa.array(np.full(n, number, np.int64))
         none = [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary())]
         order = [f.split()[0] for f in _LAYOUT.split(", ")]
@@ -329,6 +330,7 @@ def _totals(rows: pa.Table, counts: pa.Table) -> pa.Table:
     head = rows.filter(rows.column("held").is_valid())
     texts = rows.filter(rows.column("held").is_null())
     packed = head.column("held")[0].as_py()
+    packed = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
     chunks, pairs = np.frombuffer(packed, np.int32, 2).tolist()
     ends = np.frombuffer(packed, np.int32, chunks + 1, 8)
     at = np.frombuffer(packed, np.int32, ends[-1], 12 + 4 * chunks)
