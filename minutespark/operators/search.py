@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minutespark.operators import fulltext
+from minutespark.operators.containment import texts_containing
+
 TOKEN = "[a-z0-9']+"
 IGNORED = {"and", "&", "or", "+", "-"}
 AROUND = 50
@@ -19,11 +22,12 @@ class Query:
     words: list[str] = field(default_factory=list)
     not_phrases: list[str] = field(default_factory=list)
     not_words: list[str] = field(default_factory=list)
+    text: str = ""
 
 
 def parse_query(text: str) -> Query:
     """``"quoted phrases"``, words, and either of them excluded by a leading ``-``."""
-    found = Query()
+    found = Query(text=text)
 
     def quoted(m: re.Match) -> str:
         phrase = m[2].strip().lower()
@@ -97,27 +101,6 @@ def expand(words: DataFrame, term: str, at_most: int = 1000) -> list[str] | None
     return found if len(found) <= at_most else None
 
 
-def texts_containing(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(id, term_id), once each: which texts contain which of ``terms`` (term_id, term) literally, in any case; blank terms match
-    nothing. All joins are on equality: a term's longest piece (between white space) lies within some piece of any text that
-    has the term, and which pieces of the vocabulary have it within them is found by their substrings of up to three
-    characters. Only texts with such a piece are compared with the term."""
-    def pieces(text: Column) -> Column:
-        return F.filter(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda p: p != "")
-
-    longest = F.array_max(F.transform(pieces(F.col("term")), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    asked = terms.select("term_id", F.lower("term").alias("term"), longest.alias("piece")).where("piece is not null")
-    asked = asked.withColumn("gram", F.left("piece", F.lit(3)))
-    held = texts.select(F.col(id_col).alias("id"), F.explode(pieces(F.col(text_col))).alias("word"))
-    places = F.sequence(F.lit(1), F.length("word"))
-    grams = F.array_distinct(F.flatten(F.transform(F.lit([1, 2, 3]), lambda n: F.transform(places, lambda i: F.substring(F.col("word"), i, n)))))
-    vocabulary = held.select("word").distinct().select("word", F.explode(grams).alias("gram"))
-    words = vocabulary.join(asked.select("term_id", "piece", "gram").distinct(), "gram").where(F.contains("word", "piece")).select("term_id", "word").distinct()
-    pairs = held.join(words, "word").select("id", "term_id").distinct()
-    near = pairs.join(asked.select("term_id", "term"), "term_id").join(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), F.col("id").eqNullSafe(F.col("_id")))
-    return near.where(F.contains(F.lower("_text"), "term")).select("id", "term_id").distinct()
-
-
 def fuzzy_by_vocabulary(texts: DataFrame, id_col: str, text_col: str, q: Query, words: DataFrame, at_most: int = 1000) -> DataFrame:
     """(id) of the texts that match in two stages: longer words by any near word of the vocabulary ``words``, as substrings. The near
     words become one expression if they are few, and otherwise are joined to the texts that contain them."""
@@ -134,14 +117,14 @@ def fuzzy_by_vocabulary(texts: DataFrame, id_col: str, text_col: str, q: Query,
 
 
 def find(texts: DataFrame, id_col: str, text_col: str, q: Query, fuzzy: bool = False, index: DataFrame | None = None, words: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """(path, ids of the hits) by the best path that is at hand: the stemmed index for plain words, the vocabulary for a fuzzy
-    query, and otherwise a scan of the texts, fuzzy or literal. Phrases and exclusions are literal, so they keep to the scan."""
+    """(path, ids of the hits) by the best path that is at hand: the full-text index (``fulltext.index``), the vocabulary for a fuzzy
+    query, and otherwise a scan of the texts, fuzzy or literal."""
     if fuzzy:
         if words is not None:
             return "vocabulary", fuzzy_by_vocabulary(texts, id_col, text_col, q, words)
         return "fuzzy_scan", texts.where(matches_fuzzily(F.lower(text_col), q)).select(F.col(id_col).alias("id"))
-    if index is not None and not (q.phrases or q.not_phrases or q.not_words):
-        return "index", stemmed_search(index, id_col, q).select(F.col(id_col).alias("id"))
+    if index is not None:
+        return "index", fulltext.search(index, q.text)
     return "scan", texts.where(matches_exactly(F.lower(text_col), q)).select(F.col(id_col).alias("id"))
 
 
@@ -200,33 +183,3 @@ def count_occurrences(text: Column, term: str) -> Column:
     """Non-overlapping, case-insensitive occurrences of a literal."""
     low = F.lower(text)
     return ((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("long")
-
-
-SUFFIXES = ["ational", "ization", "fulness", "iveness", "ements", "ations", "ingly", "ement", "ation", "ness", "ings", "edly", "ing", "ion", "ies", "est", "ed", "ly", "er", "es", "s"]
-#: Words that carry no meaning in English search.
-STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were will with".split()
-
-
-def stem(word: Column) -> Column:
-    """A light suffix stemmer: the longest listed suffix goes if three letters stay."""
-    out = word
-    for s in reversed(SUFFIXES):
-        out = F.when((F.length(word) >= len(s) + 3) & word.endswith(s), F.left(word, F.length(word) - len(s))).otherwise(out)
-    return out
-
-
-def stem_literal(word: str) -> str:
-    return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) >= len(s) + 3), word)
-
-
-def stemmed_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, stem, n): an inverted index without stop words."""
-    words = texts.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN), F.lit(0))).alias("w"))
-    return words.where(~F.col("w").isin(STOP_WORDS)).groupBy(id_col, stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
-
-
-def stemmed_search(index: DataFrame, id_col: str, q: Query) -> DataFrame:
-    """(id, rank) of texts that hold the stems of all words; none for a query of stop words."""
-    stems = sorted({stem_literal(w) for w in q.words if w not in STOP_WORDS})
-    found = index.where(F.col("stem").isin(stems)).groupBy(id_col).agg(F.count("*").alias("held"), F.sum(F.log(1 + F.col("n"))).alias("rank"))
-    return found.where(F.col("held") == max(1, len(stems))).select(id_col, F.round("rank", 4).alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minutespark.operators.folds import fold_in_order
-from minutespark.operators.search import texts_containing
+from minutespark.operators.containment import containing
 
 LEASE_MINUTES = 5
 FAILURES, RETRIES, RETRY_PRIORITY = 3, 3, 10
@@ -85,11 +85,11 @@ def cooldowns(log: DataFrame, key: str, time: str, order: str, failed: Column, d
 
 
 def new_matches(searches: DataFrame, docs: DataFrame, id_col: str, created: str) -> DataFrame:
-    """Pairs of saved searches (search_id, term, cursor) and documents that came after the cursor
-    and contain the term. Found by joins on equality (``search.texts_containing``), so searches may be many."""
-    hits = texts_containing(docs, id_col, "text", searches.select(F.col("search_id").alias("term_id"), "term"))
-    both = searches.join(hits.select(F.col("term_id").alias("search_id"), F.col("id").alias("_hit")), "search_id")
-    return docs.join(both, F.col(id_col).eqNullSafe(F.col("_hit")) & (F.col(created) > F.col("cursor")) & F.contains(F.lower("text"), F.lower("term"))).drop("_hit")
+    """Pairs of saved searches (search_id, term, cursor) and documents that came after the cursor and contain the term: the searches'
+    columns with the document's id and time. One automaton of all terms runs over each text once (``containment``)."""
+    kept = list(dict.fromkeys([id_col, created]))
+    hits = containing(docs, "text", searches.select(F.col("search_id").alias("term_id"), "term"), *kept)
+    return searches.join(hits.withColumnRenamed("term_id", "search_id"), "search_id").where(F.col(created) > F.col("cursor"))
 
 
 def advance(searches: DataFrame, sent: DataFrame) -> DataFrame:

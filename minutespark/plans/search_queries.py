@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minutespark.operators import search
+from minutespark.operators import fulltext, search, trigrams
 from minutespark.plans.registry import Tables, query
+from minutespark.streaming.streams import work_folder
 
 Q = search.parse_query('"of the" with -here +that and')
 EXACT = "contains(lower(text), 'of the') AND contains(lower(text), 'with') AND contains(lower(text), 'that') AND NOT contains(lower(text), 'here')"
@@ -117,11 +118,70 @@ def top4_relevance(t: Tables):
     return rows.orderBy(F.desc("score"), F.desc("doc_id")).limit(50)
 
 
-@query()
+_WORDS = r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),
+s AS (SELECT doc_id, i, CASE WHEN w IN ('thing', 'things', 'thinged', 'thinges', 'thinging', 'thingly', 'thingingly', 'thinglyed') THEN 'thing' ELSE w END AS s FROM w)"""
+
+
+def _index(t: Tables):
+    return fulltext.write_index(t.documents, "doc_id", "text", work_folder(t.spark, "index"))
+
+
+@query(_WORDS + """,
+h AS (SELECT doc_id, bool_or(s = 'wh') AS wh, bool_or(s = 'thing') AS thing, bool_or(s = 'nt') AS nt, bool_or(s = 'th' AND follows = 'nd') AS phrase
+  FROM (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS follows FROM s) GROUP BY 1)
+SELECT doc_id FROM h WHERE (wh AND thing) OR (phrase AND NOT nt)""")
 def txt9_stemmed_search(t: Tables):
-    """Stemmed full-text match and rank (txt10) over an inverted index; approximate by design."""
-    index = search.stemmed_index(t.documents, "doc_id", "text")
-    return search.stemmed_search(index, "doc_id", search.parse_query("thing the ha"))
+    """Stems, a phrase of stems, OR and an exclusion over the positional index."""
+    return fulltext.search(_index(t), 'wh and the things or "th nd" -nt').select(F.col("id").alias("doc_id"))
+
+
+@query(_WORDS + """,
+k AS (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM s WHERE s IN ('th', 'thing', 'wh')),
+e AS (SELECT *, greatest(min(CASE WHEN s = 'th' THEN i END) OVER r, min(CASE WHEN s = 'thing' THEN i END) OVER r) AS q1, min(CASE WHEN s = 'wh' THEN i END) OVER r AS q2,
+  min(CASE WHEN s = 'th' THEN i END) OVER r AS th, min(CASE WHEN s = 'thing' THEN i END) OVER r AS thing FROM k WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT *, least(CASE WHEN th IS NOT NULL AND thing IS NOT NULL THEN q1 END, q2) AS q FROM e),
+g AS (SELECT *, lead(q) OVER (PARTITION BY doc_id ORDER BY i) AS q_next FROM f),
+c AS (SELECT g.doc_id, g.i AS p, g.q, z.at - g.at + 1 AS own FROM g JOIN k z ON z.doc_id = g.doc_id AND z.i = g.q WHERE g.q IS NOT NULL AND (g.q_next IS NULL OR g.q_next > g.q))
+SELECT doc_id, round(sum(0.1::DOUBLE / (1 + (q - p) - (own - 1))), 6) AS rank FROM c GROUP BY 1""")
+def txt10_cover_rank(t: Tables):
+    """Cover density of all texts that match."""
+    found = fulltext.ranked(_index(t), "th things or wh")
+    return found.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+_TRIGRAMS = """
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents),
+t AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z0-9]+')) AS term FROM benchmark WHERE regexp_matches(text, '[A-Za-z0-9]')),
+x AS (SELECT word, word AS name FROM v WHERE length(word) <= 255 UNION ALL SELECT NULL, term FROM t),
+p AS (SELECT word, name, '  ' || unnest(regexp_split_to_array(name, '[^a-z0-9]+')) || ' ' AS part FROM x),
+g AS (SELECT DISTINCT word IS NULL AS asked, name, unnest(list_transform(generate_series(1, length(part) - 2), lambda i: part[i:i + 2])) AS g FROM p WHERE length(part) > 3),
+n AS (SELECT asked, name, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT a.name AS term, b.name AS word, count(*) AS common FROM g a JOIN g b ON a.asked AND NOT b.asked AND a.g = b.g GROUP BY 1, 2),
+s AS (SELECT term, word, common / (a.n + b.n - common) AS similarity FROM c JOIN n a ON a.asked AND a.name = term JOIN n b ON NOT b.asked AND b.name = word),
+r AS (SELECT *, levenshtein(word, term) AS distance FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, word) <= 50),
+k AS (SELECT * FROM r WHERE distance <= CASE WHEN length(term) <= 4 THEN 0 WHEN length(term) <= 7 THEN 1 ELSE 2 END)"""
+
+
+def _first_words(t: Tables):
+    """The first word of each benchmark item, as a table of search terms."""
+    return t.benchmark.select(F.lower(F.regexp_extract("text", "[A-Za-z0-9]+", 0)).alias("term")).where("term <> ''").distinct()
+
+
+@query(_TRIGRAMS + " SELECT term, word, round(similarity, 6) AS similarity, distance FROM k")
+def txt8_trigram_candidates(t: Tables):
+    """The vocabulary words that stand for each term of a table: the 50 most similar by trigrams, within the tolerated edits."""
+    found = trigrams.near_terms(search.vocabulary(t.documents, "text"), _first_words(t))
+    return found.select("term", "word", F.round("similarity", 6).alias("similarity"), F.col("distance").cast("long").alias("distance"))
+
+
+@query(_TRIGRAMS + """
+SELECT term, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM (
+  SELECT term, doc_id FROM k JOIN documents ON length(term) > 4 AND contains(lower(text), word) UNION ALL SELECT term, doc_id FROM t JOIN documents ON length(term) <= 4 AND contains(lower(text), term)) GROUP BY 1""")
+def txt8_term_table(t: Tables):
+    """How many texts each term finds, itself or by its near words."""
+    found = trigrams.texts_near(t.documents, "doc_id", "text", _first_words(t), search.vocabulary(t.documents, "text"))
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 @query("""
@@ -158,12 +218,13 @@ WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')
 n AS (SELECT word FROM v WHERE levenshtein(word, 'thatt') <= 1 AND length(word) <= 255)
 SELECT 'scan' AS path, doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with')
 UNION ALL SELECT DISTINCT 'vocabulary', d.doc_id FROM documents d JOIN n ON contains(lower(d.text), n.word)
+UNION ALL SELECT 'index', doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['th', 'nd'])
 UNION ALL SELECT DISTINCT 'fuzzy_scan', doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM documents) JOIN n USING (word)""")
 def txt11_path_selection(t: Tables):
     """Which path a search takes, by what is at hand and whether it is fuzzy, and what it finds."""
     plain, typo = search.parse_query("the with"), search.parse_query("thatt")
     words = search.vocabulary(t.documents, "text")
-    taken = [search.find(t.documents, "doc_id", "text", plain), search.find(t.documents, "doc_id", "text", typo, fuzzy=True, words=words), search.find(t.documents, "doc_id", "text", typo, fuzzy=True)]
+    taken = [search.find(t.documents, "doc_id", "text", search.parse_query("th nd"), index=_index(t)), search.find(t.documents, "doc_id", "text", plain), search.find(t.documents, "doc_id", "text", typo, fuzzy=True, words=words), search.find(t.documents, "doc_id", "text", typo, fuzzy=True)]
     out = None
     for path, ids in taken:
         rows = ids.select(F.lit(path).alias("path"), F.col("id").alias("doc_id"))

@@ -132,16 +132,6 @@ def test_str30_signed_token(spark):
     assert set(found(spark, "str30_signed_token", "conv_id", "token")) == expected
 
 
-def test_txt9_stemmed_search(spark):
-    wanted = {search.stem_literal(w) for w in ("thing", "ha")}
-    expected = set()
-    for r in table("documents"):
-        stems = {search.stem_literal(w) for w in re.findall(search.TOKEN, (r["text"] or "").lower()) if w not in search.STOP_WORDS}
-        if wanted <= stems:
-            expected.add(r["doc_id"])
-    assert {d for (d,) in found(spark, "txt9_stemmed_search", "doc_id")} == expected
-
-
 def test_seg4_merge_chunks(spark):
     """Chunks of four turns that begin with the last turn of the one before: what a seam repeats is dropped before it."""
     expected = []

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from minutespark.operators import search
+from minutespark.operators import fulltext, search
 
 
 def matched(spark, query, text, fuzzy=False):
@@ -59,13 +59,13 @@ def test_vocabulary_expansion_and_stemming(spark):
     q = search.parse_query("budget")
     for most in (1000, 1):  # as one expression, and by joins
         assert {r["id"] for r in search.fuzzy_by_vocabulary(texts, "id", "t", q, words, at_most=most).collect()} == {1, 2}
-    index = search.stemmed_index(texts, "id", "t")
+    index = fulltext.index(texts, "id", "t")
     for how, path in (({}, "scan"), ({"index": index}, "index"), ({"fuzzy": True}, "fuzzy_scan"), ({"fuzzy": True, "words": words}, "vocabulary")):
         taken, ids = search.find(texts, "id", "t", q, **how)
         assert taken == path and {r["id"] for r in ids.collect()} == {1, 2}
-    assert search.find(texts, "id", "t", search.parse_query('"budget meetings"'), index=index)[0] == "scan"
-    assert {r["id"] for r in search.stemmed_search(index, "id", search.parse_query("meeting budget")).collect()} == {1, 2}
-    assert search.stemmed_search(index, "id", search.parse_query("the of")).count() == 0
+    taken, ids = search.find(texts, "id", "t", search.parse_query('"budget meetings"'), index=index)
+    assert taken == "index" and {r["id"] for r in ids.collect()} == {1, 2}
+    assert search.find(texts, "id", "t", search.parse_query("the of"), index=index)[1].count() == 0
 
 
 def plain_distance(a, b):
