@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +12,19 @@ from pyspark.sql import types as T
 
 from minutespark.functions.urls import host, platform
 
-# Where media links stand, and what is no content.
-MEDIA = [
-    r"""(?i)(?:src|href|data-url)\s*=\s*["']([^"']+\.(?:m3u8|mp4|mp3|m4a|webm)(?:\?[^"']*)?)["']""",
-    r"""(?i)["'](https?:[^"'\s]+\.(?:m3u8|mp4)(?:\?[^"'\s]*)?)["']""",
-]
-BLOCKED = ["/ads/", "preview", "doubleclick"]
+# Endings of media and caption files, words of addresses that are no content, and where media links stand.
+MEDIA_ENDINGS = "mp4 mp3 wav webm ogg".split()
+CAPTION_ENDINGS = "vtt srt ttml dfxp itt scc stl sbv sub smi sami".split()
+NO_CONTENT = "placeholder logo icon".split()
+_MEDIA, _ANY = "|".join(MEDIA_ENDINGS + CAPTION_ENDINGS), "|".join([*MEDIA_ENDINGS, "m3u8", *CAPTION_ENDINGS])
+_IN_URL = r"""[^"'\s<>\\]"""
+MEDIA = {
+    "stream": rf"(https?://{_IN_URL}+\.m3u8{_IN_URL}*)",
+    "file": rf"(https?://{_IN_URL}+\.(?:{_MEDIA}){_IN_URL}*)",
+    "attribute": rf"""(?:data-)?src=["']([^"']+\.(?:{_ANY})(?:\?[^"']*)?)["']""",
+    "player": rf"""["']?file["']?\s*:\s*["']([^"']+\.(?:{_ANY})(?:\?[^"']*)?)["']""",
+    "caption text": rf"(https?://{_IN_URL}*(?:caption|subtitle|transcript|/cc[_./-]){_IN_URL}*\.(?:xml|txt){_IN_URL}*)",
+}
 LINK = r"""(?i)<(?:a|iframe|video|source|script|img|link)\b[^>]*?\b(?:href|src)\s*=\s*["']([^"']+)["']"""
 
 
@@ -32,11 +42,29 @@ def absolute(base: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series([[urljoin(b or "", x) for x in (xs if xs is not None else [])] for b, xs in zip(base, links, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _media(pages: pd.Series, bases: pd.Series) -> pd.Series:
+    """Media links by where they begin in the page, slashes of scripts' strings taken as plain ones."""
+    from html import unescape as decoded
+    from urllib.parse import urljoin
+
+    kinds = [re.compile(p, re.IGNORECASE) for p in MEDIA.values()]
+    blocked = re.compile(rf"(?<![^/_.-])(?:{'|'.join(NO_CONTENT)})(?![^/_.-])", re.IGNORECASE)
+    out = []
+    for page, base in zip(pages, bases, strict=True):
+        page = (page or "").replace("\\/", "/")
+        urls = {}
+        for _, raw in sorted(((m.start(), m[1]) for kind in kinds for m in kind.finditer(page)), key=lambda x: x[0]):
+            url = re.match(rf"{_IN_URL}*", decoded(raw))[0]
+            if url and not blocked.search(url):
+                urls.setdefault(urljoin(base or "", url))
+        out.append(list(urls))
+    return pd.Series(out)
+
+
 def media_urls(html: Column, base: Column) -> Column:
-    """Distinct media links in order, absolute, without blocked ones."""
-    found = F.transform(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in MEDIA)), unescape)
-    kept = F.filter(found, lambda u: ~F.lower(u).rlike("|".join(BLOCKED)))
-    return F.array_distinct(absolute(base, kept))
+    """Distinct links to media and captions in document order, absolute: bare addresses, sources, players' file keys; without logos and the like."""
+    return _media(html, base)
 
 
 def links(html: Column) -> Column:
@@ -65,8 +93,8 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
 
 
-def is_empty_shell(html: Column, least: int = 200) -> Column:
-    return F.length(visible_text(html)) < least
+def is_empty_shell(html: Column, most: int = 500) -> Column:
+    return F.length(visible_text(html)) <= most
 
 
 #: What the body of a bot block says, and the most bytes of such a body (a long page may say it in prose).
@@ -111,14 +139,54 @@ def best_video(urls: Column) -> Column:
 
 
 def embedded_json(html: Column, variable: str) -> Column:
-    """The object assigned to a script variable, as text; null without."""
-    return F.nullif(F.regexp_extract(html, rf"(?s)\b{variable}\s*=\s*(\{{.*?\}})\s*;", 1), F.lit(""))
-
-
-def find_value(json: Column, key: str) -> Column:
-    """The first scalar that any nested object has under ``key``, without quotes; null without one."""
-    raw = F.regexp_extract(json, rf'"{key}"\s*:\s*("[^"]*"|[^,}}\]\s{{\[]+)', 1)
-    return F.nullif(F.replace(raw, F.lit('"'), F.lit("")), F.lit(""))
+    """The first object assigned to a script variable, as its text; null without. Its end is found by reading it, so braces in strings, escapes
+    and nested objects are no matter; what is no valid JSON is passed over."""
+    start = re.compile(rf"(?<!\w){re.escape(variable)}\s*=\s*(?=\{{)")
+
+    @F.pandas_udf(T.StringType())
+    def objects(pages: pd.Series) -> pd.Series:
+        reader = json.JSONDecoder()
+        out = []
+        for page in pages:
+            found = None
+            for m in start.finditer(page or ""):
+                try:
+                    found = page[m.end() : reader.raw_decode(page, m.end())[1]]
+                    break
+                except (ValueError, RecursionError):
+                    continue
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return objects(html)
+
+
+def find_value(text: Column, key: str) -> Column:
+    """What the first object that has a scalar under ``key`` has there, in document order at any depth (an object before those in it), as text; numbers
+    as they are written. Null without one, or for no valid JSON."""
+
+    @F.pandas_udf(T.StringType())
+    def values(texts: pd.Series) -> pd.Series:
+        return pd.Series([_first_value(x, key) for x in texts], dtype=object)
+
+    return values(text)
+
+
+def _first_value(text: str | None, key: str) -> str | None:
+    try:
+        ahead = [json.loads(text or "", parse_int=str, parse_float=str)]
+    except (ValueError, RecursionError):
+        return None
+    while ahead:
+        value = ahead.pop()
+        if isinstance(value, dict):
+            held = value.get(key)
+            if isinstance(held, (str, bool)):
+                return held if isinstance(held, str) else str(held).lower()
+            ahead += reversed(value.values())
+        elif isinstance(value, list):
+            ahead += reversed(value)
+    return None
 
 
 def page_host(pages: DataFrame) -> DataFrame:

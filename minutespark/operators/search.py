@@ -149,18 +149,30 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def first_hit(text: Column, q: Query) -> tuple[Column, Column]:
-    """(position from 1 or null, length) of the first positive term in query order that occurs."""
+def first_hit(text: Column, q: Query, fuzzy: bool = False) -> tuple[Column, Column]:
+    """(position from 1 or null, length) of the first positive term in query order that occurs; ``fuzzy``: of the first token within a word's
+    tolerated edits. Phrases are literal."""
     place, length = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for term in reversed(q.phrases + q.words):
-        at = F.instr(F.lower(text), F.lit(term))
-        place, length = F.when(at > 0, at).otherwise(place), F.when(at > 0, len(term)).otherwise(length)
+    low = F.lower(text)
+    for term in reversed(q.words):
+        k = tolerance(len(term))
+        if fuzzy and k:
+            near = F.get(F.filter(tokens(text), lambda t: F.levenshtein(t, F.lit(term), k) >= 0), F.lit(0))  # noqa: B023
+            at, n = F.regexp_instr(low, F.concat(F.lit("(?<![a-z0-9'])"), near, F.lit("(?![a-z0-9'])"))), F.length(near)
+        elif fuzzy:
+            at, n = F.regexp_instr(low, F.lit(rf"(?<![a-z0-9']){re.escape(term)}(?![a-z0-9'])")), F.lit(len(term))
+        else:
+            at, n = F.instr(low, F.lit(term)), F.lit(len(term))
+        place, length = F.when(at > 0, at).otherwise(place), F.when(at > 0, n).otherwise(length)
+    for term in reversed(q.phrases):
+        at = F.instr(low, F.lit(term))
+        place, length = F.when(at > 0, at).otherwise(place), F.when(at > 0, F.lit(len(term))).otherwise(length)
     return place, length
 
 
-def snippet(text: Column, q: Query, around: int = AROUND) -> Column:
+def snippet(text: Column, q: Query, around: int = AROUND, fuzzy: bool = False) -> Column:
     """An excerpt around the first hit, HTML-escaped, the hit in <mark>; null without a hit."""
-    at, n = first_hit(text, q)
+    at, n = first_hit(text, q, fuzzy)
     begin = F.greatest(at - around, F.lit(1))
     before = F.substring(text, begin, at - begin)
     hit = F.substring(text, at, n)

@@ -18,9 +18,17 @@ def number():
     return F.col("page_id").cast("string")
 
 
-@query("SELECT page_id, [regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/v/' || page_id || '.mp4?a=1&b=2', 'https://cdn.example.org/' || page_id || '.m3u8'] AS urls FROM pages")
+@query("""
+SELECT page_id, [site || '/v/' || page_id || '.mp4?a=1&b=2', 'https://cdn.example.org/' || page_id || '/live.m3u8?t=1&u=2', 'https://silicon.example.org/iconic.webm', 'https://cdn.example.org/js.mp4',
+  site || '/tracks/' || page_id || '.SRT', 'https://cdn.example.org/captions/en.txt', regexp_extract(url, '^([a-z]+):', 1) || '://media.example.org/a.vtt'] AS urls
+FROM (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site FROM pages)""")
 def htm1_media_scan(t: Tables):
-    extra = F.concat(F.lit('<video src="/v/'), number(), F.lit('.mp4?a=1&amp;b=2"></video><a href="/ads/x.mp4">x</a><source src="https://cdn.example.org/'), number(), F.lit('.m3u8">'))
+    """Sources, bare addresses, escaped slashes, players' file keys and caption texts; logos and robots.txt are no media."""
+    extra = F.concat(
+        F.lit('<video src="/v/'), number(), F.lit('.mp4?a=1&amp;b=2"></video> see https://cdn.example.org/'), number(), F.lit("/live.m3u8?t=1&amp;u=2 <img src='/logo.mp4'>"),
+        F.lit(' https://silicon.example.org/iconic.webm <script>{"u": "https:\\/\\/cdn.example.org\\/js.mp4", file: "/tracks/'), number(),
+        F.lit('.SRT"}</script> https://cdn.example.org/robots.txt https://cdn.example.org/captions/en.txt <b data-src="//media.example.org/a.vtt"> https://cdn.example.org/js.mp4'),
+    )
     return with_extra(t, extra).select("page_id", h.media_urls(F.col("html"), F.col("url")).alias("urls"))
 
 
@@ -77,11 +85,11 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?<
 _TEXT = f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({_BARE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, length({_TEXT}) < 600 AS shell, length({_TEXT}) AS visible FROM pages")
+@query(f"SELECT page_id, length({_TEXT}) <= 500 AS shell, length({_TEXT}) AS visible FROM pages")
 def htm9_empty_shell(t: Tables):
     """Visible text and whether there is too little of it (htm10)."""
     text = h.visible_text(F.col("html"))
-    return t.pages.select("page_id", h.is_empty_shell(F.col("html"), 600).alias("shell"), F.length(text).cast("long").alias("visible"))
+    return t.pages.select("page_id", h.is_empty_shell(F.col("html")).alias("shell"), F.length(text).cast("long").alias("visible"))
 
 
 @query("SELECT page_id, [60, page_id + 60] AS seconds, 'Roll call' AS first_label FROM pages")
@@ -106,7 +114,7 @@ def htm13_best_video(t: Tables):
 @query("SELECT page_id, page_id AS show FROM pages")
 def src19_embedded_json(t: Tables):
     """An object inside a script, and in it the nearest object with a key (src20)."""
-    extra = F.concat(F.lit('<script>var settings = {"a": {"b": {"show": '), number(), F.lit("}}};</script>"))
+    extra = F.concat(F.lit('<script>settings = {not: "json"}; var settings = {"t": "a};b \\"show\\": 0", "a": [{"b": {"show": '), number(), F.lit("}}, {\"show\": -1}]};</script>"))
     return with_extra(t, extra).select("page_id", h.find_value(h.embedded_json(F.col("html"), "settings"), "show").cast("long").alias("show"))
 
 

@@ -50,6 +50,17 @@ def test_snippet(spark):
     assert one("none") is None
 
 
+def test_snippet_of_a_near_word(spark):
+    rows = spark.createDataFrame([("The budget is due",), ("bud get, cat!",), ("a concat",), (None,)], "t string")
+
+    def shown(query):
+        return [r[0] for r in rows.select(search.snippet(F.col("t"), search.parse_query(query), fuzzy=True)).collect()]
+
+    assert shown("zoning budgett") == ["The <mark>budget</mark> is due", None, None, None]
+    assert shown("cat") == [None, "bud get, <mark>cat</mark>!", None, None]
+    assert shown('"is due" budgett')[0] == "The budget <mark>is due</mark>"
+
+
 def test_vocabulary_expansion_and_stemming(spark):
     texts = spark.createDataFrame([(1, "Budget meetings were held"), (2, "the budgets; meeting"), (3, "x" * 300)], "id int, t string")
     words = search.vocabulary(texts, "t")
