@@ -15,22 +15,19 @@ addresses or hyphenated words.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from minutespark.functions.stemming import STOP_WORDS, stem
 
-WORD = r"[\p{L}\p{N}]+"
 _PY_WORD = re.compile(r"[^\W_]+")
-POSTINGS = T.ArrayType(T.StructType([T.StructField("stem", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+#: Positions that leave a task together.
+OUT = 100_000
 #: Weight of a word of plain text.
 WEIGHT = 0.1
 
@@ -59,25 +56,38 @@ def parse(text: str) -> list[list[Term]]:
     return [a for a in alternatives if a]
 
 
-@F.pandas_udf(POSTINGS)
-def _postings(words: pd.Series) -> pd.Series:
-    """Stems of a text's words with their positions."""
-    out = []
-    for row in words:
-        held: dict[str, list[int]] = defaultdict(list)
-        for i, w in enumerate(row if row is not None else (), 1):
-            if w not in STOP_WORDS:
-                held[stem(w)].append(i)
-        out.append([{"stem": s, "positions": p} for s, p in held.items()])
-    return pd.Series(out)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lower-case text) to (stem, id, positions), and for each text a row of a null stem."""
+
+    def rows(ids: pa.Array, which: list[int], stems: list[str | None], sizes: list[int], flat: list[int]) -> pa.RecordBatch:
+        offsets = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), ids.take(pa.array(which, pa.int64())), positions], names=["stem", "id", "positions"])
+
+    for batch in batches:
+        which, stems, sizes, flat = [], [], [], []
+        for row, text in enumerate(batch.column(1)):
+            held: dict[str, list[int]] = {}
+            for i, w in enumerate(_PY_WORD.findall(text.as_py() or ""), 1):
+                if w not in STOP_WORDS:
+                    held.setdefault(stem(w), []).append(i)
+            for s, at in [*held.items(), (None, [])]:
+                which.append(row)
+                stems.append(s)
+                sizes.append(len(at))
+                flat += at
+            if len(flat) >= OUT:
+                yield rows(batch.column(0), which, stems, sizes, flat)
+                which, stems, sizes, flat = [], [], [], []
+        if which:
+            yield rows(batch.column(0), which, stems, sizes, flat)
 
 
 def index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(stem, id, positions) of all texts, and one row of a null stem for each text, by which exclusions find the others."""
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))
-    rows = texts.select(F.col(id_col).alias("id"), _postings(words).alias("held"))
-    every = F.array(F.struct(F.lit(None).cast("string").alias("stem"), F.array().cast("array<int>").alias("positions")))
-    return rows.select("id", F.explode(F.concat("held", every)).alias("p")).select("p.stem", "id", "p.positions")
+    rows = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    return rows.mapInArrow(_postings, f"stem string, id {rows.schema['id'].dataType.simpleString()}, positions array<int>")
 
 
 def write_index(texts: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
