@@ -1,7 +1,7 @@
 """Full-text search by a positional inverted index: stems, phrases, OR, exclusion, cover-density rank.
 
 The index has one row per stem and text: (stem, id, positions), the positions of all words counted from 1, those of stop words
-too. It is made in one pass without a shuffle, and written sorted by stem, so that a query reads the postings of its own
+too. It is made and written in one pass without a shuffle, each file sorted by stem, so that a query reads the postings of its own
 stems and never a text. A query is alternatives (``or``) of terms that must all hold; a term is a word or a quoted phrase (its stop
 words keep their places), a leading ``-`` excludes it. Stop words alone match nothing.
 
@@ -91,8 +91,9 @@ def index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def write_index(texts: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """The index as Parquet, ordered by stem (and by id, as a hot stem has very many rows): a query's filters skip the other row groups."""
-    index(texts, id_col, text_col).repartitionByRange("stem", "id").sortWithinPartitions("stem").write.parquet(path)
+    """The index as Parquet. Each file is ordered by stem, so that a query's filters skip most row groups; postings are not moved between tasks,
+    and a hot stem has its rows in all files."""
+    index(texts, id_col, text_col).sortWithinPartitions("stem").write.parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
