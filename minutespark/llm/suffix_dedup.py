@@ -11,6 +11,8 @@ and a last trigger. What lies between them is its core; the strings with the sam
 row form a block (the core, a phrase's suffix before it and a phrase's prefix after it). A text of
 n bytes has some 2 n / 112 blocks, so this dictionary and parse are all that is shuffled.
 
+* A stretch that repeats with a period of at most ``PERIOD`` bytes (a run of one byte, a ruler of dashes) moves the trigger with each
+  period. Where it holds all its strings twice, all its bytes go, and only the strings of its first period are parsed, for the other places that have them.
 * A core that occurs once rules its block out (most of a corpus ends here).
 * A block that occurs twice removes all its bytes.
 * A core with several distinct blocks is where a repeat begins or ends. The distinct blocks of such cores, one occurrence each, are the
@@ -45,6 +47,8 @@ GRAM, WIDTH = 32, 224
 SLICE = 1 << 19
 #: Longer texts are parsed in parts that overlap by length - 1 bytes.
 PART = 1 << 22
+#: The longest period whose stretches are taken as one, and the distance at which they are looked for.
+PERIOD, GRID = 64, 64
 #: Cores with more distinct blocks than this are compared by a shuffle of their strings.
 LOCAL_BLOCKS = 2000
 POSITION_BITS = 24
@@ -109,9 +113,37 @@ def _triggers(buf: np.ndarray) -> np.ndarray:
     return (h & U((1 << POSITION_BITS) - 1)).astype(np.int64)
 
 
+def stretches(buf: np.ndarray, offs: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the longest stretches within a text that repeat with a period of at most ``PERIOD`` bytes and hold each of
+    their strings twice. They are looked for where three words, ``GRID`` bytes apart, recur at the period's distance."""
+    found: list[tuple[int, int, int]] = []
+    if len(buf) < length + PERIOD:
+        return found
+    words = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    taken = np.zeros(len(buf) // GRID + 1, bool)
+    for period in range(1, PERIOD + 1):
+        grid = np.arange(0, len(words) - period, GRID)
+        same = words[grid] == words[grid + period]
+        at = grid[:-2][same[:-2] & same[1:-1] & same[2:]]
+        at = at[~taken[at // GRID]]
+        if not len(at):
+            continue
+        differ = buf[period:] != buf[:-period]
+        across = (offs[1:-1, None] - 1 - np.arange(period)).ravel()
+        differ[across[(across >= 0) & (across < len(differ))]] = True
+        breaks = np.concatenate([[-1], np.flatnonzero(differ), [len(differ)]])
+        behind = np.unique(np.searchsorted(breaks, at, "right"))
+        first, stop = breaks[behind - 1] + 1, breaks[behind]
+        long = stop - first >= length
+        for a, b in zip(first[long].tolist(), stop[long].tolist(), strict=True):
+            found.append((a, b + period, period))
+            taken[-(-a // GRID) : -(-(b + period) // GRID)] = True
+    return found
+
+
 def blocks(buf: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Blocks of the texts in ``buf``: text index, first and last string start (within the text),
-    core fingerprint and block fingerprint."""
+    core fingerprint and block fingerprint. Of a periodic stretch, the strings of its first period stand for all."""
     if len(buf) < length:
         return {}
     at = _triggers(buf)
@@ -125,11 +157,17 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.ndarr
         if hi - lo >= length:
             valid[lo : hi - length + 1] = True
             new[lo] = True
+    again = np.zeros(n + 1, bool)
+    for begin, end, period in stretches(buf, offs, length):
+        again[begin + period : end - length + 1] = True
+    new[1:] |= again[1:n] != again[: n - 1]
     start = np.flatnonzero(new & valid)
     if not len(start):
         return {}
     doc = np.searchsorted(offs, start, "right") - 1
     stop = np.minimum(np.append(start[1:], n), offs[doc + 1] - length + 1) - 1
+    own = ~again[start]
+    start, doc, stop = start[own], doc[own], stop[own]
     prefixes = Prefixes(buf)
     core = prefixes.of(0, first[start], last[start] + GRAM)
     inside = (first[start] - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)
@@ -138,18 +176,42 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int) -> dict[str, np.ndarr
     return {"doc": doc, "lo": start - offs[doc], "hi": stop - offs[doc], "core": core, "b1": one, "b2": two}
 
 
+def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place of the first byte in its text, bytes, offsets) of some texts, or of a part of a long one."""
+    for lo, hi, buf, offs in tk.slices(batch.column(1), SLICE):
+        if hi - lo > 1:
+            yield lo, 0, buf, offs
+            continue
+        for at in range(0, max(1, len(buf) - length + 1), PART):
+            part = buf[at : at + PART + length - 1]
+            yield lo, at, part, np.array([0, len(part)])
+
+
 def _parse(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in tk.slices(batch.column(1), SLICE):
-                for at in range(0, max(1, len(buf) - length + 1), PART) if hi - lo == 1 else [0]:
-                    part, ends = (buf[at : at + PART + length - 1], None) if hi - lo == 1 else (buf, offs)
-                    found = blocks(part, np.array([0, len(part)]) if ends is None else ends, length)
-                    if found:
-                        take = pa.array(found["doc"] + lo)
-                        place = (found["lo"] + at) * 1024 + (found["hi"] - found["lo"])
-                        columns = [pa.array(tk.signed(found[c])) for c in ("core", "b1", "b2")]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns, pa.array(place)], names=["row", "core", "b1", "b2", "place"])
+            for lo, at, part, offs in _parts(batch, length):
+                found = blocks(part, offs, length)
+                if found:
+                    take = pa.array(found["doc"] + lo)
+                    place = (found["lo"] + at) * 1024 + (found["hi"] - found["lo"])
+                    columns = [pa.array(tk.signed(found[c])) for c in ("core", "b1", "b2")]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *columns, pa.array(place)], names=["row", "core", "b1", "b2", "place"])
+
+    return run
+
+
+def _periodic(length: int):
+    """The periodic stretches of the parsed parts: every string in one also starts a period away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, at, part, offs in _parts(batch, length):
+                found = stretches(part, offs, length)
+                if found:
+                    start, end, _ = np.array(found, np.int64).T
+                    doc = np.searchsorted(offs, start, "right") - 1
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(start - offs[doc] + at), pa.array(end - offs[doc] + at)], names=["row", "start", "end"])
 
     return run
 
@@ -322,6 +384,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     discard(cut, asked, several, hot, cores, distinct)
     lo, more = F.floor(F.col("place") / 1024), F.col("place") % 1024
     spans = repeated.join(flagged, key).select("row", (lo + F.col("begin")).alias("start"), (lo + F.least(F.col("finish"), more) + length).alias("end"))
+    spans = spans.union(texts.select("row", "text").mapInArrow(_periodic(length), "row long, start long, end long"))
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = materialize(spans.mapInArrow(_merge, spans.schema), "spans")
     discard(flagged, repeated)

@@ -27,6 +27,33 @@ def test_against_the_definition(spark, seed):
     assert run(spark, texts, 400) == sd.brute_force([(t or "").encode() for t in texts], 400)
 
 
+@pytest.mark.parametrize("part", [None, 700])
+def test_runs_and_periods(spark, monkeypatch, part):
+    if part:
+        monkeypatch.setattr(sd, "PART", part)
+    rng = random.Random(5)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    texts = []
+    for period in (1, 2, 3, 5, 8, 13, 21, 24, 32, 33, 63, 64, 65, 100, 401):
+        unit = fresh(period)
+        for size in (399, 400, 400 + period - 1, 400 + period, 401 + period, 400 + 2 * period, 1500):
+            texts.append(fresh(rng.choice([0, 7, 300])) + (unit * (size // period + 1))[:size] + fresh(rng.choice([0, 9, 300])))
+    one, two = fresh(6), fresh(4)
+    texts += ["ab" * 300 + "abc" * 300 + "a" * 900, one * 120 + two * 150, one * 67, two * 100, two * 101, two * 99]
+    rng.shuffle(texts)
+    assert run(spark, texts, 400) == sd.brute_force([t.encode() for t in texts], 400)
+
+
+def test_repetitive_text_makes_few_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for period in [*range(1, 70), 100, 224]:
+        unit = rng.integers(97, 123, period).astype(np.uint8)
+        buf = np.concatenate([np.tile(unit, 60_000 // period), rng.integers(97, 123, 1000).astype(np.uint8)])
+        assert len(sd.blocks(buf, np.array([0, 30_000, len(buf)]), 400)["doc"]) <= 0.04 * len(buf)
+
+
 def test_hot_cores_take_the_shuffled_way(spark, monkeypatch):
     monkeypatch.setattr(sd, "LOCAL_BLOCKS", 2)
     texts = corpus(3)
