@@ -114,30 +114,31 @@ def _triggers(buf: np.ndarray) -> np.ndarray:
 
 
 def stretches(buf: np.ndarray, offs: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(start, end, period) of the longest stretches within a text that repeat with a period of at most ``PERIOD`` bytes and hold each of
-    their strings twice. They are looked for where three words, ``GRID`` bytes apart, recur at the period's distance."""
+    """(start, end, period) of stretches within a text that repeat with a period of at most ``PERIOD`` bytes and hold each of their strings
+    twice. They are looked for where words, ``GRID`` bytes apart, recur at the period's distance; one that is missed is parsed like other text."""
     found: list[tuple[int, int, int]] = []
     if len(buf) < length + PERIOD:
         return found
     words = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
     taken = np.zeros(len(buf) // GRID + 1, bool)
+    run = (length - 7 - GRID) // GRID + 1
     for period in range(1, PERIOD + 1):
-        grid = np.arange(0, len(words) - period, GRID)
-        same = words[grid] == words[grid + period]
-        at = grid[:-2][same[:-2] & same[1:-1] & same[2:]]
-        at = at[~taken[at // GRID]]
-        if not len(at):
-            continue
-        differ = buf[period:] != buf[:-period]
-        across = (offs[1:-1, None] - 1 - np.arange(period)).ravel()
-        differ[across[(across >= 0) & (across < len(differ))]] = True
-        breaks = np.concatenate([[-1], np.flatnonzero(differ), [len(differ)]])
-        behind = np.unique(np.searchsorted(breaks, at, "right"))
-        first, stop = breaks[behind - 1] + 1, breaks[behind]
-        long = stop - first >= length
-        for a, b in zip(first[long].tolist(), stop[long].tolist(), strict=True):
-            found.append((a, b + period, period))
-            taken[-(-a // GRID) : -(-(b + period) // GRID)] = True
+        later = words[period::GRID]
+        away = np.flatnonzero(words[::GRID][: len(later)] != later)
+        away = np.concatenate([[-1], away, [len(later)]])
+        for i in np.flatnonzero(np.diff(away) > run):
+            first, last = int(away[i]) + 1, int(away[i + 1]) - 1
+            if taken[first] and taken[last]:
+                continue
+            lo, hi = max(0, first * GRID - GRID), min(len(buf) - period, (last + 1) * GRID + 8)
+            differ = buf[lo + period : hi + period] != buf[lo:hi]
+            for edge in offs[np.searchsorted(offs, lo, "right") : np.searchsorted(offs, hi + period)]:
+                differ[max(0, edge - period - lo) : max(0, edge - lo)] = True
+            breaks = np.concatenate([[-1], np.flatnonzero(differ), [len(differ)]])
+            for j in np.flatnonzero(np.diff(breaks) > length):
+                start, end = lo + int(breaks[j]) + 1, lo + int(breaks[j + 1]) + period
+                found.append((start, end, period))
+                taken[-(-start // GRID) : -(-end // GRID)] = True
     return found
 
 
