@@ -3,9 +3,11 @@ that every page takes part."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from minutespark.functions.urls import platform
+from minutespark.operators import elements as el
 from minutespark.operators import html as h
 from minutespark.plans.registry import Tables, query
 
@@ -54,6 +56,34 @@ def htm3_single_video(t: Tables):
     return with_extra(t, extra).select("page_id", h.single_video_id(F.col("html")).alias("video"))
 
 
+@query("""
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://vimeo.com/' || page_id || '/ab?x=1&y=2' WHEN 1 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/meetings/' || page_id
+  WHEN 2 THEN regexp_extract(url, '^([a-z]+):', 1) || '://player.example.com/e/' || page_id ELSE 'https://media.example.com/a&b' END AS link, page_id % 5 = 0 AS recognized
+FROM pages WHERE page_id % 5 < 4""")
+def htm4_video_pointer(t: Tables):
+    """A known host, an anchor's visible text over nested markup, frames; every page has links that say something else."""
+    n = number()
+    furniture = F.lit('<iframe src="https://www.googletagmanager.com/ns.html"></iframe><iframe src="/own"></iframe><a href="#top">Video</a><a href="javascript:play()">Watch</a><a href="/v">Watch our budget</a>')
+    known = F.concat(F.lit('<a href="/x">Video</a><p>https://vimeo.com/'), n, F.lit("/ab?x=1&amp;y=2</p>"))
+    anchor = F.concat(F.lit('<iframe src="https://other.example.com/"></iframe><a class=x HREF=/meetings/'), n, F.lit("><b>Watch</b><script>no</script> <i>the<br>\nmeeting</a>"))
+    frame = F.concat(F.lit('<iframe src="//player.example.com/e/'), n, F.lit('"></iframe><iframe src="https://other.example.com/">'))
+    linked = F.lit('</div></b><a title="1" href="https://media.example.com/a&amp;b" href="/second"> Live&#32;Stream/Recording </a>')
+    which = F.col("page_id") % 5
+    extra = F.when(which == 0, known).when(which == 1, anchor).when(which == 2, frame).when(which == 3, linked).otherwise("<!-- <a href='/c'>Video</a> -->")
+    return el.video_pointers(with_extra(t, furniture, extra), "page_id")
+
+
+_ANCHOR = r"""'<a href="([^"]*)">([^<]*)</a>'"""
+
+
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, href, said FROM (SELECT page_id, unnest(regexp_extract_all(html, {_ANCHOR}, 1)) AS href, trim(unnest(regexp_extract_all(html, {_ANCHOR}, 2))) AS said, generate_subscripts(regexp_extract_all(html, {_ANCHOR}, 1), 1) AS pos FROM pages)")
+def htm12_anchor_texts(t: Tables):
+    """Anchors with what they say, as elements of the page."""
+    found = el.elements(t.pages, "page_id", "html", ["a"])
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("element")) - 1
+    return found.select("page_id", pos.cast("long").alias("pos"), F.col("attrs")["href"].alias("href"), F.col("text").alias("said"))
+
+
 @query("SELECT page_id, ['/t.vtt', '/my-captions.srt', '/o.ttml'] AS files FROM pages")
 def htm5_caption_candidates(t: Tables):
     extra = F.lit('<a x="/o.ttml"><a x="/my-captions.srt"><track kind="x" src="/t.vtt"><a x="/p.vtt">')
