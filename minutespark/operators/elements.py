@@ -143,3 +143,19 @@ def video_pointers(pages: DataFrame, key: str, html: str = "html", url: str = "u
     outside = (there != "(unparseable)") & (there != host(F.col("base"))) & ~F.lower("link").rlike("|".join(f.replace(".", r"\.") for f in FURNITURE))
     best = rows.where((F.col("tier") < 2) | F.coalesce(outside, F.lit(False))).groupBy(key).agg(F.min(F.struct("tier", "element", "link")).alias("b"))
     return best.select(key, "b.link", (F.col("b.tier") == 0).alias("recognized"))
+
+
+def agenda_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, link): the address of the first anchor whose visible text or address says agenda; pages without one have no row."""
+    href = F.col("attrs")["href"]
+    says = F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("agenda")) | F.contains(F.lower(href), F.lit("agenda"))
+    anchors = elements(pages, key, html, ["a"]).where((href != "") & says)
+    return anchors.groupBy(key).agg(F.min(F.struct("element", href.alias("link"))).alias("b")).select(key, "b.link")
+
+
+def chapters(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, chapters): seconds and label of elements with a time attribute, in document order, labels by all the text in them; pages without any have no row."""
+    at = F.coalesce(F.col("attrs")["data-time"], F.col("attrs")["data-seconds"])
+    timed = elements(pages, key, html, ["li", "a", "div"]).where(at.rlike("^[0-9]{1,9}$"))
+    rows = timed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("element", at.cast("long").alias("seconds"), F.col("text").alias("label")))).alias("c"))
+    return rows.select(key, F.transform("c", lambda x: F.struct(x["seconds"].alias("seconds"), x["label"].alias("label"))).alias("chapters"))

@@ -118,20 +118,6 @@ def caption_candidates(html: Column, most: int = 3) -> Column:
     return F.slice(F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in tiers))), 1, most)
 
 
-def agenda_link(html: Column) -> Column:
-    """The first link whose text or address says agenda; null without."""
-    both = F.regexp_extract_all(html, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
-    hit = F.get(F.filter(both, lambda a: F.lower(a).contains("agenda")), F.lit(0))
-    return F.nullif(F.regexp_extract(hit, r"""(?i)href=["']([^"']+)["']""", 1), F.lit(""))
-
-
-def chapters(html: Column) -> Column:
-    """(seconds, label) of elements with a time attribute."""
-    p = r"""(?is)<(?:li|a|div)\b[^>]*\bdata-(?:time|seconds)=["'](\d+)["'][^>]*>(.*?)</"""
-    at, label = F.regexp_extract_all(html, F.lit(p), F.lit(1)), F.regexp_extract_all(html, F.lit(p), F.lit(2))
-    return F.transform(F.arrays_zip(at.alias("at"), label.alias("label")), lambda x: F.struct(x["at"].cast("long").alias("seconds"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")))
-
-
 def best_video(urls: Column) -> Column:
     """A stream before a file; null without either."""
     pick = [F.get(F.filter(urls, lambda u: F.lower(u).rlike(p)), F.lit(0)) for p in (r"\.m3u8", r"\.mp4")]  # noqa: B023

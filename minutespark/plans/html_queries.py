@@ -93,7 +93,7 @@ def htm5_caption_candidates(t: Tables):
 @query("SELECT page_id, '/docs/' || page_id AS link FROM pages")
 def htm6_agenda_link(t: Tables):
     extra = F.concat(F.lit('<a href="/docs/'), number(), F.lit('">Full <b>Agenda</b></a>'))
-    return with_extra(t, extra).select("page_id", h.agenda_link(F.col("html")).alias("link"))
+    return el.agenda_links(with_extra(t, F.lit("<a href='/old'>Minutes <!-- agenda --></a>"), extra), "page_id")
 
 
 @query("SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages")
@@ -125,8 +125,8 @@ def htm9_empty_shell(t: Tables):
 @query("SELECT page_id, [60, page_id + 60] AS seconds, 'Roll call' AS first_label FROM pages")
 def htm11_chapters(t: Tables):
     extra = F.concat(F.lit('<li data-time="60"><b>Roll call</b></li><li class="x" data-seconds="'), (F.col("page_id") + 60).cast("string"), F.lit('">Budget</li>'))
-    found = with_extra(t, extra).select("page_id", h.chapters(F.regexp_replace("html", r"</b></li>", "</li>")).alias("c"))
-    return found.select("page_id", F.transform("c", lambda x: x["seconds"]).alias("seconds"), F.get("c", F.lit(0))["label"].alias("first_label"))
+    found = el.chapters(with_extra(t, extra), "page_id")
+    return found.select("page_id", F.transform("chapters", lambda x: x["seconds"]).alias("seconds"), F.get("chapters", F.lit(0))["label"].alias("first_label"))
 
 
 @query(f"SELECT page_id, replace(replace(unnest({_LINKS}), '&#x27;', ''''), '&amp;', '&') AS link, generate_subscripts({_LINKS}, 1) - 1 AS pos FROM pages")

@@ -34,6 +34,15 @@ def test_pointers(spark):
     assert found == {-1: ("/v", False)} | {i: e for i, (_, e) in enumerate(expected) if e}
 
 
+def test_agendas_and_chapters(spark):
+    page = """<a href='/m'>Minutes</a><a name=agenda>Agenda</a><a href='/d?x=1&amp;y'><span>Full <b>AGENDA</b></span></a><a href='/agenda2'>x</a>
+    <ul><li data-time=60><b>Roll</b> call<li data-time='x'>no</ul><div data-seconds="3661"><p>Budget &amp; <i>tax</i></p></div>"""
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<a href=/x>y</a>")], "k long, html string")
+    assert [tuple(r) for r in el.agenda_links(pages, "k").collect()] == [(1, "/d?x=1&y")]
+    (row,) = el.chapters(pages, "k").collect()
+    assert [tuple(c) for c in row["chapters"]] == [(60, "Roll call no"), (3661, "Budget & tax")]
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "k string, url string, html string, element int, tier int")
     assert el.video_pointers(none, "k").count() == 0 and el.elements(none, "k", "html", ["a"]).agg(F.count("*")).first()[0] == 0
