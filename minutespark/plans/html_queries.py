@@ -10,6 +10,7 @@ from minutespark.functions.urls import platform
 from minutespark.operators import elements as el
 from minutespark.operators import html as h
 from minutespark.plans.registry import Tables, query
+from minutespark.sources import feeds
 
 
 def with_extra(t: Tables, *parts):
@@ -153,10 +154,12 @@ def src20_json_payload(t: Tables):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT item_id, 'Title ' || item_id AS title FROM benchmark")
+@query("SELECT item_id, 'Title <' || item_id || '> & more' AS title, '/v/' || item_id AS link FROM benchmark WHERE item_id % 3 < 2")
 def src21_feed_item(t: Tables):
-    """An item of a feed found by its id."""
-    feed = F.concat(F.lit("<rss><item><guid>x</guid><title>No</title></item><item><guid>"), F.col("item_id"), F.lit("</guid><title>Title "), F.col("item_id"), F.lit("</title></item></rss>"))
-    rows = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(feed, F.lit("(?s)<item>(.*?)</item>"), F.lit(1))).alias("item"))
-    hit = rows.where(F.regexp_extract("item", "<guid>(.*?)</guid>", 1) == F.col("item_id").cast("string"))
-    return hit.select("item_id", F.regexp_extract("item", "<title>(.*?)</title>", 1).alias("title"))
+    """An item of a feed found by its id; a third of the feeds are cut off, and some have prefixed names."""
+    n = F.col("item_id").cast("string")
+    item = F.concat(F.lit('<item><guid>x</guid><title>No</title></item><item><guid isPermaLink="false">'), n, F.lit("</guid><title>Title &lt;"), n, F.lit("&gt; &amp; more</title><link>/v/"), n, F.lit("</link></item>"))
+    prefixed = F.regexp_replace(F.regexp_replace(item, "<(guid|title|link|item)", "<m:$1"), "</", "</m:")
+    which = F.col("item_id") % 3
+    feed = F.when(which == 0, F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>"))).when(which == 1, F.concat(F.lit('<rss xmlns:m="urn:m">'), prefixed, F.lit("</rss>"))).otherwise(F.concat(F.lit("<rss>"), item))
+    return feeds.item_by_id(t.benchmark.select("item_id", feed.alias("feed")), "item_id", "feed", n)
