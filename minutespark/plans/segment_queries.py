@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from minutespark.functions import times
+from minutespark.operators import languages
 from minutespark.operators import segments as seg
 from minutespark.plans.registry import Tables, query
 from minutespark.sources import captions
@@ -210,13 +211,29 @@ def jn10_active_segment(t: Tables):
     return transcripts(t).select("conv_id", seg.active_segment(F.col("segments"), F.lit(25.0)).cast("long").alias("at"))
 
 
-LANGUAGES = {"en": ["the", "and", "that", "with", "was", "of", "from"], "de": ["der", "die", "und", "das", "nicht", "ist", "von"], "fr": ["le", "la", "les", "des", "que", "est", "dans"], "es": ["el", "los", "las", "que", "con", "una", "por"]}
+def held_out():
+    """Texts by which the detector is judged, and which it is not trained on."""
+    return F.endswith(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0"))
 
 
-@query()
+def language_model(t: Tables):
+    return languages.train(t.documents.where(~held_out()), "text", "lang")
+
+
+@query("""
+WITH words AS (SELECT doc_id, lang, ends_with(md5(doc_id::VARCHAR), '0') AS held_out, ' ' || unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) || ' ' AS w FROM documents),
+grams AS (SELECT doc_id, lang, held_out, substr(w, unnest(range(1, length(w) - 1)), 3) AS gram FROM words WHERE length(w) BETWEEN 3 AND 42),
+kept AS (SELECT gram FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, gram LIMIT 50000),
+cells AS (SELECT k.gram, l.lang, count(g.gram) AS c FROM kept k CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL AND NOT ends_with(md5(doc_id::VARCHAR), '0')) l
+ LEFT JOIN (SELECT * FROM grams WHERE NOT held_out) g ON g.gram = k.gram AND g.lang = l.lang GROUP BY 1, 2),
+model AS (SELECT gram, lang, round(ln((c + 0.5) / (sum(c) OVER (PARTITION BY lang) + 0.5 * count(*) OVER (PARTITION BY lang))) * 10000)::BIGINT AS s FROM cells),
+sums AS (SELECT doc_id, m.lang, sum(s) AS s FROM grams JOIN model m USING (gram) GROUP BY 1, 2),
+best AS (SELECT doc_id, lang AS detected FROM sums QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)
+SELECT lang, detected, ends_with(md5(doc_id::VARCHAR), '0') AS held_out, count(*) AS n FROM documents LEFT JOIN best USING (doc_id) GROUP BY 1, 2, 3""")
 def agg27_detected_language(t: Tables):
-    """Detected against given language; the confusion table."""
-    return t.documents.groupBy("lang", seg.language_scores(F.col("text"), LANGUAGES).alias("detected")).agg(F.count("*").alias("n"))
+    """Detected against given language, of texts trained on and of others: the confusion table."""
+    named = languages.detect(t.documents, ["doc_id", "lang"], "text", language_model(t))
+    return named.groupBy("lang", "detected", held_out().alias("held_out")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn AS pos, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 8 AS finish, md5(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS text_md5 FROM conversations")
@@ -272,9 +289,11 @@ def win16_line_transcript(t: Tables):
 @query()
 def seg15_language_samples(t: Tables):
     """The detected language of evenly spaced samples, weighted by characters (agg27)."""
-    chunks = t.documents.select("doc_id", F.explode(seg.sample_chunks(F.col("text"))).alias("chunk"))
-    votes = chunks.groupBy("doc_id", seg.language_scores(F.col("chunk"), LANGUAGES).alias("lang")).agg(F.sum(F.length("chunk")).alias("w"))
-    return votes.where("lang is not null").groupBy("doc_id").agg(F.max_by("lang", F.struct("w", "lang")).alias("lang"))
+    chunks = t.documents.select("doc_id", F.posexplode(seg.sample_chunks(F.col("text"))).alias("at", "chunk"))
+    weights = chunks.select("doc_id", "at", F.length("chunk").alias("w"))
+    votes = languages.detect(chunks, ["doc_id", "at"], "chunk", language_model(t)).join(weights, ["doc_id", "at"]).where("detected is not null")
+    by_language = votes.groupBy("doc_id", "detected").agg(F.sum("w").alias("w"))
+    return by_language.groupBy("doc_id").agg(F.max_by("detected", F.struct("w", "detected")).alias("lang"))
 
 
 @query("SELECT conv_id, count(*) + 1 AS blocks FROM conversations GROUP BY 1")

@@ -13,7 +13,6 @@ import pytest
 from minutespark.operators import search, state
 from minutespark.operators import segments as seg
 from minutespark.plans import catalog
-from minutespark.plans.segment_queries import LANGUAGES
 from tests.test_segments import plain_dedupe
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,16 +116,6 @@ def test_repetition_runs_and_ratio(spark):
     assert dict(found(spark, "win8_rollup_ratio", "conv_id", "ratio")) == ratios
 
 
-def test_detected_languages(spark):
-    def language(text):
-        words = re.split(r"[^\w']+|[\d_]+", text.lower())
-        scores = [(sum(w in common for w in words), -i, lang) for i, (lang, common) in enumerate(LANGUAGES.items())]
-        return max(scores)[2] if max(scores)[0] else None
-
-    expected = Counter((r["lang"], language(r["text"] or "")) for r in table("documents"))
-    assert {(a, b): n for a, b, n in found(spark, "agg27_detected_language", "lang", "detected", "n")} == expected
-
-
 def test_str30_signed_token(spark):
     expected = {(c, hmac.new(b"key", str(c).encode(), "sha256").hexdigest()[:32]) for c in conversations()}
     assert set(found(spark, "str30_signed_token", "conv_id", "token")) == expected
