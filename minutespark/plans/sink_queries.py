@@ -1,4 +1,4 @@
-"""What the sinks write, as row sets; the writers themselves are in ``minutespark.sources.tables``."""
+"""Sinks. Upserts, inserts, deletes and updates write tables of versions in the cluster's shared folder and read them back."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from minutespark.operators import relational as rel
 from minutespark.plans.registry import Tables, query
-from minutespark.sources import captions
+from minutespark.sources import captions, versions
+from minutespark.streaming.streams import work_folder
+
+#: Parts of the tables written here.
+PARTS = 16
 
 
 @query("""
@@ -15,16 +19,21 @@ FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'new' END AS sou
 def snk1_upsert(t: Tables):
     old = t.documents.where("doc_id % 2 = 0").select("doc_id", "source", "lang")
     new = t.documents.where("doc_id % 4 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise("new").alias("source"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"))
-    merged = rel.upsert(old, new, "doc_id")
+    path = work_folder(t.spark, "upsert")
+    versions.create(old, path, ["doc_id"], PARTS)
     # A row that is only new keeps an empty value as null.
-    return merged.select("doc_id", "source", "lang")
+    versions.change(t.spark, path, new, lambda rows, changes: rel.upsert(rows, changes, "doc_id"))
+    return versions.read(t.spark, path)
 
 
 @query("SELECT source, lang FROM (SELECT DISTINCT source, lang FROM documents WHERE lang = 'en') UNION SELECT DISTINCT source, lang FROM documents")
 def snk2_insert_absent(t: Tables):
     """Vocabulary-like insert: what is there stays, what is new comes once (snk3)."""
     old = t.documents.where("lang = 'en'").select("source", "lang").distinct()
-    return rel.insert_absent(old, t.documents.select("source", "lang"), ["source", "lang"])
+    path = work_folder(t.spark, "insert")
+    versions.create(old, path, ["source", "lang"], PARTS)
+    versions.change(t.spark, path, t.documents.select("source", "lang"), lambda rows, changes: rel.insert_absent(rows, changes, ["source", "lang"]))
+    return versions.read(t.spark, path)
 
 
 @query("SELECT user_id, event_type, min(event_id) AS winner FROM events GROUP BY 1, 2")
@@ -36,9 +45,15 @@ def snk4_claim_once(t: Tables):
 SELECT 'documents' AS tbl, count(*) AS kept FROM documents WHERE source <> 'src3' UNION ALL
 SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')""")
 def snk6_cascade_delete(t: Tables):
+    """Children first, so that no version of them points to a parent that has gone."""
     gone = t.documents.where("source = 'src3'").select("doc_id")
-    docs = t.documents.join(gone, "doc_id", "left_anti").agg(F.lit("documents").alias("tbl"), F.count("*").alias("kept"))
-    return docs.unionByName(t.labels.join(gone, "doc_id", "left_anti").agg(F.lit("labels").alias("tbl"), F.count("*").alias("kept")))
+    kept = []
+    for name in ("labels", "documents"):
+        path = work_folder(t.spark, f"cascade-{name}")
+        versions.create(getattr(t, name).select("doc_id"), path, ["doc_id"], PARTS)
+        versions.delete(t.spark, path, gone)
+        kept.append(versions.read(t.spark, path).agg(F.lit(name).alias("tbl"), F.count("*").alias("kept")))
+    return kept[0].unionByName(kept[1])
 
 
 @query("SELECT count(*) FILTER (user_id <> 7) AS kept, count(*) FILTER (user_id = 7) AS removed FROM events")
@@ -46,11 +61,17 @@ def snk7_account_delete(t: Tables):
     return t.events.agg(F.count_if(F.col("user_id") != 7).alias("kept"), F.count_if(F.col("user_id") == 7).alias("removed"))
 
 
-@query("SELECT n_nationkey, n_name AS old, 'NATION-' || n_nationkey AS new FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_name FROM nation WHERE false")
+@query("SELECT n_nationkey, n_name AS old, 'NATION-' || n_nationkey AS new FROM nation WHERE n_regionkey = 1")
 def snk8_bulk_update_diff(t: Tables):
-    """A dry run: only rows that an update would change."""
-    new = F.when(F.col("n_regionkey") == 1, F.concat(F.lit("NATION-"), F.col("n_nationkey"))).otherwise(F.col("n_name"))
-    return t.nation.select("n_nationkey", F.col("n_name").alias("old"), new.alias("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    """A bulk update: the rows that it changes, as a dry run has them and as the versions before and after differ."""
+    path = work_folder(t.spark, "update")
+    versions.create(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path, ["n_nationkey"], PARTS)
+    planned = t.nation.where("n_regionkey = 1").select("n_nationkey", F.concat(F.lit("NATION-"), F.col("n_nationkey")).alias("new"))
+    made = versions.change(
+        t.spark, path, planned, lambda rows, new: rows.join(new, "n_nationkey", "left").withColumn("n_name", F.coalesce("new", "n_name"))
+    )
+    before, after = (versions.read(t.spark, path, n).select("n_nationkey", F.col("n_name").alias(name)) for n, name in ((0, "old"), (made, "new")))
+    return before.join(after, "n_nationkey").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 @query("""
