@@ -41,6 +41,17 @@ def keep_latest(df: DataFrame, keys: list[str], *order: Column, k: int = 1) -> D
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def page_with_total(rows: DataFrame, order: list[Column], offset: int, limit: int, parts: int = 256) -> DataFrame:
+    """A page of ``rows`` in a (total) order, each with ``total``, how many rows there are; one pass over ``rows``, which may be dear to
+    find. Rows are ranked within parts, and only those that can be on the page (``offset + limit`` of each part at most) meet."""
+    dealt = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    part = Window.partitionBy("_part")
+    ranked = dealt.withColumn("_rank", F.row_number().over(part.orderBy(*order))).withColumn("_size", F.count("*").over(part))
+    near = ranked.where(F.col("_rank") <= offset + limit)
+    total = F.sum(F.when(F.col("_rank") == 1, F.col("_size"))).over(Window.partitionBy(F.lit(0)))
+    return near.withColumn("total", total).orderBy(*order).offset(offset).limit(limit).drop("_part", "_rank", "_size")
+
+
 def count_close_pairs(df: DataFrame, sets: dict[str, tuple[Column, list[str]]], time: str, order: str, minutes: int) -> DataFrame:
     """(shape, pairs): for each named set (a condition on the rows, and columns that the two have in common, nulls
     included) the pairs of rows at most ``minutes`` apart (inclusive). Counted, not made: of the rows at or before a row, those

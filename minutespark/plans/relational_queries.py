@@ -454,9 +454,8 @@ def agg31_wall_clock(t: Tables):
 def win1_total_beside_page(t: Tables):
     """Page 2 of 50 with the total and the number of pages (top1, top2, top3)."""
     rows = t.documents.where("lang = 'de'").select("doc_id", "n_chars")
-    total = rows.count()
-    pages = max(1, -(-total // 50))
-    return rows.orderBy(F.desc("n_chars"), F.desc("doc_id")).offset(50).limit(50).select("*", long(F.lit(total), "total"), long(F.lit(pages), "pages"))
+    page = rel.page_with_total(rows, [F.desc("n_chars"), F.desc("doc_id")], 50, 50)
+    return page.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / 50)).cast("long"))
 
 
 @query("""

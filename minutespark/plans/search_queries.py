@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from minutespark.operators import fulltext, search, trigrams
+from minutespark.operators import relational as rel
 from minutespark.plans.registry import Tables, query
 from minutespark.streaming.streams import work_folder
 
@@ -20,9 +21,9 @@ def flt1_list_pages(t: Tables):
     """Faceted listing with keyword search, default-version join, total and page 2 of 20 rows."""
     defaults = t.labels.where("toxic = 0").select("doc_id", "quality")
     rows = t.documents.where((F.col("lang") == "en") & search.matches_exactly(F.lower("text"), Q)).join(defaults, "doc_id", "left")
-    total = rows.count()
-    page = rows.orderBy(F.desc("n_chars"), F.desc("doc_id")).offset(20).limit(20)
-    return page.select("doc_id", F.col("source").alias("platform"), "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.lit(total).cast("long").alias("total"))
+    found = rows.select("doc_id", "source", "lang", "quality", "n_chars")
+    page = rel.page_with_total(found, [F.desc("n_chars"), F.desc("doc_id")], 20, 20)
+    return page.select("doc_id", F.col("source").alias("platform"), "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), "total")
 
 
 @query(f"SELECT doc_id FROM documents WHERE {EXACT}")

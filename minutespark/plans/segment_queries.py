@@ -251,11 +251,13 @@ def src7_srt(t: Tables):
     return captions.parse_srt(files.select("conv_id", "body"), "body").select("conv_id", "pos", "start", F.col("end").alias("finish"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("SELECT conv_id, turn AS pos, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 8 AS finish FROM conversations")
+@query("SELECT conv_id, turn AS pos, turn * 10.0::DOUBLE AS start, turn * 10.0::DOUBLE + 8 AS finish, md5(regexp_replace(trim(text), '\\s+', ' ', 'g') || ' & more') AS text_md5 FROM conversations")
 def src8_ttml(t: Tables):
-    line = F.transform("segments", lambda s: F.concat(F.lit('<tt:p begin="'), s["start"].cast("string"), F.lit('s" end="'), s["end"].cast("string"), F.lit('s">a<br/>b</tt:p>')))
-    files = transcripts(t).select("conv_id", F.concat(F.lit("<tt:tt><tt:body>"), F.array_join(line, ""), F.lit("</tt:body></tt:tt>")).alias("body"))
-    return captions.parse_ttml(files, "body").select("conv_id", "pos", "start", F.col("end").alias("finish"))
+    """Timed text with prefixes, nested elements and entities, written from the transcripts and parsed again."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = F.transform("segments", lambda s: F.concat(F.lit('<tt:p begin="'), s["start"].cast("string"), F.lit('s" end="'), s["end"].cast("string"), F.lit('s"><tt:span>'), escaped(s["text"]), F.lit("</tt:span><tt:br/>&amp; more</tt:p>")))
+    files = transcripts(t).select("conv_id", F.concat(F.lit('<tt:tt xmlns:tt="http://www.w3.org/ns/ttml"><tt:body>'), F.array_join(line, ""), F.lit("</tt:body></tt:tt>")).alias("body"))
+    return captions.parse_ttml(files, "body").select("conv_id", "pos", "start", F.col("end").alias("finish"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT page_id, len(list_filter(string_split(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), chr(10)), lambda s: trim(s) <> '')) AS lines FROM pages")

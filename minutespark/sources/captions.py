@@ -35,12 +35,23 @@ def ttml_seconds(text: Column) -> Column:
 
 
 def parse_ttml(files: DataFrame, body: str) -> DataFrame:
-    """Paragraphs with begin and end in any namespace; line breaks become spaces."""
-    marks = F.regexp_extract_all(F.col(body), F.lit(r"(?s)<(?:\w+:)?p\b[^>]*>.*?</(?:\w+:)?p>"), F.lit(0))
-    rows = files.select(*(c for c in files.columns if c != body), F.posexplode(marks).alias("pos", "_p"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_p", r"<(?:\w+:)?br\s*/?>", " "), "<[^>]*>", ""), r"\s+", " "))
-    begin, end = (ttml_seconds(F.regexp_extract("_p", rf'\b{a}="([^"]*)"', 1)) for a in ("begin", "end"))
-    return rows.withColumn("start", begin).withColumn("end", end).withColumn("text", text).withColumn("pos", F.col("pos").cast("long")).drop("_p")
+    """Paragraphs with begin and end in any namespace, in order; the text of nested elements is theirs, and line breaks become spaces. What is
+    not well-formed XML, or null, has no cues; nor has a paragraph without text, or whose times are not understood."""
+    read = F.from_xml(F.col(body), "bad string, none string", {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
+    bare = F.regexp_replace(F.col(body), "(?s)<!--.*?-->", "")
+    marks = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:[\w.-]+:)?p(?:\s[^>]*?)?(?:/>|>.*?</(?:[\w.-]+:)?p\s*>)"), F.lit(0))
+
+    def cue(mark: Column) -> Column:
+        opened = F.regexp_replace(F.regexp_extract(mark, r"^<(?:[\w.-]+:)?p((?:\s[^>]*?)?)/?>", 1), r"^", "<p ")
+        times_ = F.from_xml(F.concat(opened, F.lit("/>")), "_begin string, _end string")
+        spaced = F.regexp_replace(mark, r"<(?:[\w.-]+:)?br\b[^>]*>", " ")
+        flat = F.regexp_replace(spaced, r"(<!\[CDATA\[(?s:.*?)\]\]>)|<[^>]*>", "$1")
+        said = F.from_xml(F.concat(F.lit("<p>"), flat, F.lit("</p>")), "_VALUE string")["_VALUE"]
+        return F.struct(ttml_seconds(times_["_begin"]).alias("start"), ttml_seconds(times_["_end"]).alias("end"), F.trim(F.regexp_replace(said, r"\s+", " ")).alias("text"))
+
+    cues = F.filter(F.transform(F.when(read["bad"].isNull(), marks), cue), lambda c: c["start"].isNotNull() & c["end"].isNotNull() & (c["text"] != ""))
+    rows = files.select(*(c for c in files.columns if c != body), F.posexplode(cues).alias("pos", "_c"))
+    return rows.select("*", "_c.start", "_c.end", "_c.text").withColumn("pos", F.col("pos").cast("long")).drop("_c")
 
 
 def plain_lines(body: Column) -> Column:

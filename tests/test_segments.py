@@ -175,8 +175,30 @@ def test_caption_files(spark):
     got = captions.parse_vtt(spark.createDataFrame([(1, body)], "id long, body string"), "body").orderBy("pos").collect()
     assert [(r["start"], r["end"], r["text"]) for r in got] == [(1.0, 2.5, "Hi\nthere"), (3600.0, 3601.0, "end")]
     assert captions.parse_vtt(spark.createDataFrame([(1, "WEBVTT\n"), (2, None)], "id long, body string"), "body").count() == 0
-    ttml = '<tt xmlns="x"><p begin="1500ms" end="00:00:02.000">a<br/>b</p><ns:p begin="3s" end="4s">c</ns:p></tt>'
+    ttml = '<tt xmlns="x" xmlns:ns="y"><p begin="1500ms" end="00:00:02.000">a<br/>b</p><ns:p begin="3s" end="4s">c</ns:p></tt>'
     got = captions.parse_ttml(spark.createDataFrame([(ttml,)], "body string"), "body").orderBy("pos").collect()
     assert [(r["start"], r["end"], r["text"]) for r in got] == [(1.5, 2.0, "a b"), (3.0, 4.0, "c")]
     raw = spark.createDataFrame([(bytearray("é", "utf-8"),), (bytearray("é—", "cp1252"),)], "b binary").select(captions.decode_bytes(F.col("b")))
     assert [r[0] for r in raw.collect()] == ["é", "é—"]
+
+
+def test_ttml(spark):
+    cue = lambda inner, times='begin="1s" end="2s"': f"<tt:p {times}>{inner}</tt:p>"
+    wrap = lambda inner: f'<?xml version="1.0"?>\n<tt:tt xmlns:tt="u" xmlns:z="v"><tt:head><tt:param/></tt:head><tt:body><tt:div>{inner}</tt:div></tt:body></tt:tt>'
+    files = {
+        1: wrap(cue("a <tt:span z:k='1'>b <tt:span>c</tt:span></tt:span> &amp; d &#233; &lt;e&gt;") + cue("<![CDATA[<f>]]> g", "z:id='n' end='3.5s'\n begin='2500ms'")),
+        2: wrap(cue("late", 'begin="soon" end="2s"') + cue(" <tt:span/> ") + '<tt:p begin="1s" end="2s"/>' + cue("no end", 'begin="1s"') + "<!-- " + cue("old") + " -->" + cue("x", 'begin="01:00:01" end="01:00:02.250"')),
+        3: wrap(cue("cut"))[:-9],
+        4: wrap("<tt:p begin='1s' end='2s'>a & b</tt:p>"),
+        5: wrap(cue("a<tt:span>b") + "</tt:span>"),
+        6: None,
+        7: "",
+        8: wrap(""),
+        9: wrap(cue("<tt:span>long</tt:span> " * 20000)),
+    }
+    got = {}
+    for r in captions.parse_ttml(spark.createDataFrame(list(files.items()), "k long, body string"), "body").orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append((r["pos"], r["start"], r["end"], r["text"]))
+    long = got.pop(9)
+    assert got == {1: [(0, 1.0, 2.0, "a b c & d é <e>"), (1, 2.5, 3.5, "<f> g")], 2: [(0, 3601.0, 3602.25, "x")]}
+    assert long == [(0, 1.0, 2.0, " ".join(["long"] * 20000))]
