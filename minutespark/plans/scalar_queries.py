@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from minutespark.functions import names, text, times, urls
+from minutespark.operators import places
 from minutespark.plans.registry import Tables, query
 
 HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
@@ -133,6 +134,27 @@ def str18_zip_addresses(t: Tables):
     return t.supplier.select("s_suppkey", text.zip_addresses(address).alias("zips"))
 
 
+@query("""
+SELECT page_id, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'markup' WHEN 3 THEN 'host' END AS tier, CASE k WHEN 0 THEN 'City' WHEN 1 THEN 'County' WHEN 2 THEN 'Town' END AS body,
+ CASE WHEN k < 4 THEN lower(p_name) END AS place, CASE WHEN k = 1 THEN 'repaired' WHEN k < 4 THEN 'validated' END AS confidence
+FROM (SELECT page_id, page_id % 5 AS k, page_id % (SELECT count(*) FROM part) AS p_partkey FROM pages) JOIN part USING (p_partkey)""")
+def str20_place_of_page(t: Tables):
+    """Part names as the table of places, one on each page: in its text (with words too many in some), its markup, or its host."""
+    size = t.part.count()
+    rows = t.pages.withColumn("p_partkey", F.col("page_id") % size).join(t.part.select("p_partkey", "p_name"), "p_partkey")
+    k, name = F.col("page_id") % 5, F.initcap("p_name")
+    head = (
+        F.when(k == 0, F.concat(F.lit("<p>Welcome to the City of "), name, F.lit(". Next Steps</p>")))
+        .when(k == 1, F.concat(F.lit("<p>County of "), name, F.lit(" Residents met</p>")))
+        .when(k == 2, F.concat(F.lit("<h1>TOWN OF "), F.upper("p_name"), F.lit("</h1>")))
+        .otherwise("<p>City of Nowhere Known, nothing</p>")
+    )
+    url = F.when(k == 3, F.concat(F.lit("https://cityof"), F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), F.lit(".example.org/1"))).otherwise("https://www.example.org/1")
+    html = F.concat(head, F.lit(" "), F.coalesce("html", F.lit("")))
+    pages = rows.select("page_id", html.alias("html"), F.regexp_replace(html, "<[^>]*>", " ").alias("text"), url.alias("url"))
+    return places.of_pages(pages, "page_id", "text", "html", "url", t.part, "p_name")
+
+
 @query("""
 WITH m AS (SELECT event_id, round_even(value * 1000, 0)::BIGINT AS ms, floor(value * 97)::BIGINT AS s FROM events)
 SELECT event_id, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS srt,
