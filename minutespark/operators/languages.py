@@ -19,9 +19,13 @@ SMOOTHING = 0.5
 BROADCAST_CELLS = 4_000_000
 
 
-def grams(rows: DataFrame, by: list[str], text: str) -> DataFrame:
-    """(*by, gram) for every trigram of every word of whole texts."""
-    words = rows.select(*by, F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("_w")).where(F.length("_w").between(1, LONGEST))
+def words(rows: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(*by, _w) for every word of whole texts."""
+    return rows.select(*by, F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("_w")).where(F.length("_w").between(1, LONGEST))
+
+
+def grams(words: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, gram) for every trigram of every word."""
     padded = words.select(*by, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"), F.length("_w").alias("_n"))
     return padded.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.substring("_p", i, F.lit(3)))).alias("gram"))
 
@@ -44,8 +48,10 @@ def train(rows: DataFrame, text: str, label: str, most: int = 50_000, sample: in
     for name, share in large:
         labelled = labelled.where((F.col("_label") != name) | (F.pmod(F.xxhash64("_t"), F.lit(1 << 30)) < int(share * (1 << 30))))
     columns = [f"l{i}" for i in range(len(names))]
-    tallied = grams(labelled, ["_label"], "_t").groupBy("gram").agg(
-        F.count("*").alias("n"), *(F.count_if(F.col("_label") == name).alias(c) for name, c in zip(names, columns, strict=True))
+    # Each distinct word of a language is taken apart once.
+    counted = words(labelled, ["_label"], "_t").groupBy("_label", "_w").agg(F.count("*").alias("_times"))
+    tallied = grams(counted, ["_label", "_times"]).groupBy("gram").agg(
+        F.sum("_times").alias("n"), *(F.coalesce(F.sum(F.when(F.col("_label") == name, F.col("_times"))), F.lit(0)).alias(c) for name, c in zip(names, columns, strict=True))
     )
     kept = tallied.orderBy(F.desc("n"), "gram").limit(most)
     facts = kept.agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in columns)).first()
@@ -63,7 +69,7 @@ def detect(rows: DataFrame, by: list[str], text: str, model: Model, name: str =
     every = rows.select(*by).distinct()
     if not columns:
         return every.withColumn(name, F.lit(None).cast("string"))
-    sums = grams(rows, by, text).join(model.table, "gram").groupBy(*by).agg(*(F.sum(c).alias(c) for c in columns))
+    sums = grams(words(rows, by, text), by).join(model.table, "gram").groupBy(*by).agg(*(F.sum(c).alias(c) for c in columns))
     best = F.array_max(F.array(*(F.struct(F.col(c).alias("s"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (c, lang) in enumerate(zip(columns, model.languages, strict=True)))))
     known = sums.select(*(F.col(b).alias(f"_{b}") for b in by), best["lang"].alias(name))
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
