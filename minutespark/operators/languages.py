@@ -7,7 +7,9 @@ rounded, scaled logarithm of its share in each language; sums of whole numbers a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 40
@@ -27,7 +29,8 @@ def words(rows: DataFrame, by: list[str], text: str) -> DataFrame:
 def grams(words: DataFrame, by: list[str]) -> DataFrame:
     """(*by, gram) for every trigram of every word."""
     padded = words.select(*by, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_p"), F.length("_w").alias("_n"))
-    return padded.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.substring("_p", i, F.lit(3)))).alias("gram"))
+    places = padded.select(*by, "_p", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    return places.select(*by, F.substring("_p", F.col("_i"), F.lit(3)).alias("gram"))
 
 
 class Model:
@@ -53,13 +56,11 @@ def train(rows: DataFrame, text: str, label: str, most: int = 50_000, sample: in
     tallied = grams(counted, ["_label", "_times"]).groupBy("gram").agg(
         F.sum("_times").alias("n"), *(F.coalesce(F.sum(F.when(F.col("_label") == name, F.col("_times"))), F.lit(0)).alias(c) for name, c in zip(names, columns, strict=True))
     )
-    kept = tallied.orderBy(F.desc("n"), "gram").limit(most)
-    facts = kept.agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in columns)).first()
-
-    def logs(c: str) -> Column:
-        return F.round(F.log((F.col(c) + SMOOTHING) / F.lit((facts[c] or 0) + SMOOTHING * facts["rows"])) * SCALE).cast("long").alias(c)
-
-    return Model(kept.select("gram", *(logs(c) for c in columns)), names, facts["rows"])
+    kept = tallied.orderBy(F.desc("n"), "gram").limit(most).drop("n").collect()  # ``most`` rows of a gram and some counts
+    totals = [sum(r[c] for r in kept) + SMOOTHING * len(kept) for c in columns]
+    logs = [(r["gram"], *(round(math.log((r[c] + SMOOTHING) / total) * SCALE) for c, total in zip(columns, totals, strict=True))) for r in kept]
+    table = rows.sparkSession.createDataFrame(logs, "gram string" + "".join(f", {c} long" for c in columns))
+    return Model(table, names, len(kept))
 
 
 def detect(rows: DataFrame, by: list[str], text: str, model: Model, name: str = "detected") -> DataFrame:
