@@ -28,9 +28,9 @@ def src13_delimited(t: Tables):
 
 
 @query("""
-SELECT unnest(CASE WHEN page_id % 4 = 1 THEN [url || '/1', url || '/2'] ELSE [url] END) AS url FROM pages WHERE page_id % 5 > 0 AND trim(url) <> ''""")
+SELECT unnest(CASE WHEN url IN (SELECT url FROM pages WHERE page_id % 4 = 1 AND page_id % 5 > 0) THEN [url || '/1', url || '/2'] ELSE [url] END) AS url FROM pages WHERE page_id % 5 > 0 AND trim(url) <> ''""")
 def src14_url_list(t: Tables):
-    """An address list with comments and blank lines; every fourth address is a playlist of two."""
+    """An address list with comments and blank lines; every fourth address is a playlist of two, wherever it is listed."""
     path = work_folder(t.spark, "addresses")
     t.pages.select(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), "url")).otherwise(F.concat(F.lit("  "), "url", F.lit("\n"))).alias("value")).write.text(path)
     playlists = t.pages.where("page_id % 4 = 1 and page_id % 5 > 0").select("url", F.array(F.concat("url", F.lit("/1")), F.concat("url", F.lit("/2"))).alias("entries")).dropDuplicates(["url"])
