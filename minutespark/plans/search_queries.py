@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from minutespark.operators import fulltext, search, trigrams
 from minutespark.operators import relational as rel
 from minutespark.plans.registry import Tables, query
+from minutespark.plans.stem_sql import stems
 from minutespark.streaming.streams import work_folder
 
 Q = search.parse_query('"of the" with -here +that and')
@@ -119,9 +120,13 @@ def top4_relevance(t: Tables):
     return rows.orderBy(F.desc("score"), F.desc("doc_id")).limit(50)
 
 
-_WORDS = r"""
-WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),
-s AS (SELECT doc_id, i, CASE WHEN w IN ('thing', 'things', 'thinged', 'thinges', 'thinging', 'thingly', 'thingingly', 'thinglyed') THEN 'thing' ELSE w END AS s FROM w)"""
+_WORDS = (
+    r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),"""
+    + stems("w", "w")
+    + """,
+s AS (SELECT doc_id, i, stem AS s FROM w JOIN stemmed ON word = w)"""
+)
 
 
 def _index(t: Tables):
