@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import tempfile
@@ -73,3 +74,53 @@ def test_stream_queries_equal_their_batch_twins(spark):
         twin = m.in_batch(events.selectExpr("key", "at", "o", f"{kind} kind"), machine).selectExpr("cast(key as long) user_id", "o", "o event_id", "what", "at", "until")
         got = QUERIES[name](spark, FOLDER)
         assert sorted(map(str, got.collect())) == sorted(map(str, twin.select(*got.columns).collect()))
+
+
+class Store:
+    """A handle that counts calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.parts, self.timers = [], None, [], set()
+
+    def getListState(self, *_):
+        return type("L", (), {"appendList": lambda _, x: self._list(x), "appendValue": lambda _, x: self._list([x]), "get": lambda _: iter(self.parts), "exists": lambda _: bool(self.parts), "put": lambda _, x: self._list(x, []), "clear": lambda _: self._list([], [])})()
+
+    def getValueState(self, *_):
+        return type("V", (), {"get": lambda _: self.value, "exists": lambda _: self.value is not None, "update": lambda _, x: self._set(x), "clear": lambda _: self._set(None)})()
+
+    def _list(self, new, before=None):
+        self.calls.append("list")
+        self.parts = (self.parts if before is None else before) + list(new)
+
+    def _set(self, x):
+        self.calls.append("value")
+        self.value = x
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_a_key_has_one_timer():
+    """Calls to the store do not grow with the events of a key, and the timers fired give what the batch form does."""
+    store, now = Store(), type("Now", (), {"getCurrentWatermarkInMs": lambda s: s.at})()
+    p = m._Processor(m.Lease(10.0))
+    p.init(store)
+    rows = [{"at": 100.0 + 3 * i, "o": i, "kind": "claim"} for i in range(200)]
+    for part in (rows[150:], rows[:150]):
+        list(p.handleInputRows(("k",), iter(part), None))
+        assert len(store.timers) == 1
+    assert store.timers == {100_000} and len(store.calls) <= 8
+    got = []
+    for now.at in (100_000, 250_500, 10_000_000):
+        due = [t for t in store.timers if t <= now.at]
+        got += [x for _ in due for x in p.handleExpiredTimer(("k",), now, None)]
+        store.timers -= set(due)
+        assert len(store.timers) <= 1
+    fold = m._Fold(m.Lease(10.0))
+    expected = [y for r in rows for y in fold.step({"key": "k", **r})] + fold.finish()
+    assert [tuple(r) for r in got] == expected and store.timers == set() and not store.parts
+    assert store.value == (json.dumps(fold.state), None)
