@@ -61,3 +61,37 @@ def test_a_stream_goes_on_where_it_stopped(spark):
     assert state(spark, folder + "/state") == rebuilt(sum(given, []))
     assert refresh.corpus(spark, folder + "/state", before=0).count() == 0
     assert spark.read.parquet(folder + "/state/corpus").select(F.max("batch")).first()[0] >= 3
+
+
+def test_a_batch_moves_no_texts_but_its_own(spark):
+    """The stored texts that a batch does not change are not shuffled."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    refresh.start(spark, folder)
+    stored = spark.range(3000).selectExpr("id", "repeat(sha2(string(id), 512), 30) text", "timestamp_seconds(0) at", "false deleted")
+    refresh.apply_batch(stored, 0, folder)
+    fresh = stored.selectExpr("id + 100000 id", "repeat(text, 3) text", "at", "deleted").where("id < 100500")
+    executors = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = executors()
+    refresh.apply_batch(fresh, 1, folder)
+    own = 500 * 128 * 30 * 3
+    assert executors() - before < own / 3
+    assert refresh.corpus(spark, folder).count() == 3500
+
+
+def test_a_large_fold_is_not_written_for_a_few_rows(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    refresh.start(spark, folder)
+    given = [[(i, f"w{i} a", dt.datetime(2024, 1, 1), False) for i in range(40)], [(i, f"v{i}", dt.datetime(2024, 1, 2), i % 2 > 0) for i in range(4)], [(1, "late", dt.datetime(2023, 1, 1), False), (2, "x", dt.datetime(2024, 1, 3), False)]]
+    for n, rows in enumerate(given):
+        refresh.apply_batch(spark.createDataFrame(rows, SCHEMA), n, folder)
+    refresh.compact(spark, folder, whole=False)
+    assert [(r["since"], r["upto"]) for r in refresh._committed(spark, folder, None)] == [(0, 0), (1, 1), (2, 2)]
+    assert state(spark, folder) == rebuilt(sum(given, []))
+    more = [[(i, "y", dt.datetime(2024, 1, 4), False) for i in range(50)], [(99, "z", dt.datetime(2024, 1, 4), False)] * 2]
+    for n, rows in enumerate(more, 3):
+        refresh.apply_batch(spark.createDataFrame(rows, SCHEMA), n, folder)
+        refresh.compact(spark, folder, whole=False)
+        assert state(spark, folder) == rebuilt(sum([*given, *more[: n - 2]], []))
+    refresh.compact(spark, folder)
+    assert [(r["since"], r["upto"]) for r in refresh._committed(spark, folder, None)] == [(0, 4)]
+    assert state(spark, folder) == rebuilt(sum([*given, *more], [])) and refresh.corpus(spark, folder, before=1).count() == 40
