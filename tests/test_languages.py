@@ -76,3 +76,17 @@ def test_language_of_samples(spark):
             weights.setdefault(r["doc_id"], Counter())[lang] += len(r["c"])
     expected = {d: max(w, key=lambda lang: (w[lang], lang)) for d, w in weights.items()}
     assert {r["doc_id"]: r["lang"] for r in queries()["seg15_language_samples"](spark, FOLDER).collect()} == expected
+
+
+def test_a_model_that_is_sent_and_one_that_is_joined_agree(spark, monkeypatch):
+    labelled = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    texts = spark.createDataFrame([(1, "the dog", 3), (1, "der", 4), (2, None, 5), (3, "12 zzz " + "x" * 50, 6), (None, "DIE Katze été", 7), (4, "", 8)], "id long, text string, w long")
+    got = []
+    for cells in (languages.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(languages, "BROADCAST_CELLS", cells)
+        model = languages.train(labelled, "text", "lang")
+        found = languages.detect(texts, ["id"], "text", model, total="w")
+        got.append(sorted(map(tuple, found.collect()), key=str))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Generate" in plan) == (cells == 0)  # no row for each gram where the model is sent
+    assert got[0] == got[1] and (1, "en", 7) in got[0] and (2, None, 5) in got[0] and len(got[0]) == 5
