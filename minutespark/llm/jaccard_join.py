@@ -16,10 +16,11 @@ shares with no other set suffice, it has no partner and leaves the index altoget
 next round. Texts that share a passage, however many, go this way, since their own words fill most segments.
 
 Links. First each remaining class is verified against one hub, the class that it shares most signatures with among the
-smallest of its buckets; what that links is contracted. Then all lookups whose classes are not yet connected give pairs,
-which are pruned by size and by a parity sketch (both lossless) and verified on the texts' sets. So
-a large group of near copies gives pairs in proportion to its size, and no link is lost. A hub's partners are
-verified in chunks, to which the hub's text is sent once each.
+smallest of its buckets; what that links is contracted. Then the lookups are chosen anew by what of other components lies in
+their buckets, for a partner that is not yet connected is met there. Buckets of the same classes are looked up once. Lookups
+whose classes are not yet connected give pairs, which are pruned by size and by a parity sketch (both lossless) and verified
+on the texts' sets. So a large group of near copies gives pairs in proportion to its size, and no link is lost. A hub's
+partners are verified in chunks, to which the hub's text is sent once each.
 
 Nulls: a null text is an empty set; a null id is a row like any other, and its component is the smallest id that is
 linked to it, if any. Repeated rows are equal sets, thus linked; rows that repeat an id with other texts are judged each by its
@@ -42,7 +43,9 @@ from minutespark.llm import textkit as tk
 from minutespark.llm.scratch import components, discard, materialize, neutral, numbered, sized
 
 U = np.uint64
-SKETCH_WORDS = 4
+#: Longs of a parity sketch. Sets of n tokens that differ in half of them are told from links while n is a few times the bits; only sets
+#: that share signatures have one.
+SKETCH_WORDS = 16
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
 #: Bits of a signature beyond those that number the corpus's tokens. It is an index key, so that collisions cost a comparison at
 #: most, and short keys are cheaper to move.
@@ -168,25 +171,37 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, num: int, den: int)
 
 
 def _describe(k: int):
-    """Per (row, text, id): row, id, set size, two hashes of the set, parity sketch."""
+    """Per (row, text, id): row, id, set size, two hashes of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            size = np.zeros(n, np.int64)
-            sums = np.zeros((2, n), np.uint64)
-            sketch = np.zeros((n, SKETCH_WORDS), np.int64)
+            size = np.zeros(batch.num_rows, np.int64)
+            sums = np.zeros((2, batch.num_rows), np.uint64)
             for lo, hi, buf, offs in tk.slices(batch.column(1)):
                 h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
                 size[lo:hi] = np.bincount(d, minlength=hi - lo)
                 for j, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                     sums[j, lo:hi] = tk.group_sums(tk.mix(h ^ U(salt)), d, hi - lo)
-                bit = (h >> U(56)).astype(np.int64)
-                odd = np.bincount(d * 64 * SKETCH_WORDS + bit, minlength=(hi - lo) * 64 * SKETCH_WORDS).reshape(hi - lo, -1) & 1
-                sketch[lo:hi] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
             columns = [batch.column(0), batch.column(2), pa.array(size), pa.array(tk.signed(sums[0])), pa.array(tk.signed(sums[1]))]
-            columns += [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "h1", "h2", *SKETCH])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "h1", "h2"])
+
+    return run
+
+
+def _sketches(k: int):
+    """Per (row, text): the class, set size and parity sketch, the number of the set's shingles by 1,024 values of a hash, each modulo 2."""
+    bits = 64 * SKETCH_WORDS
+    shift = U(65 - bits.bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in tk.slices(batch.column(1)):
+                h, d = tk.distinct_shingles(*tk.word_hashes(buf, offs), k)
+                odd = np.bincount(d * bits + (h >> shift).astype(np.int64), minlength=(hi - lo) * bits).reshape(hi - lo, -1) & 1
+                sketch = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(d, minlength=hi - lo))]
+                columns += [pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(SKETCH_WORDS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", *SKETCH])
 
     return run
 
@@ -272,14 +287,30 @@ def _lookups(shared: DataFrame) -> DataFrame:
     return units.withColumn("dropped", F.sum("weight").over(line)).where("spare < 0 or dropped > spare").select("cls", "unit")
 
 
+def _mixed(shared: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two components or more, with the number of rows of other components (others)."""
+    of_bucket, of_own = (F.count("*").over(Window.partitionBy(*by)) for by in (["sig"], ["sig", "component"]))
+    return shared.withColumn("others", of_bucket - of_own).where("others > 0")
+
+
+def _distinct_buckets(marked: DataFrame) -> DataFrame:
+    """(sig, same) of all buckets: buckets of the same classes have the same ``same``, the key of one of them. Told apart by their sizes and by
+    sums of 128 bits of the classes' hashes."""
+    parts = [F.shiftrightunsigned(F.xxhash64("cls", F.lit(salt)), by).bitwiseAND((1 << 32) - 1) for salt in (1, 2) for by in (0, 32)]
+    held = marked.groupBy("sig").agg(F.count("*").alias("size"), *(F.sum(x).alias(f"m{i}") for i, x in enumerate(parts)))
+    members = ["size", *(f"m{i}" for i in range(len(parts)))]
+    held = materialize(held, "jaccard-members-of")
+    found = held.join(held.groupBy(*members).agg(F.min("sig").alias("same")), members).select("sig", "same")
+    return materialize(found, "jaccard-same")
+
+
 def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Of a table ``texts`` (row, id, text): (described, found). ``described`` has row, id, n (set size) and the set's hashes h1, h2 for
     every row. ``found`` has n, h1, h2 and component (a number) for every class of equal, non-empty sets;
     classes have the same component if links connect them. Every link was verified on the sets:
     ``den * |A & B| >= num * |A | B|``."""
-    layout = "row long, id long, n long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCH)
-    described = materialize(texts.select("row", "text", "id").mapInArrow(_describe(k), layout), "jaccard-sets")
-    classes = described.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("cls"), *(F.first(s).alias(s) for s in SKETCH))
+    described = materialize(texts.select("row", "text", "id").mapInArrow(_describe(k), "row long, id long, n long, h1 long, h2 long"), "jaccard-sets")
+    classes = described.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("cls"))
     classes = materialize(classes, "jaccard-classes")
     own = texts.select("row", "text").join(sized(classes.select(F.col("cls").alias("row"))), "row", "left_semi")
 
@@ -295,9 +326,9 @@ def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         shared = materialize(shared, "jaccard-buckets")
         discard(before)
 
-    facts = classes.select("cls", "n", *SKETCH)
     open_texts = own.join(sized(materialize(shared.select(F.col("cls").alias("row")).distinct(), "jaccard-open")), "row", "left_semi")
     open_texts = materialize(open_texts, "jaccard-texts")
+    facts = materialize(open_texts.mapInArrow(_sketches(k), ", ".join(f"{c} long" for c in ("cls", "n", *SKETCH))), "jaccard-sketches")
 
     def plausible(a: str, b: str) -> Column:
         """Sizes and sketches do not rule a link out."""
@@ -319,14 +350,18 @@ def linked_classes(texts: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     found = components(links).toDF("cls", "component")
 
     # Then every lookup in a bucket that holds another component.
-    marked = shared.join(sized(found), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    bucket = Window.partitionBy("sig")
-    marked = marked.withColumns({"one": F.min("component").over(bucket), "other": F.max("component").over(bucket)}).where("one < other")
-    marked = materialize(marked.select("sig", "cls", "unit", "weight", "spare", "others", "component"), "jaccard-mixed")
-    lookups = marked.join(materialize(_lookups(shared), "jaccard-lookups"), ["cls", "unit"], "left_semi")
-    lookups = lookups.join(sized(side("a")), F.col("cls") == F.col("a")).select("sig", "a", F.col("component").alias("a_component"), "a_n", *(f"a_{s}" for s in SKETCH))
-    entries = marked.join(sized(side("b")), F.col("cls") == F.col("b")).select("sig", "b", F.col("component").alias("b_component"), "b_n", *(f"b_{s}" for s in SKETCH))
-    near = materialize(lookups, "jaccard-asking").join(materialize(entries, "jaccard-entries"), "sig").where((F.col("a_component") != F.col("b_component")) & plausible("a", "b"))
+    marked = shared.select("sig", "cls", "unit", "weight", "spare").join(sized(found), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    marked = materialize(_mixed(marked), "jaccard-mixed")
+    before = marked
+    marked = materialize(_mixed(_with_partners(marked).drop("others")), "jaccard-mixed")
+    discard(before)
+    same = _distinct_buckets(marked)
+    lookups = marked.join(materialize(_lookups(marked), "jaccard-lookups"), ["cls", "unit"], "left_semi")
+    lookups = materialize(lookups.join(sized(same), "sig").select(F.col("same").alias("sig"), F.col("cls").alias("a"), F.col("component").alias("a_component")).distinct(), "jaccard-lookups")
+    asked = sized(materialize(lookups.select("sig").distinct(), "jaccard-asked"))
+    entries = marked.join(asked, "sig", "left_semi").select("sig", F.col("cls").alias("b"), F.col("component").alias("b_component"))
+    asking, entries = (materialize(rows.join(sized(side(x)), x), name) for rows, x, name in ((lookups, "a", "jaccard-asking"), (entries, "b", "jaccard-entries")))
+    near = asking.join(entries, "sig").where((F.col("a_component") != F.col("b_component")) & plausible("a", "b"))
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = _verified(materialize(pairs, "jaccard-pairs"), open_texts, k, num, den)
     if not rest.isEmpty():  # what is connected already goes in as stars

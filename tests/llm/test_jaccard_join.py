@@ -151,3 +151,25 @@ def test_all_joins_shuffled(spark, monkeypatch):
     rows = [(r[0], r[1]) for r in documents() if r[0] is not None and r[0] != 207]
     got = jj.jaccard_components(frame(spark), k=4, num=85, den=100).where("id is not null and id <> 207")
     assert sorted((r["id"], r["n"], r["component"]) for r in got.collect()) == brute(rows, 4, 85, 100)
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """Thirty texts of 1,000 words, 860 of them a shared passage (three quarters of all shingles of a pair), and a near copy of one: the buckets
+    that they share are looked up once each, and only the link comes through."""
+    made = {}
+    write = jj.materialize
+
+    def counted(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    monkeypatch.setattr(jj, "discard", lambda *tables: None)
+    passage = " ".join(f"p{i}" for i in range(860))
+    texts = [passage + " " + " ".join(f"t{t}w{i}" for i in range(140)) for t in range(30)]
+    rows = [*enumerate(texts), (30, texts[3] + " more words")]
+    found = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100)
+    assert {r["id"]: r["component"] for r in found.collect()} == {i: 3 if i == 30 else i for i in range(31)}
+    assert made["jaccard-pairs"].count() + made["jaccard-hubs"].count() <= 1
+    asked = made["jaccard-asking"]
+    assert asked.select("sig", "a").distinct().count() == asked.count()
