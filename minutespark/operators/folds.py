@@ -12,12 +12,20 @@ from pyspark.sql.types import StructType
 
 #: Rows that go out together.
 OUT_ROWS = 5000
+#: Bytes of text that are dealt to a task.
+PART_BYTES = 16 << 20
 
 
-def fold_in_order(rows: DataFrame, key: str, order: list[Column | str], machine: Callable[[], object], schema: StructType) -> DataFrame:
+def parts_for(rows: DataFrame, *texts: str) -> int:
+    """So many parts that a task has about ``PART_BYTES`` of the columns ``texts``, whatever the input's size; the session's number at least."""
+    held = rows.agg(*(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts)).first()
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(held) // PART_BYTES))
+
+
+def fold_in_order(rows: DataFrame, key: str, order: list[Column | str], machine: Callable[[], object], schema: StructType, parts: int | None = None) -> DataFrame:
     """Rows of ``schema`` from a machine for each key. ``machine()`` makes a new one; its ``step(row)`` takes a row (a dict) and
     its ``finish()`` ends the key, both give rows (tuples). Keys are dealt out once and sorted, so neither a key nor its
-    results are ever held whole; one key's rows go through one task, in order. A key may be null."""
+    results are ever held whole; one key's rows go through one task, in order. A key may be null. ``parts``: tasks (by default as the session has it)."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,4 +53,5 @@ def fold_in_order(rows: DataFrame, key: str, order: list[Column | str], machine:
         if out:
             yield batch(out)
 
-    return rows.repartition(key).sortWithinPartitions(F.col(key), *order).mapInArrow(run, schema)
+    dealt = rows.repartition(parts, key) if parts else rows.repartition(key)
+    return dealt.sortWithinPartitions(F.col(key), *order).mapInArrow(run, schema)

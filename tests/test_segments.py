@@ -202,3 +202,13 @@ def test_ttml(spark):
     long = got.pop(9)
     assert got == {1: [(0, 1.0, 2.0, "a b c & d é <e>"), (1, 2.5, 3.5, "<f> g")], 2: [(0, 3601.0, 3602.25, "x")]}
     assert long == [(0, 1.0, 2.0, " ".join(["long"] * 20000))]
+
+
+def test_rollup_tasks_grow_with_the_texts(spark, monkeypatch):
+    """A task gets so many bytes of text, not a share of all."""
+    from minutespark.operators import folds
+
+    monkeypatch.setattr(folds, "PART_BYTES", 1000)
+    rows = spark.range(40).select("id", F.lit(0).alias("o"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.repeat(F.lit("word "), 100).alias("text"))
+    found = seg.dedupe_rollup_tracks(rows, "id", "o")
+    assert found.rdd.getNumPartitions() == 20 and found.count() == 40
