@@ -1,8 +1,8 @@
 """Similar words by trigrams: a set-similarity join, then bounded edits.
 
 A word's trigrams are those of its parts of letters and digits, with two spaces before and one after. Similarity is shared trigrams over all
-of both. Terms are joined to words on the rarest of their trigrams only: a word with similarity of t or more has one of any n - ceil(t n) + 1 of a
-term's n trigrams; and their numbers differ by a factor of 1 / t at most.
+of both. Terms are joined to words on their trigrams, and what a pair shares is counted; only pairs whose numbers of trigrams differ by a factor of
+1 / t at most can have a similarity of t. Rows are narrow (no sets move), and words are not shuffled where the terms' trigrams are few.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from minutespark.operators.containment import texts_containing
 
 #: Least similarity of a candidate, and candidates of a term.
 LEAST, BEST = 0.3, 50
+#: Trigrams of terms that are sent to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def trigrams(word: Column) -> Column:
@@ -28,18 +30,15 @@ def trigrams(word: Column) -> Column:
 
 def candidates(words: DataFrame, terms: DataFrame, least: float = LEAST, best: int | None = BEST) -> DataFrame:
     """(term, word, similarity): the ``best`` most similar of ``words`` (word) for each of ``terms`` (term), those of at least ``least``; equal ones by word."""
-    sets = words.select("word", trigrams(F.col("word")).alias("word_grams")).where(F.size("word_grams") > 0)
-    held = sets.select("word", "word_grams", F.explode("word_grams").alias("gram"))
-    asked = terms.select("term").distinct().select("term", trigrams(F.col("term")).alias("term_grams")).where(F.size("term_grams") > 0)
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    each = asked.select("term", F.explode("term_grams").alias("gram")).join(counts, "gram", "left")
-    rare = each.groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
-    n = F.size("o")
-    rare = rare.select("term", F.transform("o", lambda x: x["gram"]).alias("term_grams"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("g"))
-    fits = (F.size("word_grams") >= F.size("term_grams") * least) & (F.size("word_grams") * least <= F.size("term_grams"))
-    pairs = held.join(rare.select("term", "term_grams", F.col("g.gram").alias("gram")), "gram").where(fits).select("term", "word", "term_grams", "word_grams").distinct()
-    common = F.size(F.array_intersect("term_grams", "word_grams"))
-    pairs = pairs.select("term", "word", (common / (F.size("term_grams") + F.size("word_grams") - common)).alias("similarity")).where(F.col("similarity") >= least)
+    grams = trigrams(F.col("word"))
+    held = words.select("word").distinct().select("word", grams.alias("grams")).select("word", F.size("grams").alias("word_n"), F.explode("grams").alias("gram"))
+    asked = terms.select("term").distinct().select("term", trigrams(F.col("term")).alias("grams")).select("term", F.size("grams").alias("term_n"), F.explode("grams").alias("gram"))
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    # By word first: where words come dealt out, as a distinct vocabulary does, shared trigrams are counted where they are found.
+    fits = (F.col("word_n") >= F.col("term_n") * least) & (F.col("word_n") * least <= F.col("term_n"))
+    pairs = held.join(asked, "gram").where(fits).groupBy("word", "term", "word_n", "term_n").agg(F.count("*").alias("common"))
+    pairs = pairs.select("term", "word", (F.col("common") / (F.col("term_n") + F.col("word_n") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least)
     if best is None:
         return pairs
     line = Window.partitionBy("term").orderBy(F.desc("similarity"), "word")

@@ -59,3 +59,11 @@ def test_texts_near_terms(spark):
     got = trigrams.texts_near(texts, "id", "text", terms, search.vocabulary(texts, "text")).select("term", "id")
     assert {tuple(r) for r in got.collect()} == {("budgett", 1), ("budgett", 2), ("cat", 3)}
     assert texts.select(F.size(trigrams.trigrams(F.lit("don't")))).first()[0] == 6
+
+
+def test_words_are_not_dealt_out_by_trigram(spark):
+    """A vocabulary's trigrams stay where its words are; words given twice count once."""
+    words = spark.createDataFrame([("planning",), ("planning",), ("plan",), ("zoning",)], "word string")
+    found = trigrams.candidates(words, spark.createDataFrame([("planing",)], "term string"))
+    assert "hashpartitioning(gram" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["word"], round(r["similarity"], 6)) for r in found.collect()} == {("planning", 0.7), ("plan", round(4 / 9, 6))}
