@@ -1,8 +1,8 @@
 """Full-text search by a positional inverted index: stems, phrases, OR, exclusion, cover-density rank.
 
-The index has one row per stem and text: (stem, id, positions), the positions of all words counted from 1, those of stop words
-too. It is made and written in one pass without a shuffle, each file sorted by stem, so that a query reads the postings of its own
-stems and never a text. A query is alternatives (``or``) of terms that must all hold; a term is a word or a quoted phrase (its stop
+The index has one row per stem and block of texts (some ``OUT`` words): (stem, ids, positions), a list of positions for each text that
+has the stem, the positions of all words counted from 1, those of stop words too. It is made and written in one pass without a shuffle,
+each file sorted by stem, so that a query reads the postings of its own stems and never a text. A query is alternatives (``or``) of terms that must all hold; a term is a word or a quoted phrase (its stop
 words keep their places), a leading ``-`` excludes it. Stop words alone match nothing.
 
 Rank: the sum over all minimal covers (spans of positions in which the query holds and no smaller span within does) of
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from minutespark.functions.stemming import STOP_WORDS, stem
 
 _PY_WORD = re.compile(r"[^\W_]+")
-#: Positions that leave a task together.
-OUT = 100_000
+#: Words of texts that are taken together in a task.
+OUT = 500_000
 #: Weight of a word of plain text.
 WEIGHT = 0.1
 
@@ -56,38 +56,49 @@ def parse(text: str) -> list[list[Term]]:
     return [a for a in alternatives if a]
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, lower-case text) to (stem, id, positions), and for each text a row of a null stem."""
+def _block(ids: pa.Array, words: list[str], counts: list[int]) -> Iterator[pa.RecordBatch]:
+    """The postings of some texts, whose words stand in ``words`` one text after the other. Each distinct word is stemmed once, and places
+    are grouped by one stable sort of (stem, text)."""
+    codes = dict.fromkeys(words)
+    stems = pa.array([None if w in STOP_WORDS else stem(w) for w in codes], pa.string()).dictionary_encode()
+    codes = dict(zip(codes, stems.indices.fill_null(-1).to_pylist(), strict=True))
+    held = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+    sizes = np.array(counts, np.int64)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(1, len(words) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = (held * len(sizes) + which)[held >= 0]
+    order = np.argsort(key, kind="stable")
+    key, flat = key[order], places[held >= 0][order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    code, text = np.divmod(key[first], max(1, len(sizes)))
+    begins = np.flatnonzero(np.diff(code, prepend=-1))
+
+    def rows(stems: pa.Array, begins: np.ndarray, ids: pa.Array, first: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+        lists = pa.array(np.append(begins, len(ids)), pa.int32())
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([stems, pa.ListArray.from_arrays(lists, ids), pa.ListArray.from_arrays(lists, positions)], names=["stem", "ids", "positions"])
+
+    yield rows(stems.dictionary.take(pa.array(code[begins])), begins, ids.take(pa.array(text)), first, flat)
+    yield rows(pa.nulls(1, pa.string()), np.zeros(1), ids, np.zeros(len(ids)), flat[:0])
 
-    def rows(ids: pa.Array, which: list[int], stems: list[str | None], sizes: list[int], flat: list[int]) -> pa.RecordBatch:
-        offsets = np.zeros(len(sizes) + 1, np.int32)
-        np.cumsum(sizes, out=offsets[1:])
-        positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), ids.take(pa.array(which, pa.int64())), positions], names=["stem", "id", "positions"])
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lower-case text) to (stem, ids, positions) of some texts each, and their ids once more by a null stem."""
     for batch in batches:
-        which, stems, sizes, flat = [], [], [], []
-        for row, text in enumerate(batch.column(1)):
-            held: dict[str, list[int]] = {}
-            for i, w in enumerate(_PY_WORD.findall(text.as_py() or ""), 1):
-                if w not in STOP_WORDS:
-                    held.setdefault(stem(w), []).append(i)
-            for s, at in [*held.items(), (None, [])]:
-                which.append(row)
-                stems.append(s)
-                sizes.append(len(at))
-                flat += at
-            if len(flat) >= OUT:
-                yield rows(batch.column(0), which, stems, sizes, flat)
-                which, stems, sizes, flat = [], [], [], []
-        if which:
-            yield rows(batch.column(0), which, stems, sizes, flat)
+        words, counts, done = [], [], 0
+        for row, text in enumerate(batch.column(1), 1):
+            found = _PY_WORD.findall(text.as_py() or "")
+            words += found
+            counts.append(len(found))
+            if len(words) >= OUT or row == batch.num_rows:
+                yield from _block(batch.column(0).slice(done, row - done), words, counts)
+                words, counts, done = [], [], row
 
 
 def index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(stem, id, positions) of all texts, and one row of a null stem for each text, by which exclusions find the others."""
+    """(stem, ids, positions) of all texts, and all ids by a null stem, by which exclusions find the others."""
     rows = texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
-    return rows.mapInArrow(_postings, f"stem string, id {rows.schema['id'].dataType.simpleString()}, positions array<int>")
+    return rows.mapInArrow(_postings, f"stem string, ids array<{rows.schema['id'].dataType.simpleString()}>, positions array<array<int>>")
 
 
 def write_index(texts: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -104,7 +115,8 @@ def _rows(postings: DataFrame, query: list[list[Term]]) -> tuple[DataFrame, dict
     if any(all(t.excluded for t in terms) for terms in query):
         wanted = wanted | F.col("stem").isNull()
     names = {s: f"p{i}" for i, s in enumerate(stems)}
-    found = postings.where(wanted).groupBy("id").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("stem") == s, F.col("positions"))).alias(n) for s, n in names.items()))
+    texts = postings.where(wanted).select("stem", F.explode(F.arrays_zip("ids", "positions")).alias("t")).select("stem", F.col("t.ids").alias("id"), "t.positions")
+    found = texts.groupBy("id").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("stem") == s, F.col("positions"))).alias(n) for s, n in names.items()))
     return found, names
 
 
@@ -179,5 +191,5 @@ def ranked(postings: DataFrame, query: str) -> DataFrame:
             ranks = [density(parsed, {s: np.array(x[i] or (), np.int64) for s, x in lists.items()}) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ranks, pa.float64())], names=["id", "rank"])
 
-    kind = postings.schema["id"].dataType.simpleString()
+    kind = postings.schema["ids"].dataType.elementType.simpleString()
     return found.mapInArrow(run, f"id {kind}, rank double")

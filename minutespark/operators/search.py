@@ -59,6 +59,12 @@ def tolerance(length: int) -> int:
     return 0 if length <= 4 else 1 if length <= 7 else 2
 
 
+def near_pattern(word: str, edits: int) -> str:
+    """Matches the tokens whose length allows for at most ``edits`` between them and ``word``."""
+    c = TOKEN[:-1]
+    return f"(?<!{c}){c}{{{max(1, len(word) - edits)},{max(1, len(word) + edits)}}}+(?!{c})"
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -80,7 +86,8 @@ def matches_fuzzily(text: Column, q: Query) -> Column:
     words = []
     for w in q.words:
         k = tolerance(len(w))
-        words.append(F.exists(tokens(text), lambda t: (t == w) | ((F.levenshtein(t, F.lit(w), k) >= 0) if k else F.lit(False))))  # noqa: B023
+        held = F.regexp_extract_all(F.lower(text), F.lit(near_pattern(w, k)), F.lit(0))
+        words.append(F.exists(held, lambda t: (t == w) | ((F.levenshtein(t, F.lit(w), k) >= 0) if k else F.lit(False))))  # noqa: B023
     return _all([F.contains(text, F.lit(x)) for x in q.phrases] + words + excluded(text, q))
 
 
@@ -128,6 +135,15 @@ def find(texts: DataFrame, id_col: str, text_col: str, q: Query, fuzzy: bool = F
     return "scan", texts.where(matches_exactly(F.lower(text_col), q)).select(F.col(id_col).alias("id"))
 
 
+def shortest(words: list[str]) -> list[str]:
+    """The words that contain no other one of them: a text that contains any of ``words`` contains one of these."""
+    kept: list[str] = []
+    for w in sorted(set(words), key=lambda w: (len(w), w)):
+        if not any(k in w for k in kept):
+            kept.append(w)
+    return kept
+
+
 def matches_expanded(text: Column, q: Query, near: dict[str, list[str]]) -> Column:
     """Two-stage form: short words are substrings, longer ones any of their vocabulary words; a longer word that is not in ``near``
     is left to the caller."""
@@ -135,7 +151,7 @@ def matches_expanded(text: Column, q: Query, near: dict[str, list[str]]) -> Colu
     for w in q.words:
         if tolerance(len(w)) and w not in near:
             continue
-        options = [w] if tolerance(len(w)) == 0 else near[w]
+        options = [w] if tolerance(len(w)) == 0 else shortest(near[w])
         any_of = F.lit(False)
         for o in options:
             any_of = any_of | F.contains(text, F.lit(o))

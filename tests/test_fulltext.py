@@ -90,3 +90,24 @@ def test_many_positions_are_linear():
     at = {"a": np.arange(1, 400_001, 2), "b": np.arange(2, 400_001, 2)}
     assert len(ft.covers(ft.parse("a1 or b1"), {"a1": at["a"], "b1": at["b"]})) == 400_000
     assert len(ft.covers(ft.parse("a1 b1"), {"a1": at["a"], "b1": at["b"]})) == 399_999
+
+
+def test_a_stem_has_one_row_for_a_block_of_texts(spark):
+    texts = [(i, "the councils and a council") for i in range(200)] + [(None, "council"), (900, None), (901, "of the")]
+    rows = spark.createDataFrame(texts, "id long, t string").coalesce(1)
+    index = ft.index(rows, "id", "t").collect()
+    assert sorted((r.stem or "", len(r.ids)) for r in index) == [("", 203), ("council", 201)]
+    held = next(r for r in index if r.stem)
+    assert held.ids == [*range(200), None] and held.positions == [[2, 5]] * 200 + [[1]]
+
+
+def test_blocks_by_their_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ft, "OUT", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["plan vote", "vote plan plan x", "", "votes"])], names=["id", "text"])
+    got = [(r["stem"], r["ids"], r["positions"]) for b in ft._postings(iter([batch])) for r in b.to_pylist()]
+    assert got == [
+        ("plan", [1, 2], [[1], [2, 3]]), ("vote", [1, 2], [[2], [1]]), ("x", [2], [[4]]), (None, [1, 2], [[], []]),
+        ("vote", [4], [[1]]), (None, [3, 4], [[], []]),
+    ]

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -95,3 +98,29 @@ def test_bounded_edit_distance(spark, pairs):
     for r in got.collect():
         d = plain_distance(r["a"], r["b"])
         assert r["d"] == (d if d <= 2 else -1)
+
+
+def test_words_that_hold_another_need_no_search_of_their_own():
+    assert search.shortest(["thatt", "that", "xthat", "hatt", "that"]) == ["hatt", "that"]
+    assert search.shortest([]) == [] and search.shortest(["", "a"]) == [""]
+
+
+def test_candidates_of_a_fuzzy_scan_are_all_tokens_within_the_edits(spark):
+    rng = random.Random(5)
+    words = ["thatt", "council", "budgets", "headquarter", "o'clock", "abcde", "x-rays", "no.12"]
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randrange(2)] = rng.choice(["", "x", "'", "7", "e"])
+        return "".join(w)
+
+    texts = [rng.choice(["", " ", "é", "-"]).join(edited(rng.choice(words)) for _ in range(rng.randrange(1, 4))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "id long, t string")
+    for w in words:
+        k = search.tolerance(len(w))
+        all_tokens = F.exists(search.tokens(F.col("t")), lambda t: (t == w) | (F.levenshtein(t, F.lit(w), k) >= 0))  # noqa: B023
+        got = rows.select(search.matches_fuzzily(F.lower("t"), search.Query(words=[w])).alias("a"), all_tokens.alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and (any(r.b for r in got) or "-" in w or "." in w)
+    assert re.findall(search.near_pattern("thatt", 1), "that thatt thattt hat thattxx a'zzz thxxxxx tatt") == ["that", "thatt", "thattt", "a'zzz", "tatt"]
